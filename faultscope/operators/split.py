@@ -14,13 +14,13 @@ REFERENCE_SHARE = 0.25
 
 
 def tag_halves(recordings: DataFrame, cases: DataFrame) -> DataFrame:
-    """Add ``inject_time`` and ``half`` (``pre``, ``post``; null without a time).
+    """Add ``inject_time`` and ``half``: ``pre``, ``post``, or ``all`` without a time.
 
     Rows without a timestamp are split by position instead.
     """
     timed = recordings.join(cases.select("case_id", "inject_time"), "case_id")
     clock = F.coalesce(F.col("ts"), F.col("i"))
-    half = F.when(clock < F.col("inject_time"), "pre").when(clock >= F.col("inject_time"), "post")
+    half = F.when(clock < F.col("inject_time"), "pre").when(clock >= F.col("inject_time"), "post").otherwise("all")
     return timed.withColumn("half", half)
 
 
@@ -48,7 +48,7 @@ def split_recordings(recordings: DataFrame, cases: DataFrame, min_rows: int = MI
     """
     tagged = tag_halves(recordings.drop("role", "n"), cases)
     sized = tagged.join(half_sizes(tagged), "case_id").filter(
-        F.col("half").isNull() | ((F.col("n_pre") >= min_rows) & (F.col("n_post") >= min_rows))
+        (F.col("half") == "all") | ((F.col("n_pre") >= min_rows) & (F.col("n_post") >= min_rows))
     )
     placed = with_positions(sized.withColumnRenamed("i", "row"), ["case_id", "service", "half"], "row")
 
@@ -63,7 +63,7 @@ def split_recordings(recordings: DataFrame, cases: DataFrame, min_rows: int = MI
                 .otherwise(_copy("_normal", "case", i - head, n - head)))
     )
     copies = (
-        F.when(F.col("half").isNull(), F.array(_copy("", "case", i, n)))
+        F.when(F.col("half") == "all", F.array(_copy("", "case", i, n)))
         .when(F.col("half") == "post", F.array(_copy("_fault", "case", i, n)))
         .otherwise(F.concat(F.array(_copy("_fault", "reference", i, n)), normal))
     )

@@ -63,8 +63,9 @@ def compare(spark, sf_dir, fn, sql, con):
     if len(rows) != len(other):
         out.append(f"rows {len(rows)} != {len(other)}")
     if rows != other:
-        a = [r for r in rows if r not in set(other)]
-        b = [r for r in other if r not in set(rows)]
+        left, right = set(rows), set(other)
+        a = [r for r in rows if r not in right]
+        b = [r for r in other if r not in left]
         out.append(f"values differ: {len(a)}/{len(b)} of {len(rows)}")
         for x, y in list(zip(a, b))[:2]:
             for c, p, q in zip(cols, x, y):
