@@ -49,11 +49,12 @@ def attach_series_stats(rows: DataFrame, stats: DataFrame, keys: list[str] | Non
     return left.join(right, [*keys, "chunk"])
 
 
-def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int = CHUNK) -> DataFrame:
+def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int = CHUNK,
+                   ties: list[str] | None = None) -> DataFrame:
     """0-based position ``i`` and length ``n`` of every row in its group.
 
     ``order`` is a non-negative integer, unique within the group (for instance
-    a file row number). Ranks are local to a block of ``size`` order values and
+    a file row number) or made unique by the columns ``ties``. Ranks are local to a block of ``size`` order values and
     shifted by the row counts of the earlier blocks, so the largest sort is one
     block and the only per-group window runs over block counts.
     """
@@ -67,7 +68,7 @@ def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(whole).alias("n"),
     )
-    local = Window.partitionBy(*keys, "_block").orderBy(order)
+    local = Window.partitionBy(*keys, "_block").orderBy(order, *(ties or []))
     ranked = blocked.withColumn("_rank", F.row_number().over(local))
     joined = ranked.join(offsets, [*keys, "_block"])
     return joined.withColumn("i", F.col("_offset") + F.col("_rank") - 1).drop("_block", "_rank", "_offset")

@@ -203,7 +203,7 @@ def _(spark, sf_dir):
 
 @q("confidence_histogram", "predictions", body="""
     SELECT variant, correct, bin, count(*) AS count FROM (
-        SELECT variant, correct, CAST(least(20, floor((conf - lo) / (hi - lo) * 20) + 1) AS INTEGER) AS bin FROM (
+        SELECT variant, correct, CAST(least(20, floor(20 * (conf - lo) / (hi - lo)) + 1) AS INTEGER) AS bin FROM (
             SELECT *, min(conf) OVER w AS lo, max(conf) OVER w AS hi FROM (
                 SELECT variant, y_true = y_pred AS correct, greatest(p0, p1) AS conf FROM predictions)
             WINDOW w AS (PARTITION BY variant, correct))) GROUP BY 1, 2, 3""")
@@ -312,12 +312,12 @@ def _(spark, sf_dir):
         SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY mean_abs DESC, feature) AS rank FROM (
             SELECT y_true, feature, avg(abs(value)) AS mean_abs FROM (
                 SELECT y_true, unnest(['p0', 'p1', 'context_confidence', 'event_active']) AS feature,
-                       unnest([p0 - 0.5, p1 - 0.5, context_confidence - 0.5, event_active - 0.5]) AS value FROM predictions) GROUP BY 1, 2))
+                       unnest([p0 - 0.4, p1 - 0.5, context_confidence - 0.5, event_active - 0.5]) AS value FROM predictions) GROUP BY 1, 2))
     WHERE rank <= 3""")
 def _(spark, sf_dir):
     names = ["p0", "p1", "context_confidence", "event_active"]
     long = preds(spark, sf_dir).select("y_true", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), (F.col(c) - 0.5).alias("value")) for c in names])).alias("a")).select("y_true", "a.*")
+        F.struct(F.lit(c).alias("feature"), (F.col(c) - (0.4 if c == "p0" else 0.5)).alias("value")) for c in names])).alias("a")).select("y_true", "a.*")
     return rounded(ev.top_features(long, ["y_true"], 3), "y_true", "feature", "rank")
 
 
