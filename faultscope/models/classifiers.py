@@ -20,6 +20,7 @@ from faultscope.functions.numeric import finite_or_zero
 from faultscope.operators.evaluation import class_report, confusion_matrix, evaluate
 from faultscope.operators.sampling import stratified_folds, stratified_split
 from faultscope.operators.transform import ColumnScaler
+from faultscope.sources.tables import land
 
 MODEL_TYPES = ["random_forest", "gradient_boosting", "boosted_trees", "mlp"]
 
@@ -102,7 +103,7 @@ def train_and_evaluate(features: DataFrame, model_type: str = "random_forest", c
                        test_size: float = 0.2, seed: int = 42, **params) -> tuple[Model, dict[str, DataFrame]]:
     """Stratified split, fit, and the evaluation tables of the test part."""
     columns = columns or FEATURE_COLUMNS
-    parts = stratified_split(features, "label", "case_id", test_size, seed=seed)
+    parts = land(stratified_split(features, "label", "case_id", test_size, seed=seed), "split")
     train = prepare(parts.filter("split = 'train'"), columns, model_type)
     model = classifier(model_type, columns, seed, **params).fit(train)
     test = predict(model, prepare(parts.filter("split = 'test'"), columns, "plain"))
@@ -118,7 +119,7 @@ def cross_validate(features: DataFrame, factory: Callable[[], Estimator], column
                    folds: int = 5, seed: int = 42) -> DataFrame:
     """Metrics per fold. Folds are fitted one after the other, each fit being
     distributed; all fold predictions are evaluated together."""
-    with_fold = stratified_folds(features, "label", "case_id", folds, seed)
+    with_fold = land(stratified_folds(features, "label", "case_id", folds, seed), "folds")
     scored = None
     for k in range(folds):
         train = prepare(with_fold.filter(F.col("fold") != k), columns, model_type)

@@ -79,7 +79,7 @@ def run_grid(features: DataFrame, variants: dict[str, Variant], runs: int = 1, b
     do not appear."""
     out = None
     for run in range(runs):
-        parts = stratified_split(features, "label", "case_id", 0.2, seed=base_seed + run)
+        parts = land(stratified_split(features, "label", "case_id", 0.2, seed=base_seed + run), "grid-split")
         train, test = parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
         for name, variant in variants.items():
             scored = variant_predictions(train, test, variant, base_seed + run, (params or {}).get(variant.model))
@@ -100,7 +100,7 @@ def scaling_grid(features: DataFrame, variants: dict[str, Variant], sizes: list[
     results = None
     for size in sizes:
         for run in range(seeds):
-            sample = land(prefix_sample(features, "label", "case_id", size // 2, base_seed + run), f"sample-{size}")
+            sample = prefix_sample(features, "label", "case_id", size // 2, base_seed + run)
             scored = run_grid(sample, variants, 1, base_seed + run, params)
             row = scored.withColumn("size", F.lit(size)).withColumn("run", F.lit(run))
             results = row if results is None else results.unionByName(row)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from faultscope.canonical import CONTEXT_COLUMNS, FEATURE_GROUPS, METRICS, SERIES_KEY, feature_columns
 from faultscope.functions.numeric import stable
 from faultscope.operators import features as fe
-from faultscope.operators.changepoint import change_points
-from faultscope.operators.context import align_by_rank, comparison_context, external_context, load_shift, periodicity
+from faultscope.operators.context import comparison_context, load_shift, periodicity
 from faultscope.operators.spectrum import power_spectrum, spectral_features
 from faultscope.operators.split import split_cases, split_recordings
 from faultscope.plans import feature_sql  # noqa: F401 - registers the sub-queries
@@ -138,6 +137,16 @@ def _(spark, sf_dir):
     return out.select("case_id", "service", F.col("bin").cast("long").alias("bin"), stable("power").alias("power"))
 
 
-@query("feature_table")
+for _mode in CONTEXT_COLUMNS:
+    _name = "feature_table" if _mode == "comparison" else f"feature_table_{_mode}"
+
+    @query(_name, with_ctes("d_features", f"d_{_mode}", body=f"""
+        SELECT f.case_id, f.label, {str(_mode == 'comparison').lower()} AS has_reference, {rr(*feature_columns(_mode))}
+        FROM d_features f JOIN d_{_mode} c USING (case_id)"""))
+    def _(spark, sf_dir, mode=_mode):
+        return rounded(feature_table(spark, sf_dir, "day", mode), "case_id", "label", "has_reference")
+
+
+@query("feature_table_long")
 def _(spark, sf_dir):
-    return rounded(feature_table(spark, sf_dir), "case_id", "label", "has_reference")
+    return rounded(feature_table(spark, sf_dir, "long"), "case_id", "label", "has_reference")

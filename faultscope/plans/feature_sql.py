@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from faultscope.canonical import METRICS
-from faultscope.plans.sql import cte
+from faultscope.plans.sql import cte, hash_uniform
 
 MS = ", ".join(METRICS)
 
@@ -196,3 +196,69 @@ def feature_ctes(p: str, src: str) -> None:
 
 feature_ctes("d", "split_day")
 feature_ctes("l", "split_long")
+
+
+def change_ctes(p: str, src: str, n: int, penalty: float) -> None:
+    """``<p>_change``: best change point of every ``n``-point series, by trying
+    all segmentations on the grid 5, 10, ..."""
+    grid = list(range(5, n - 1, 5))
+    cte(f"{p}_x", f"SELECT case_id, service, i, cpu_usage AS x FROM {src} WHERE role = 'case'", src)
+    cte(f"{p}_gaps", f"""
+        SELECT a.case_id, a.service, a.i AS i, b.i AS j, pow(a.x - b.x, 2) AS d FROM {p}_x a JOIN {p}_x b USING (case_id, service)""", f"{p}_x")
+    cte(f"{p}_kernel", f"""
+        SELECT case_id, service, i, j, CASE WHEN i = j THEN 1.0::DOUBLE
+               ELSE exp(-greatest(0.01, least(100.0, CASE WHEN med > 0 THEN d / med ELSE d END))) END AS k
+        FROM {p}_gaps JOIN (SELECT case_id, service, median(d) AS med FROM {p}_gaps WHERE i < j GROUP BY 1, 2) USING (case_id, service)""",
+        f"{p}_gaps")
+    cte(f"{p}_costs", f"""
+        SELECT case_id, service, a, b, (b - a) - sum(k) / (b - a) AS cost
+        FROM {p}_kernel, (SELECT x.a, y.b FROM (SELECT unnest({[0] + grid}) AS a) x JOIN (SELECT unnest({grid + [n]}) AS b) y ON x.a < y.b)
+        WHERE i >= a AND i < b AND j >= a AND j < b GROUP BY 1, 2, 3, 4""", f"{p}_kernel")
+    cte(f"{p}_paths", f"""
+        SELECT list_filter({grid}, lambda x: (mask >> (x // 5 - 1)) & 1 = 1) AS cuts FROM (SELECT unnest(range({2 ** len(grid)})) AS mask)""")
+    cte(f"{p}_parts", f"""
+        SELECT cuts, CASE WHEN k = 1 THEN 0 ELSE cuts[k - 1] END AS a, CASE WHEN k > len(cuts) THEN {n} ELSE cuts[k] END AS b
+        FROM {p}_paths, unnest(range(1, len(cuts) + 2)) u(k)""", f"{p}_paths")
+    cte(f"{p}_best", f"""
+        SELECT case_id, service, arg_min(cuts, total) AS cuts FROM (
+            SELECT case_id, service, cuts, sum(cost + {penalty}) AS total FROM {p}_costs JOIN {p}_parts USING (a, b) GROUP BY 1, 2, 3)
+        GROUP BY 1, 2""", f"{p}_costs", f"{p}_parts")
+    cte(f"{p}_shifts", f"""
+        SELECT d.case_id, d.service, c.cp, abs(avg(x) FILTER (WHERE i < c.cp) - avg(x) FILTER (WHERE i >= c.cp)) / (stddev_pop(x) + 1e-10) AS mag,
+               abs(max(x) FILTER (WHERE i = c.cp + 1) - max(x) FILTER (WHERE i = c.cp - 1)) / 2 / (stddev_pop(x) + 1e-10) AS abr
+        FROM {p}_x d, (SELECT unnest({[g for g in grid if 3 <= g <= n - 3]}) AS cp) c GROUP BY 1, 2, 3""", f"{p}_x")
+    cte(f"{p}_change", f"""
+        SELECT case_id, service, CAST(coalesce(cp, -1) AS BIGINT) AS cp, coalesce(mag, 0) AS cp_magnitude, coalesce(abr, 0) AS cp_abruptness
+        FROM (SELECT DISTINCT case_id, service FROM {p}_x) LEFT JOIN (
+            SELECT s.case_id, s.service, arg_max(c.cp, c.mag * 1e6 - c.cp * 1e-6) AS cp, max(c.mag) AS mag, arg_max(c.abr, c.mag * 1e6 - c.cp * 1e-6) AS abr
+            FROM {p}_best s, unnest(s.cuts) u(k) JOIN {p}_shifts c ON c.case_id = s.case_id AND c.service = s.service AND c.cp = u.k
+            WHERE c.mag > 0 GROUP BY 1, 2) USING (case_id, service)""", f"{p}_x", f"{p}_best", f"{p}_shifts")
+
+
+change_ctes("d", "split_day", 12, 10.0)
+cte("d_labels", """
+    SELECT DISTINCT case_id, CAST(CASE WHEN case_id LIKE '%fault' THEN 0 ELSE 1 END AS INTEGER) AS label FROM split_day""", "split_day")
+cte("d_features", """
+    SELECT f.case_id, f.label, b.* EXCLUDE (case_id), p.* EXCLUDE (case_id), coalesce(s.sync, 0.0) AS cross_service_sync,
+           coalesce(r.anomaly_spread, 0.0) AS anomaly_spread, c.change_point_magnitude, c.onset_gradient
+    FROM d_labels f JOIN d_base b USING (case_id) JOIN d_pool p USING (case_id)
+    LEFT JOIN d_sync s ON s.case_id = f.case_id AND s.role = 'case' LEFT JOIN d_spread r ON r.case_id = f.case_id
+    JOIN (SELECT case_id, avg(cp_magnitude) AS change_point_magnitude, avg(cp_abruptness) AS onset_gradient, avg(1 / (1 + cp_magnitude)) AS stable
+          FROM d_change GROUP BY 1) c ON c.case_id = f.case_id""", "d_labels", "d_base", "d_pool", "d_sync", "d_spread", "d_change")
+cte("d_derived", """
+    SELECT g.case_id, anomaly_gini, load_uniformity, 0.5::DOUBLE AS periodicity_strength, coherence AS correlation_coherence,
+           greatest(0.0, least(1.0, 1 / (1 + m))) AS regime_stability
+    FROM d_gini g JOIN (SELECT case_id, CASE WHEN count(*) FILTER (WHERE cpu_std >= 1e-10 AND req_std >= 1e-10) >= 2
+            THEN greatest(0.0, least(1.0, 1 - stddev_pop(corr_cpu_req) FILTER (WHERE cpu_std >= 1e-10 AND req_std >= 1e-10))) ELSE 0.5 END AS coherence
+        FROM d_profile WHERE role = 'case' GROUP BY 1) USING (case_id)
+    JOIN (SELECT case_id, avg(cp_magnitude) AS m FROM d_change GROUP BY 1) USING (case_id)""", "d_gini", "d_profile", "d_change")
+_F = "substr(case_id, 1, strlen(case_id) - 6)"
+_N = "substr(case_id, 1, strlen(case_id) - 7)"
+cte("d_external", f"""
+    SELECT case_id, has AS event_active, 0.0::DOUBLE AS event_expected_impact,
+           CASE WHEN h BETWEEN 9 AND 20 THEN 0.7 + 0.3 * (h - 9) / 11 ELSE 0.1 + 0.3 * (CASE WHEN h < 9 THEN h ELSE h - 20 END) / 8 END AS time_seasonality,
+           0.0::DOUBLE AS recent_deployment, 0.3::DOUBLE * has AS context_confidence
+    FROM (SELECT case_id, CASE WHEN u < lim THEN 1.0::DOUBLE ELSE 0.0 END AS has, h FROM (
+        SELECT case_id, CAST(floor(avg(ts) / 3600) AS BIGINT) % 24 AS h, CASE WHEN case_id LIKE '%fault' THEN 0.3 ELSE 0.7 END AS lim,
+               CASE WHEN case_id LIKE '%fault' THEN {hash_uniform('42/fault', _F)} ELSE {hash_uniform('42/normal', _N)} END AS u
+        FROM split_day WHERE role = 'case' GROUP BY 1))""", "split_day")

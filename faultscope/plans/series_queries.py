@@ -18,6 +18,7 @@ from faultscope.operators.spectrum import spectral_features
 from faultscope.operators.transform import ColumnScaler, PiecewiseBins, encode_columns, exact_quantiles
 from faultscope.plans.evaluation_queries import preds
 from faultscope.plans.feature_queries import _case, rounded, split_panel
+from faultscope.plans.feature_sql import change_ctes
 from faultscope.plans.registry import query
 from faultscope.plans.sql import cte, hash_uniform as sql_uniform, r, rr, with_ctes
 from faultscope.sources.panel import EVENT_EDGES, day_cases, panel_day, panel_long
@@ -108,40 +109,10 @@ def _(spark, sf_dir):
     return panel.select("case_id", "service", "i", stable(weight).alias("weight"))
 
 
-def _change_sql(penalty: float) -> str:
-    """All segmentations of a 24-point series on the grid 5, 10, 15, 20."""
-    return f"""
-    SELECT case_id, service, CAST(coalesce(cp, -1) AS BIGINT) AS cp, {r('coalesce(mag, 0)')} AS cp_magnitude, {r('coalesce(abr, 0)')} AS cp_abruptness
-    FROM (SELECT DISTINCT case_id, service FROM day) LEFT JOIN (
-        SELECT s.case_id, s.service, arg_max(c.cp, c.mag * 1e6 - c.cp * 1e-6) AS cp, max(c.mag) AS mag, arg_max(c.abr, c.mag * 1e6 - c.cp * 1e-6) AS abr
-        FROM best s, unnest(s.cuts) u(k) JOIN shifts c ON c.case_id = s.case_id AND c.service = s.service AND c.cp = u.k
-        WHERE c.mag > 0 GROUP BY 1, 2) USING (case_id, service)"""
-
-
-cte("gaps", "SELECT a.case_id, a.service, a.i AS i, b.i AS j, pow(a.cpu_usage - b.cpu_usage, 2) AS d FROM day a JOIN day b ON a.case_id = b.case_id AND a.service = b.service", "day")
-cte("medians", "SELECT case_id, service, median(d) AS med FROM gaps WHERE i < j GROUP BY 1, 2", "gaps")
-cte("kernel", """
-    SELECT case_id, service, i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE exp(-greatest(0.01, least(100.0, CASE WHEN med > 0 THEN d / med ELSE d END))) END AS k
-    FROM gaps JOIN medians USING (case_id, service)""", "gaps", "medians")
-cte("costs", """
-    SELECT case_id, service, a, b, (b - a) - sum(k) / (b - a) AS cost
-    FROM kernel, (SELECT x.a, y.b FROM (SELECT unnest([0, 5, 10, 15, 20]) AS a) x JOIN (SELECT unnest([5, 10, 15, 20, 24]) AS b) y ON x.a < y.b)
-    WHERE i >= a AND i < b AND j >= a AND j < b GROUP BY 1, 2, 3, 4""", "kernel")
-cte("paths", """
-    SELECT list_filter([5, 10, 15, 20], lambda x: (mask >> (x // 5 - 1)) & 1 = 1) AS cuts FROM (SELECT unnest(range(16)) AS mask)""")
-cte("path_segments", """
-    SELECT cuts, CASE WHEN k = 1 THEN 0 ELSE cuts[k - 1] END AS a, CASE WHEN k > len(cuts) THEN 24 ELSE cuts[k] END AS b
-    FROM paths, unnest(range(1, len(cuts) + 2)) u(k)""", "paths")
-cte("best", """
-    SELECT case_id, service, arg_min(cuts, total) AS cuts FROM (
-        SELECT case_id, service, cuts, sum(cost + 2.5) AS total FROM costs JOIN path_segments USING (a, b) GROUP BY 1, 2, 3) GROUP BY 1, 2""", "costs", "path_segments")
-cte("shifts", """
-    SELECT d.case_id, d.service, c.cp, abs(avg(cpu_usage) FILTER (WHERE i < c.cp) - avg(cpu_usage) FILTER (WHERE i >= c.cp)) / (stddev_pop(cpu_usage) + 1e-10) AS mag,
-           abs(max(cpu_usage) FILTER (WHERE i = c.cp + 1) - max(cpu_usage) FILTER (WHERE i = c.cp - 1)) / 2 / (stddev_pop(cpu_usage) + 1e-10) AS abr
-    FROM day d, (SELECT unnest([5, 10, 15, 20]) AS cp) c GROUP BY 1, 2, 3""", "day")
-
-
-@q("change_points_day", "best", "shifts", body=_change_sql(2.5))
+change_ctes("day", "day", 24, 2.5)
+
+
+@q("change_points_day", "day_change", body=f"SELECT case_id, service, cp, {rr('cp_magnitude', 'cp_abruptness')} FROM day_change")
 def _(spark, sf_dir):
     m = panel_day(table(spark, sf_dir, "events"))
     out = change_points(m, fe.series_profile(m), penalty=2.5)
