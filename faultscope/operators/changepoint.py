@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultscope.canonical import EPS, SERIES_KEY
 from faultscope.operators.chunks import with_halo
@@ -65,39 +66,48 @@ def segment_ends(x: np.ndarray, penalty: float, grid: int = GRID, min_segment: i
     return ends[::-1]
 
 
-def _search_block(penalty: float, grid: int, min_segment: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        own = pdf[~pdf["halo"]]
-        x, start = own["x"].to_numpy(float), int(own["i"].iloc[0])
-        row = pdf.iloc[0]
-        found = segment_ends(x, penalty, grid, min_segment)
-        slope = np.gradient(x) if len(x) > 1 else np.zeros(len(x))
-        sums = np.concatenate([[0.0], np.cumsum(x)])
-        candidates = [(start + c, float(sums[c]), float(abs(slope[c]))) for c in found]
-        if start > 0 and len(x) > 1:
-            before = float(pdf["x"].iloc[0])
-            candidates.insert(0, (start, 0.0, abs(float(x[1]) - before) / 2.0))
-        return pd.DataFrame({
-            "case_id": [row["case_id"]], "role": [row["role"]], "service": [row["service"]],
-            "n": [int(row["n"])], "block": [int(row["chunk"])], "block_sum": [float(sums[-1])],
-            "candidates": [[{"cp": c, "before": s, "slope": g} for c, s, g in candidates]],
-        })
+def _search(penalty: float, grid: int, min_segment: int):
+    schema = T.StructType([
+        T.StructField("cp", T.ArrayType(T.LongType())),
+        T.StructField("before", T.ArrayType(T.DoubleType())),
+        T.StructField("slope", T.ArrayType(T.DoubleType())),
+    ])
 
-    return run
+    @F.pandas_udf(schema)
+    def search(points: pd.Series, start: pd.Series, previous: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, first, last in zip(points, start, previous):
+            x = np.asarray(x, dtype=float)
+            cuts = np.asarray(segment_ends(x, penalty, grid, min_segment), dtype=int)
+            sums = np.concatenate([[0.0], np.cumsum(x)])
+            slope = np.abs(np.gradient(x)) if len(x) > 1 else np.zeros(len(x))
+            cp, before, slopes = first + cuts, sums[cuts], slope[cuts]
+            if first > 0 and len(x) > 1:
+                cp, before = np.append(cp, first), np.append(before, 0.0)
+                slopes = np.append(slopes, abs(x[1] - last) / 2.0)
+            rows.append((cp, before, slopes))
+        return pd.DataFrame(rows, columns=["cp", "before", "slope"])
 
-
-BLOCK_SCHEMA = ("case_id string, role string, service string, n bigint, block bigint, block_sum double, "
-                "candidates array<struct<cp:bigint,before:double,slope:double>>")
+    return search
 
 
 def change_candidates(metrics: DataFrame, value: str = "cpu_usage", penalty: float = 10.0,
                       grid: int = GRID, min_segment: int = MIN_SEGMENT, max_points: int = MAX_POINTS) -> DataFrame:
     """Candidates per ``(series, block)``; series under 10 points have none."""
     rows = metrics.filter(F.col("n") >= MIN_SERIES).select(*SERIES_KEY, "i", "n", F.col(value).alias("x"))
-    blocks = with_halo(rows, before=1, size=max_points).filter("chunk <= (n - 1) div %dL" % max_points)
-    return blocks.groupBy(*SERIES_KEY, "chunk").applyInPandas(
-        _search_block(penalty, grid, min_segment), BLOCK_SCHEMA
+    blocks = with_halo(rows, before=1, size=max_points).filter(f"chunk <= (n - 1) div {max_points}L")
+    own = ~F.col("halo")
+    points = F.sort_array(F.collect_list(F.when(own, F.struct("i", "x"))))
+    per_block = blocks.groupBy(*SERIES_KEY, F.col("chunk").alias("block")).agg(
+        F.max("n").alias("n"),
+        F.min(F.when(own, F.col("i"))).alias("start"),
+        F.sum(F.when(own, F.col("x"))).alias("block_sum"),
+        F.coalesce(F.max(F.when(~own, F.col("x"))), F.lit(0.0)).alias("previous"),
+        F.transform(points, lambda p: p["x"]).alias("points"),
+    )
+    found = _search(penalty, grid, min_segment)(F.col("points"), F.col("start"), F.col("previous"))
+    return per_block.withColumn("f", found).select(
+        *SERIES_KEY, "n", "block", "block_sum", F.arrays_zip("f.cp", "f.before", "f.slope").alias("candidates")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultscope.functions.numeric import clip, finite_or_zero
 
-ACCURACY = 10000
+ACCURACY = 2000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
@@ -25,30 +27,39 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     slack = 2.0 / ACCURACY
     low = [max(0.0, p - slack) for p in probabilities]
     high = [min(1.0, p + slack) for p in probabilities]
-    approx = lambda c, ps: F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), F.lit(ACCURACY))
+    wanted = F.array(*[F.lit(p) for p in low + high])
     found = df.agg(*[
-        x for c in columns for x in (approx(c, low).alias(f"lo_{c}"), approx(c, high).alias(f"hi_{c}"),
+        x for c in columns for x in (F.percentile_approx(c, wanted, F.lit(ACCURACY)).alias(f"q_{c}"),
                                      F.count(c).alias(f"n_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))
     ]).first()
-    targets, aggs = [], []
+    targets = []
     for c in columns:
         n = found[f"n_{c}"]
         for k, p in enumerate(probabilities):
             if not n:
                 continue
             rank = p * (n - 1)
-            lo = found[f"min_{c}"] if low[k] == 0.0 else found[f"lo_{c}"][k]
-            hi = found[f"max_{c}"] if high[k] == 1.0 else found[f"hi_{c}"][k]
+            lo = found[f"min_{c}"] if low[k] == 0.0 else found[f"q_{c}"][k]
+            hi = found[f"max_{c}"] if high[k] == 1.0 else found[f"q_{c}"][len(low) + k]
             targets.append((c, k, int(rank), rank - int(rank), float(lo), float(hi)))
     if not targets:
         return {c: [None] * len(probabilities) for c in columns}
+
+    def near(c: str) -> Column:
+        x = F.col(c).cast("double")
+        hits = [(x >= lo) & (x <= hi) for t, _, _, _, lo, hi in targets if t == c]
+        return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+    # Only values near a quantile go on, combined per distinct value.
+    kept = F.array(*[F.when(near(c), F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x"))) for c in columns])
+    distinct = df.select(F.explode(kept).alias("b")).filter("b is not null").groupBy("b.c", "b.x").agg(
+        F.count(F.lit(1)).alias("rows"))
+    below = df.agg(*[F.count(F.when(F.col(c) < lo, 1)).alias(f"b{j}") for j, (c, _, _, _, lo, _) in enumerate(targets)]).first()
     brackets = F.array(*[
-        F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        F.when((F.col("c") == c) & (F.col("x") >= lo) & (F.col("x") <= hi), F.lit(j))
         for j, (c, _, _, _, lo, hi) in enumerate(targets)
     ])
-    inside = df.select(F.explode(F.filter(brackets, lambda b: (b["x"] >= b["lo"]) & (b["x"] <= b["hi"]))).alias("b"))
-    values = inside.groupBy("b.j", "b.x").agg(F.count(F.lit(1)).alias("c"))
-    below = df.agg(*[F.count(F.when(F.col(c) < lo, 1)).alias(f"b{j}") for j, (c, _, _, _, lo, _) in enumerate(targets)]).first()
+    values = distinct.select("x", F.col("rows").alias("c"), F.explode(brackets).alias("j")).filter("j is not null")
     first = F.create_map(*[x for j, t in enumerate(targets) for x in (F.lit(j), F.lit(t[2] - below[f"b{j}"]))])[F.col("j")]
     upto = F.sum("c").over(Window.partitionBy("j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     placed = values.withColumn("upto", upto).withColumn("at", first)
