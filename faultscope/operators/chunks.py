@@ -16,13 +16,14 @@ from faultscope.canonical import SERIES_KEY
 CHUNK = 65536
 
 
-def with_chunk(df: DataFrame, position: str = "i", size: int = CHUNK) -> DataFrame:
-    return df.withColumn("chunk", F.expr(f"`{position}` div {size}L"))
+def with_chunk(df: DataFrame, position: str = "i", size: int | None = None) -> DataFrame:
+    return df.withColumn("chunk", F.expr(f"`{position}` div {size or CHUNK}L"))
 
 
-def with_halo(df: DataFrame, before: int = 0, after: int = 0, position: str = "i", size: int = CHUNK) -> DataFrame:
+def with_halo(df: DataFrame, before: int = 0, after: int = 0, position: str = "i", size: int | None = None) -> DataFrame:
     """Chunked rows plus copies: each chunk also sees ``before`` earlier and
     ``after`` later positions. ``halo`` marks the copies."""
+    size = size or CHUNK
     if max(before, after) >= size:
         raise ValueError("halo must be smaller than the chunk size")
     first = F.expr(f"greatest(0L, `{position}` - {after}L) div {size}L")
@@ -31,16 +32,17 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, position: str = "i
     return spread.withColumn("halo", F.col("chunk") != F.expr(f"`{position}` div {size}L"))
 
 
-def per_chunk(stats: DataFrame, length: str = "n", size: int = CHUNK) -> DataFrame:
+def per_chunk(stats: DataFrame, length: str = "n", size: int | None = None) -> DataFrame:
     """One copy of each per-series row for every chunk of that series, to be
     joined on ``(series, chunk)``: a hot series spreads over all tasks, and the
     copies cost one row per ``size`` data rows."""
+    size = size or CHUNK
     last = F.expr(f"greatest(0L, (cast(`{length}` as bigint) - 1L) div {size}L)")
     return stats.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
 
 
 def attach_series_stats(rows: DataFrame, stats: DataFrame, keys: list[str] | None = None,
-                        length: str = "n", size: int = CHUNK) -> DataFrame:
+                        length: str = "n", size: int | None = None) -> DataFrame:
     """Join per-series columns to the rows of the series without key skew."""
     keys = keys or SERIES_KEY
     left = rows if "chunk" in rows.columns else with_chunk(rows, size=size)
@@ -49,7 +51,7 @@ def attach_series_stats(rows: DataFrame, stats: DataFrame, keys: list[str] | Non
     return left.join(right, [*keys, "chunk"])
 
 
-def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int = CHUNK,
+def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int | None = None,
                    ties: list[str] | None = None) -> DataFrame:
     """0-based position ``i`` and length ``n`` of every row in its group.
 
@@ -58,6 +60,7 @@ def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int
     shifted by the row counts of the earlier blocks, so the largest sort is one
     block and the only per-group window runs over block counts.
     """
+    size = size or CHUNK
     blocked = df.withColumn("_block", F.expr(f"`{order}` div {size}L"))
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

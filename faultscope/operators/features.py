@@ -18,6 +18,7 @@ from faultscope.operators.changepoint import change_points
 from faultscope.operators.chunks import attach_series_stats, with_chunk, with_halo
 from faultscope.operators.context import comparison_context, derived_context, external_context
 from faultscope.operators.spectrum import spectral_features
+from faultscope.sources.tables import land
 
 HOT_Z = 2.0
 
@@ -274,10 +275,11 @@ def extract_features(metrics: DataFrame, cases: DataFrame, context_mode: str,
     ``metrics`` is read by several passes (pass a landed table); a case without
     rows gets zeros, and 0.5 for the context group.
     """
-    profile = series_profile(metrics)
+    # One row per series: landed because every later pass joins it.
+    profile = land(series_profile(metrics), "profile")
     case_rows = metrics.filter("role = 'case'")
     case_profile = series_correlations(with_pooled_means(profile.filter("role = 'case'")))
-    excursions = series_excursions(case_rows, case_profile)
+    excursions = land(series_excursions(case_rows, case_profile), "excursions")
     spectra = spectral_features(case_rows)
     shifts = change_points(case_rows, case_profile, penalty=penalty)
     series = (case_profile.join(excursions, SERIES_KEY, "left")

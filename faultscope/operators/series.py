@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from faultscope.canonical import SERIES_KEY
 from faultscope.functions.numeric import varies
-from faultscope.operators.chunks import CHUNK, attach_series_stats, with_halo
+from faultscope.operators.chunks import attach_series_stats, with_halo
 
 
-def _at(size: int = CHUNK):
+def _at():
     return Window.partitionBy(*SERIES_KEY, "chunk").orderBy("i")
 
 
@@ -58,6 +58,8 @@ def resample(metrics: DataFrame, columns: list[str], steps: int) -> DataFrame:
     A pair of neighbouring rows yields the output steps that fall between
     them, found with whole-number arithmetic; a one-point series is repeated.
     """
+    if steps == 1:
+        return metrics.filter("i = 0").select(*SERIES_KEY, F.lit(0).cast("long").alias("step"), *columns)
     rows = with_halo(metrics.select(*SERIES_KEY, "i", "n", *columns), after=1)
     nxt = [F.lead(c).over(_at()).alias(f"next_{c}") for c in columns]
     pairs = rows.select(*SERIES_KEY, "i", "n", "halo", *columns, *nxt).filter("not halo")
@@ -68,7 +70,7 @@ def resample(metrics: DataFrame, columns: list[str], steps: int) -> DataFrame:
     keep = (F.col("i") < F.col("n") - 1) | (F.col("n") == 1)
     spread = pairs.filter(keep).withColumn("lo", low.cast("long")).withColumn("hi", high.cast("long")).filter("lo <= hi") \
         .withColumn("step", F.explode(F.sequence("lo", "hi")))
-    part = (F.col("step") * (F.col("n") - 1) - F.col("i") * last) / F.lit(float(max(last, 1)))
+    part = (F.col("step") * (F.col("n") - 1) - F.col("i") * last) / F.lit(float(last))
     lerp = lambda c: F.when(F.col("n") == 1, F.col(c)).otherwise(
         F.col(c) + (F.col(f"next_{c}") - F.col(c)) * part)
     return spread.select(*SERIES_KEY, "step", *[lerp(c).alias(c) for c in columns])

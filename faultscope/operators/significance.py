@@ -101,11 +101,16 @@ def bootstrap_rows(predictions: DataFrame, groups: list[str], keys: list[str], m
     ``bootstrap_ci`` for large replicate counts.
     """
     score = metric_columns()[metric] if isinstance(metric, str) else metric()
-    point = confusion_counts(predictions, groups).select(*groups, score.alias("point"))
-    copies = predictions.select(*groups, *keys, "y_true", "y_pred", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    copies = predictions.select(*groups, *keys, "y_true", "y_pred", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
     weight = poisson_weight(hash_uniform(seed, F.col("replicate"), *[F.col(k) for k in keys]))
-    scores = confusion_counts(copies, [*groups, "replicate"], weight).select(*groups, score.alias("score"))
-    return _interval(scores.join(point, groups), groups, confidence)
+    # Replicate 0 is the table itself.
+    counts = confusion_counts(copies, [*groups, "replicate"], F.when(F.col("replicate") == 0, F.lit(1)).otherwise(weight))
+    scores = counts.select(
+        *groups,
+        F.when(F.col("replicate") == 0, score).alias("point"),
+        F.when(F.col("replicate") > 0, score).alias("score"),
+    )
+    return _interval(scores, groups, confidence)
 
 
 def bootstrap_ci(predictions: DataFrame, groups: list[str], metric: str | Callable[[], Column] = "f1",
@@ -119,7 +124,6 @@ def bootstrap_ci(predictions: DataFrame, groups: list[str], metric: str | Callab
     score = metric_columns()[metric] if isinstance(metric, str) else metric()
     cells = [cell(t, p) for t in TRUE_LABELS for p in PREDICTED_LABELS]
     counts = confusion_counts(predictions, groups)
-    point = counts.select(*groups, score.alias("point"))
     stream = F.xxhash64(F.lit(seed), *[F.col(g) for g in groups], F.col("replicate"))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -130,7 +134,7 @@ def bootstrap_ci(predictions: DataFrame, groups: list[str], metric: str | Callab
 
         return pd.Series([one(k, c) for k, c in zip(key, counts)])
 
-    copies = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = copies.select(*groups, redraw(stream, F.array(*cells)).alias("d"))
-    scores = drawn.select(*groups, *[F.col("d")[k].alias(c) for k, c in enumerate(cells)]).select(*groups, score.alias("score"))
-    return _interval(scores.join(point, groups), groups, confidence)
+    copies = counts.select(*groups, *cells, score.alias("point"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    drawn = copies.select(*groups, "point", redraw(stream, F.array(*cells)).alias("d"))
+    counted = drawn.select(*groups, "point", *[F.col("d")[k].alias(c) for k, c in enumerate(cells)])
+    return _interval(counted.select(*groups, "point", score.alias("score")), groups, confidence)

@@ -25,23 +25,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     The driver receives two values per quantile.
     """
     slack = 2.0 / ACCURACY
-    low = [max(0.0, p - slack) for p in probabilities]
-    high = [min(1.0, p + slack) for p in probabilities]
-    wanted = F.array(*[F.lit(p) for p in low + high])
-    found = df.agg(*[
-        x for c in columns for x in (F.percentile_approx(c, wanted, F.lit(ACCURACY)).alias(f"q_{c}"),
-                                     F.count(c).alias(f"n_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))
+    basics = df.agg(*[
+        x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))
     ]).first()
+    ranks = {c: [p * (basics[f"n_{c}"] - 1) for p in probabilities] for c in columns if basics[f"n_{c}"]}
+
+    def bracket(c: str) -> Column:
+        """Sketch values safely below rank ``k`` and above rank ``k + 1``."""
+        n = basics[f"n_{c}"]
+        ends = [max(0.0, int(h) / n - slack) for h in ranks[c]] + [min(1.0, (int(h) + 2) / n + slack) for h in ranks[c]]
+        return F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias(f"q_{c}")
+
+    sketched = df.agg(*[bracket(c) for c in ranks]).first() if ranks else {}
     targets = []
-    for c in columns:
-        n = found[f"n_{c}"]
-        for k, p in enumerate(probabilities):
-            if not n:
-                continue
-            rank = p * (n - 1)
-            lo = found[f"min_{c}"] if low[k] == 0.0 else found[f"q_{c}"][k]
-            hi = found[f"max_{c}"] if high[k] == 1.0 else found[f"q_{c}"][len(low) + k]
-            targets.append((c, k, int(rank), rank - int(rank), float(lo), float(hi)))
+    for c, hs in ranks.items():
+        n, sketch = basics[f"n_{c}"], sketched[f"q_{c}"]
+        for k, h in enumerate(hs):
+            lo = basics[f"min_{c}"] if int(h) / n <= slack else sketch[k]
+            hi = basics[f"max_{c}"] if (int(h) + 2) / n + slack >= 1.0 else sketch[len(hs) + k]
+            targets.append((c, k, int(h), h - int(h), float(lo), float(hi)))
     if not targets:
         return {c: [None] * len(probabilities) for c in columns}
 

@@ -255,10 +255,12 @@ def ground_truth(texts: DataFrame, root: str) -> DataFrame:
 def read_side_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """Optional ``logs.csv`` / ``traces.csv`` of all cases in one scan, or
     ``None`` when no case has one. Headers must agree."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("header", True)
-    frame = reader.csv(root)
-    if not frame.columns:
+    def scan(kind: str):
+        return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+
+    if scan("binaryFile").load(root).select("path").isEmpty():
         return None
+    frame = scan("csv").option("header", True).load(root)
     return locate(frame.withColumn("path", F.col("_metadata.file_path")), root).drop("file", "case_dir")
 
 
