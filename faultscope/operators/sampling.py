@@ -91,7 +91,5 @@ def replace_tail(base: DataFrame, hard: DataFrame, order: str) -> DataFrame:
     """Drop as many rows from the end of ``base`` (by ``order``) as ``hard`` has
     and append ``hard``."""
     placed = with_positions(base.withColumn("_all", F.lit(0)), ["_all"], order)
-    size = hard.agg(F.count(F.lit(1)).alias("_hard"))
-    # One-row aggregate: the only join without a key here.
-    kept = placed.join(F.broadcast(size)).filter(F.col("i") < F.col("n") - F.col("_hard"))
+    kept = placed.filter(F.col("i") < F.col("n") - hard.count())
     return kept.select(*base.columns).unionByName(hard)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope.canonical import EXPECTED_LOAD, FAULT, METRICS
 from faultscope.functions.numeric import hash_uniform
-from faultscope.operators.chunks import with_positions
+from faultscope.operators import chunks
 
 MIN_HALF_ROWS = 10
 REFERENCE_SHARE = 0.25
@@ -24,15 +24,29 @@ def tag_halves(recordings: DataFrame, cases: DataFrame) -> DataFrame:
     return timed.withColumn("half", half)
 
 
-def half_sizes(tagged: DataFrame) -> DataFrame:
-    """Rows of each half per recording, counted once and not per service."""
-    per_series = tagged.groupBy("case_id", "service").agg(
-        F.count(F.when(F.col("half") == "pre", 1)).alias("pre"),
-        F.count(F.when(F.col("half") == "post", 1)).alias("post"),
+def _block_counts(tagged: DataFrame, size: int) -> DataFrame:
+    """Rows per (recording, service, half, block of positions)."""
+    return tagged.groupBy("case_id", "service", "half", F.expr(f"i div {size}L").alias("block")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def _sizes(counts: DataFrame) -> DataFrame:
+    per_series = counts.groupBy("case_id", "service").agg(
+        F.sum(F.when(F.col("half") == "pre", F.col("rows")).otherwise(0)).alias("pre"),
+        F.sum(F.when(F.col("half") == "post", F.col("rows")).otherwise(0)).alias("post"),
     )
     return per_series.groupBy("case_id").agg(F.max("pre").alias("n_pre"), F.max("post").alias("n_post"))
 
 
+def half_sizes(tagged: DataFrame) -> DataFrame:
+    """Rows of each half per recording, counted once and not per service."""
+    return _sizes(_block_counts(tagged, chunks.CHUNK))
+
+
+def _long_enough(min_rows: int) -> Column:
+    return (F.col("half") == "all") | ((F.col("n_pre") >= min_rows) & (F.col("n_post") >= min_rows))
+
+
 def _copy(suffix: str, role: str, i: Column, n: Column) -> Column:
     return F.struct(F.lit(suffix).alias("suffix"), F.lit(role).alias("role"), i.alias("i"), n.alias("n"))
 
@@ -46,11 +60,22 @@ def split_recordings(recordings: DataFrame, cases: DataFrame, min_rows: int = MI
     half shorter than ``min_rows`` are dropped, those without an injection time
     become one FAULT case. Positions restart in every part.
     """
+    size = chunks.CHUNK
     tagged = tag_halves(recordings.drop("role", "n"), cases)
-    sized = tagged.join(half_sizes(tagged), "case_id").filter(
-        (F.col("half") == "all") | ((F.col("n_pre") >= min_rows) & (F.col("n_post") >= min_rows))
-    )
-    placed = with_positions(sized.withColumnRenamed("i", "row"), ["case_id", "service", "half"], "row")
+    # Positions per half: rank inside a block, shifted by the blocks before.
+    # The same block counts give the size of the halves.
+    counts = _block_counts(tagged, size)
+    part = Window.partitionBy("case_id", "service", "half")
+    earlier = part.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "case_id", "service", "half", "block",
+        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"),
+        F.sum("rows").over(part).alias("n"),
+    ).join(_sizes(counts), "case_id").filter(_long_enough(min_rows)).drop("n_pre", "n_post")
+    keys = ["case_id", "service", "half", "block"]
+    blocked = tagged.withColumn("block", F.expr(f"i div {size}L"))
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy("i"))
+    placed = blocked.withColumn("rank", local).join(offsets, keys).withColumn("i", F.col("offset") + F.col("rank") - 1)
 
     i, n = F.col("i"), F.col("n")
     head = F.floor(n * F.lit(REFERENCE_SHARE)).cast("long")
@@ -84,9 +109,8 @@ def split_cases(recordings: DataFrame, cases: DataFrame, seed: int = 42, min_row
     NORMAL row, with context handed out by a hash of the case so that its
     presence does not give the label away."""
     sizes = half_sizes(tag_halves(recordings, cases))
-    kept = cases.join(sizes, "case_id").filter(
-        F.col("inject_time").isNull() | ((F.col("n_pre") >= min_rows) & (F.col("n_post") >= min_rows))
-    )
+    half = F.when(F.col("inject_time").isNull(), "all").otherwise("split").alias("half")
+    kept = cases.join(sizes, "case_id").select("*", half).filter(_long_enough(min_rows))
     empty = F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
 
     def context(event: str, confidence: str) -> Column:

@@ -25,6 +25,11 @@ def split_panel(spark, sf_dir: str, kind: str = "day") -> DataFrame:
     return split_recordings(panel_long(events), long_cases(events))
 
 
+def landed_split(spark, sf_dir: str, kind: str = "day") -> DataFrame:
+    """The split panel, written once for queries that read it several times."""
+    return land(split_panel(spark, sf_dir, kind), f"panel-{kind}")
+
+
 def split_case_table(spark, sf_dir: str, kind: str = "day") -> DataFrame:
     events = table(spark, sf_dir, "events")
     if kind == "day":
@@ -34,7 +39,7 @@ def split_case_table(spark, sf_dir: str, kind: str = "day") -> DataFrame:
 
 def feature_table(spark, sf_dir: str, kind: str = "day", mode: str = "comparison", noise: float = 0.0) -> DataFrame:
     """The landed panel feeds all passes; everything after it is lazy."""
-    metrics = land(split_panel(spark, sf_dir, kind), f"panel-{kind}")
+    metrics = landed_split(spark, sf_dir, kind)
     return fe.extract_features(metrics, split_case_table(spark, sf_dir, kind), mode, EVENT_EDGES, noise=noise)
 
 
@@ -43,7 +48,7 @@ def rounded(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _case(spark, sf_dir, kind="day"):
-    return split_panel(spark, sf_dir, kind).filter("role = 'case'")
+    return landed_split(spark, sf_dir, kind).filter("role = 'case'")
 
 
 for _kind in ("day", "long"):
@@ -80,7 +85,7 @@ for _kind in ("day", "long"):
             _group("statistical", FEATURE_GROUPS["statistical"]))
 
     def _sync(spark, sf_dir, kind=_kind):
-        m = split_panel(spark, sf_dir, kind)
+        m = landed_split(spark, sf_dir, kind)
         return rounded(fe.pairwise_sync(m, fe.series_profile(m)), "case_id", "role")
 
     query(f"cross_service_sync_{_kind}", with_ctes(
@@ -102,7 +107,7 @@ for _kind in ("day", "long"):
         body=f"SELECT case_id, service, {rr('entropy', 'high_share', 'dominant')} FROM {_p}_spectral"))(_spectral)
 
     def _comparison(spark, sf_dir, kind=_kind):
-        m = split_panel(spark, sf_dir, kind)
+        m = landed_split(spark, sf_dir, kind)
         prof = fe.series_profile(m)
         return rounded(comparison_context(prof, fe.pairwise_sync(m, prof)), "case_id")
 

@@ -12,7 +12,7 @@ from faultscope.models import classifiers as cl
 from faultscope.models import grid as gr
 from faultscope.models.centroids import CentroidClassifier, class_centroids
 from faultscope.models.detector import WindowDetector
-from faultscope.plans.feature_queries import _case, rounded, split_panel
+from faultscope.plans.feature_queries import _case, rounded
 from faultscope.plans.registry import query
 from faultscope.plans.sql import cte, r, with_ctes
 from faultscope.sources.tables import land, shared_folder, table
@@ -106,7 +106,7 @@ def _(spark, sf_dir):
 
 
 def _detector(spark, sf_dir) -> tuple[WindowDetector, DataFrame]:
-    m = land(split_panel(spark, sf_dir, "long").filter("role = 'case'"), "detector-panel")
+    m = _case(spark, sf_dir, "long")
     return WindowDetector.fit(m.filter("case_id like '%normal'"), length=24, components=8), m
 
 
