@@ -93,8 +93,10 @@ def _search(penalty: float, grid: int, min_segment: int):
 
 def change_candidates(metrics: DataFrame, value: str = "cpu_usage", penalty: float = 10.0,
                       grid: int = GRID, min_segment: int = MIN_SEGMENT, max_points: int = MAX_POINTS) -> DataFrame:
-    """Candidates per ``(series, block)``; series under 10 points have none."""
-    rows = metrics.filter(F.col("n") >= MIN_SERIES).select(*SERIES_KEY, "i", "n", F.col(value).alias("x"))
+    """Candidates per ``(series, block)``; series under 10 points have none.
+    Missing values count as 0."""
+    rows = metrics.filter(F.col("n") >= MIN_SERIES).select(
+        *SERIES_KEY, "i", "n", F.coalesce(F.col(value), F.lit(0.0)).alias("x"))
     blocks = with_halo(rows, before=1, size=max_points).filter(f"chunk <= (n - 1) div {max_points}L")
     own = ~F.col("halo")
     points = F.sort_array(F.collect_list(F.when(own, F.struct("i", "x"))))

@@ -38,10 +38,11 @@ def _segment_power(segments: pd.Series) -> pd.Series:
 
 def welch_segments(metrics: DataFrame, value: str = "cpu_usage", max_points: int = SEGMENT_POINTS) -> DataFrame:
     """Half-overlapping segments ``(series, segment, points[])``; a tail that
-    does not fill a segment is left out, as in the usual definition."""
+    does not fill a segment is left out, as in the usual definition. Missing
+    values count as 0."""
     length = F.least(F.col("n"), F.lit(max_points)).cast("long")
     rows = metrics.filter(F.col("n") >= MIN_POINTS).select(
-        *SERIES_KEY, "i", "n", length.alias("len"), F.col(value).alias("x")
+        *SERIES_KEY, "i", "n", length.alias("len"), F.coalesce(F.col(value), F.lit(0.0)).alias("x")
     )
     step = F.expr("len - len div 2")
     rows = rows.withColumn("step", step).withColumn("segments", F.expr("(n - len) div step + 1"))

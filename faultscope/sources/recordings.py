@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultscope.canonical import FAULT_TOKENS, METRIC_ALIASES, METRICS, METRICS_FILES
+from faultscope.sources.tables import land
 
 KNOWN_SYSTEMS = ["online-boutique", "sock-shop", "train-ticket"]
 CLOCK_NAMES = ["timestamp", "time", "ts"]
@@ -265,8 +266,9 @@ def read_side_table(spark: SparkSession, root: str, name: str) -> DataFrame | No
 
 
 def load_recordings(spark: SparkSession, root: str, **filters) -> tuple[DataFrame, DataFrame]:
-    """(panel rows, case table) of a tree on storage."""
-    rows = panel_rows(scan_lines(spark, root), root, **filters)
+    """(panel rows, case table) of a tree on storage. The text is parsed once
+    and landed in columns, which every later step reads."""
+    rows = land(panel_rows(scan_lines(spark, root), root, **filters), "recordings")
     times = inject_times(scan_texts(spark, root, "inject_time.txt"), root)
     truth = ground_truth(scan_texts(spark, root, "ground_truth.json"), root)
     cases = rows.select("case_id", "dataset", "system", "fault_service", "fault_type").distinct()
