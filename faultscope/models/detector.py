@@ -9,19 +9,22 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultscope.canonical import METRICS, SERIES_KEY
 from faultscope.functions.numeric import guarded_ratio, hash_uniform
+from faultscope.operators.chunks import with_halo
 from faultscope.operators.series import sliding_windows
 from faultscope.operators.transform import ColumnScaler, ColumnScalerModel, exact_quantiles
 
 
-def _sum_of_squares(vector: Column) -> Column:
-    return F.aggregate(vector_to_array(vector), F.lit(0.0), lambda acc, x: acc + x * x)
+CHUNK_POINTS = 4096
 
 
 class WindowDetector:
@@ -32,9 +35,9 @@ class WindowDetector:
 
     @staticmethod
     def _vectors(metrics: DataFrame, length: int) -> DataFrame:
-        windows = sliding_windows(metrics, METRICS, length)
-        flat = F.flatten(F.transform("window", lambda w: F.array(*[w[m] for m in METRICS])))
-        return windows.select(*SERIES_KEY, "start", array_to_vector(flat).alias("raw"))
+        rows = metrics.select(*SERIES_KEY, "i", F.array(*METRICS).alias("v"))
+        windows = sliding_windows(rows, ["v"], length)
+        return windows.select(array_to_vector(F.flatten(F.col("window.v"))).alias("raw"))
 
     @classmethod
     def fit(cls, normal: DataFrame, length: int = 30, components: int = 16, percentile: float = 95.0,
@@ -59,12 +62,35 @@ class WindowDetector:
 
     def errors(self, metrics: DataFrame) -> DataFrame:
         """Mean squared reconstruction error per window. The components are
-        orthonormal, so it is the squared length lost by the projection."""
-        vectors = self._vectors(self.scaler.transform(metrics), self.length)
-        projected = self.pca.transform(self.centre.transform(vectors))
-        lost = _sum_of_squares(F.col("centred")) - _sum_of_squares(F.col("projected"))
-        size = float(self.length * len(METRICS))
-        return projected.select(*SERIES_KEY, "start", (F.greatest(lost, F.lit(0.0)) / size).alias("error"))
+        orthonormal, so it is the squared length lost by the projection.
+
+        Windows are cut inside tasks from chunks that also hold the first rows
+        of the next chunk, so they are never stored or shuffled.
+        """
+        width, length = len(METRICS), self.length
+        mean = np.asarray(self.centre.mean.toArray())
+        components = np.asarray(self.pca.pc.toArray())
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def lost(points: pd.Series) -> pd.Series:
+            def one(flat) -> np.ndarray:
+                x = np.asarray(flat, dtype=float).reshape(-1, width)
+                if len(x) < length:
+                    return np.empty(0)
+                windows = np.lib.stride_tricks.sliding_window_view(x, length, axis=0)
+                centred = windows.transpose(0, 2, 1).reshape(len(windows), -1) - mean
+                kept = centred @ components
+                return np.maximum((centred**2).sum(axis=1) - (kept**2).sum(axis=1), 0.0) / (length * width)
+
+            return points.map(one)
+
+        scaled = self.scaler.transform(metrics).select(*SERIES_KEY, "i", F.array(*METRICS).alias("v"))
+        rows = with_halo(scaled, after=length - 1, size=CHUNK_POINTS)
+        points = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]))
+        chunks = rows.groupBy(*SERIES_KEY, "chunk").agg(points.alias("points"))
+        per_chunk = chunks.withColumn("errors", lost("points"))
+        return per_chunk.select(*SERIES_KEY, "chunk", F.posexplode("errors").alias("at", "error")).select(
+            *SERIES_KEY, (F.col("chunk") * CHUNK_POINTS + F.col("at")).alias("start"), "error")
 
     def scores(self, metrics: DataFrame) -> DataFrame:
         """``error / threshold`` per window."""

@@ -97,3 +97,21 @@ def test_centroids(spark, tmp_path):
     assert out == [0, 0, 1, 2]
     model.write().overwrite().save(str(tmp_path / "c"))
     assert [r.prediction for r in CentroidModel.load(str(tmp_path / "c")).transform(df).collect()] == out
+
+
+def test_detector_errors_match_numpy_across_chunks(spark, monkeypatch):
+    from faultscope.canonical import METRICS
+    from faultscope.models import detector as dt
+
+    monkeypatch.setattr(dt, "CHUNK_POINTS", 16)
+    g = np.random.default_rng(8)
+    calm = panel(spark, {f"s{k}": {m: g.normal(0, 1, 60) for m in METRICS} for k in range(12)}).persist()
+    fitted = WindowDetector.fit(calm, length=5, components=3)
+    got = [r.error for r in fitted.errors(calm).filter("service = 's3'").orderBy("start").collect()]
+    x = fitted.scaler.transform(calm).filter("service = 's3'").orderBy("i").select(*METRICS).toPandas().to_numpy()
+    p, mean = fitted.pca.pc.toArray(), fitted.centre.mean.toArray()
+    want = []
+    for s in range(56):
+        c = x[s:s + 5].reshape(-1) - mean
+        want.append(((c - p @ (p.T @ c)) ** 2).mean())
+    assert len(got) == 56 and np.allclose(got, want)
