@@ -6,8 +6,6 @@ variants, runs and systems are evaluated in one grouped aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -300,6 +298,3 @@ def top_features(attributions: DataFrame, groups: list[str], k: int) -> DataFram
     mean = attributions.groupBy(*groups, "feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
     order = Window.partitionBy(*groups).orderBy(F.desc("mean_abs"), "feature")
     return mean.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-MetricFn = Callable[[], Column]
