@@ -25,8 +25,8 @@ BLOCK = 8192
 
 
 def _named(values: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Distinct values in sorted order with an integer name each, landed so that names never change."""
-    return land(values.select(*columns).distinct().sort(*columns).withColumn("name", F.monotonically_increasing_id()), label)
+    """Distinct values, sorted in each part of their hash partitioning, with an integer name each; landed so that names never change."""
+    return land(values.select(*columns).distinct().sortWithinPartitions(*columns).withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
