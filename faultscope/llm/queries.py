@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import decontaminate, exact, substring, suffix
+from faultscope.llm import decontaminate, exact, packing, substring, suffix
 from faultscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
