@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from faultscope.sources.tables import land
 
-__all__ = ["KEY", "keyed", "land", "same_key", "spans_of", "utf8", "word_bounds", "word_hashes", "mix64", "gram_hashes"]
+__all__ = ["KEY", "keyed", "land", "same_key", "spans_of", "utf8", "without", "word_bounds", "word_hashes", "mix64", "gram_hashes"]
 
 KEY = ["k_id", "k_text"]
 
@@ -29,6 +29,24 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
     return (left.k_text == right.k_text) & left.k_id.eqNullSafe(right.k_id)
 
 
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose key is not in ``gone``; of rows with one key in ``once``, one.
+
+    The columns travel inside a struct, so no name in ``docs`` can clash with a key.
+    """
+    body = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.select("row", F.col("row.doc_id").cast("long").alias("k_id"), F.xxhash64(body).alias("k_text"))
+    keys = gone.select(*KEY).distinct()
+    stay = whole.join(keys, same_key(whole, keys), "left_anti")
+    if once is None:
+        return stay.select("row.*")
+    repeated = once.groupBy(*KEY).count().where("count > 1").select(*KEY)
+    alone = stay.join(repeated, same_key(stay, repeated), "left_anti").select("row.*")
+    merged = stay.join(repeated, same_key(stay, repeated), "left_semi").groupBy(*KEY).agg(F.first("row").alias("row"))
+    return alone.unionByName(merged.select("row.*"))
+
+
 # ---- numpy helpers, used inside tasks -------------------------------------------------
 
 _U = np.uint64

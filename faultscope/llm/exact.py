@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.llm.common import KEY, keyed, land, same_key
+from faultscope.llm.common import KEY, keyed, land, same_key, without
 
 #: Bytes of a block.
 BLOCK = 8192
@@ -78,12 +78,5 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text one stays."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    whole = whole.select("row", F.col("row.doc_id").cast("long").alias("k_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("k_text"))
     groups = text_groups(docs, block)
-    losers = groups.where(~F.col("k_id").eqNullSafe(F.col("keep_id"))).select(*KEY)
-    stay = whole.join(losers, same_key(whole, losers), "left_anti")
-    repeated = whole.groupBy(*KEY).count().where("count > 1").select(*KEY)
-    single = stay.join(repeated, same_key(stay, repeated), "left_anti").select("row.*")
-    once = stay.join(repeated, same_key(stay, repeated), "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(once)
+    return without(docs, groups.where(~F.col("k_id").eqNullSafe(F.col("keep_id"))), keyed(docs, "doc_id", "text"))
