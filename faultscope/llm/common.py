@@ -106,9 +106,9 @@ def spans_of(offsets: np.ndarray, limit: int = 2_000_000):
         first = min(last, n)
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in ``raw``, and how many words each row has; words end with their row."""
-    gap = _SPACE[raw]
+    gap = separators[raw]
     edge = np.empty(len(raw) + 1, bool)
     starts = ~gap
     starts[1:] &= gap[:-1]
