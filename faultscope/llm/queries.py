@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import decontaminate, exact, minhash, packing, quality, substring, suffix, warc
+from faultscope.llm import decontaminate, exact, minhash, packing, pii, quality, substring, suffix, warc
 from faultscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_quality_classifier")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
