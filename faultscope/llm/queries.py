@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import decontaminate, exact, minhash, packing, pii, quality, substring, suffix, warc
+from faultscope.llm import decontaminate, exact, html, minhash, packing, pii, quality, substring, suffix, warc
 from faultscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
