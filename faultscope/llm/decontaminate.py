@@ -1,9 +1,10 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
 Texts are lower-cased (A-Z only) and cut into words; a test item yields its
-windows of ``length`` words, or itself when shorter. Window hashes of all
-training texts are looked up in the set of test hashes; a hit counts only after
-its words equal those of the window. DataFrame functions only.
+windows of ``length`` words, or itself when shorter. The set of windows is
+hashed by the longest word of each: a training window is looked up where such a
+word stands in it, compared by its hash, and counts only after its words equal
+those of the test window. DataFrame functions only.
 
 The set is broadcast while it holds at most ``max_windows`` windows (about 64 MB); a larger
 one is joined by shuffle and its hits verified against the texts afterwards.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.llm.common import KEY, keyed, land, same_key
+from faultscope.llm.common import KEY, keyed, land, same_key, without
 
 #: Words of a window.
 LENGTH = 10
@@ -33,46 +34,41 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words_of(text: Column) -> Column:
     """The normalised words of a text, in order."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
-
-
-def _window_hashes(words: Column, length: int) -> Column:
-    last = F.size(words) - length + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, length))))
+    # All-ASCII texts take the built-in lower case, which there does the same faster.
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
 def test_windows(benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(item_id, n, gram, hash)``: the distinct windows of every item."""
+    """``(gram, n, hash, items, word, at)``: the distinct windows of all items.
+
+    ``word`` is the longest word of the window, which is seldom a frequent one, and ``at`` its first place.
+    """
     items = benchmark.select(F.col("item_id"), words_of(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("n", F.least(F.size("words"), F.lit(length)))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.slice("words", i, F.col("n")))
-    return items.select("item_id", "n", F.explode(grams).alias("gram")).distinct().withColumn("hash", F.xxhash64("gram"))
+    windows = items.select("item_id", F.explode(grams).alias("gram")).groupBy("gram").agg(F.collect_set("item_id").alias("items"))
+    longest = F.array_max(F.transform("gram", lambda w, i: F.struct(F.char_length(w).alias("size"), (-i).alias("back"), w.alias("word"))))
+    windows = windows.withColumn("longest", longest)
+    return windows.select("gram", F.size("gram").alias("n"), F.xxhash64("gram").alias("hash"), "items", F.col("longest.word").alias("word"), (-F.col("longest.back")).alias("at"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``(k_id, k_text, start, n, item_id)``: each verified occurrence, ``start`` counted in words from 0."""
+    """``(k_id, k_text, start, n, items)``: each verified occurrence, ``start`` counted in words from 0."""
     windows = land(test_windows(benchmark, length), "test-windows")
-    # Items that share a window stay together, so a text's window meets each gram once.
-    grams = windows.groupBy("n", "hash", "gram").agg(F.collect_set("item_id").alias("items"))
-    sizes = windows.groupBy("n").count().collect()  # at most `length` rows
-    small = sum(r["count"] for r in sizes) <= max_windows
     texts = keyed(docs, "doc_id", "text").select(*KEY, words_of(F.col("body")).alias("words"))
-    found = []
-    for n in sorted(r["n"] for r in sizes):
-        wanted = grams.where(F.col("n") == n).select("gram", F.col("hash").alias("wanted"), "items")
-        at = texts.where(F.size("words") >= n).select(*KEY, "words", F.posexplode(_window_hashes(F.col("words"), n)).alias("start", "hash"))
-        if small:
-            hit = at.join(F.broadcast(wanted), (at["hash"] == wanted["wanted"]) & (F.slice("words", F.col("start") + 1, n) == F.col("gram")))
-        else:
-            near = at.select(*KEY, "start", "hash").join(wanted, F.col("hash") == F.col("wanted")).select(*KEY, "start", "gram", "items")
-            hit = near.join(texts, same_key(near, texts)).where(F.slice("words", F.col("start") + 1, n) == F.col("gram")).select(near.k_id, near.k_text, "start", "items").distinct()
-        found.append(hit.select(*KEY, "start", F.lit(n).alias("n"), "items"))
-    if not found:
-        return texts.where("false").select(*KEY, F.lit(0).alias("start"), F.lit(0).alias("n"), F.array(F.lit(None).cast(windows.schema["item_id"].dataType)).alias("items"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    start = F.col("pos") - F.col("at")
+    # The window of the text: first its hash, as in any hash set, then its words.
+    window = F.slice("words", start + 1, F.col("n"))
+    same = F.when(start >= 0, (F.xxhash64(window) == F.col("hash")) & (window == F.col("gram"))).otherwise(F.lit(False))
+    if windows.count() <= max_windows:
+        at = texts.select(*KEY, "words", F.posexplode("words").alias("pos", "text_word"))
+        hit = at.join(F.broadcast(windows), (F.col("text_word") == F.col("word")) & same)
+        return hit.select(*KEY, start.alias("start"), "n", "items")
+    at = texts.select(*KEY, F.posexplode("words").alias("pos", "text_word"))
+    near = at.join(windows, F.col("text_word") == F.col("word")).select(*KEY, "pos", "at", "n", "hash", "gram", "items")
+    hit = near.join(texts.dropDuplicates(KEY), same_key(near, texts)).where(same)
+    return hit.select(near.k_id, near.k_text, start.alias("start"), "n", "items").distinct()
 
 
 def hit_spans(found: DataFrame) -> DataFrame:
@@ -107,7 +103,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, m
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    whole = whole.select("row", F.col("row.doc_id").cast("long").alias("k_id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("k_text"))
-    bad = hits(docs, benchmark, length, max_windows).select(*KEY).distinct()
-    return whole.join(bad, same_key(whole, bad), "left_anti").select("row.*")
+    return without(docs, hits(docs, benchmark, length, max_windows))
