@@ -32,9 +32,9 @@ def series_profile(metrics: DataFrame) -> DataFrame:
     aggs = [F.max("n").alias("n"), F.avg("ts").alias("ts_mean")]
     for short, c in (("cpu", cpu), ("req", req), ("lat", lat), ("err", err)):
         aggs += [F.avg(c).alias(f"{short}_mean"), F.stddev_pop(c).alias(f"{short}_std"),
-                 F.min(c).alias(f"{short}_min"), F.max(c).alias(f"{short}_max")]
+                 F.min(c).alias(f"{short}_min"), F.max(c).alias(f"{short}_max"), F.count(c).alias(f"{short}_n")]
     for short, m in (("mem", "memory_usage"), ("nin", "network_in")):
-        aggs += [F.avg(m).alias(f"{short}_mean"), F.stddev_pop(m).alias(f"{short}_std")]
+        aggs += [F.avg(m).alias(f"{short}_mean"), F.stddev_pop(m).alias(f"{short}_std"), F.count(m).alias(f"{short}_n")]
     asymmetry = guarded_ratio(F.abs(F.col("network_in") - F.col("network_out")),
                               F.col("network_in") + F.col("network_out"))
     aggs += [
@@ -47,7 +47,7 @@ def series_profile(metrics: DataFrame) -> DataFrame:
         F.avg(F.when(tail, cpu)).alias("cpu_tail"),
         F.avg(F.when(first_half, err)).alias("err_first"),
         F.avg(F.when(~first_half, err)).alias("err_second"),
-        F.coalesce(F.try_divide(F.covar_pop(err, i.cast("double")), F.var_pop(i.cast("double"))), F.lit(0.0))
+        F.coalesce(F.try_divide(F.covar_pop(err, i.cast("double")), F.var_pop(F.when(err.isNotNull(), i.cast("double")))), F.lit(0.0))
         .alias("err_slope"),
         F.avg(asymmetry).alias("net_asymmetry"),
     ]
@@ -207,24 +207,26 @@ _SHORT = {"cpu_usage": "cpu", "memory_usage": "mem", "request_rate": "req", "err
 
 
 def with_pooled_means(profile: DataFrame) -> DataFrame:
-    """Add the row-weighted mean of each metric over the window's services."""
+    """Add the mean of each metric over the window's services, weighted by the values present."""
     window = Window.partitionBy(*WINDOW_KEY)
-    rows = F.sum("n").over(window)
-    return profile.withColumns({
-        f"{s}_pooled": F.sum(F.col(f"{s}_mean") * F.col("n")).over(window) / rows for s in _SHORT.values()
-    })
+
+    def pooled(s: str) -> Column:
+        n = F.col(f"{s}_n")
+        return F.try_divide(F.sum(F.col(f"{s}_mean") * n).over(window), F.sum(n).over(window))
+
+    return profile.withColumns({f"{s}_pooled": pooled(s) for s in _SHORT.values()})
 
 
 def statistical(series: DataFrame) -> list[Column]:
-    """Mean and sample deviation pooled over all rows of all services."""
-    n = F.col("n")
-    means = [F.first(f"{_SHORT[m]}_pooled").alias(f"mean_{m}") for m in STAT_METRICS]
+    """Mean and sample deviation pooled over all values of all services; missing values count nowhere."""
+    means = [F.coalesce(F.first(f"{_SHORT[m]}_pooled"), F.lit(0.0)).alias(f"mean_{m}") for m in STAT_METRICS]
     stds = []
     for m in STAT_METRICS:
         s = _SHORT[m]
+        n = F.col(f"{s}_n")
         within = n * F.col(f"{s}_std") * F.col(f"{s}_std")
         between = n * F.pow(F.col(f"{s}_mean") - F.col(f"{s}_pooled"), 2)
-        var = F.try_divide(F.sum(within + between), F.sum("n") - 1)
+        var = F.when(F.sum(n) > 1, F.sum(within + between) / (F.sum(n) - 1))
         stds.append(F.coalesce(F.sqrt(var), F.lit(0.0)).alias(f"std_{m}"))
     return [*means, *stds, F.max("err_max").alias("max_error_rate")]
 

@@ -16,12 +16,23 @@ REFERENCE_SHARE = 0.25
 def tag_halves(recordings: DataFrame, cases: DataFrame) -> DataFrame:
     """Add ``inject_time`` and ``half``: ``pre``, ``post``, or ``all`` without a time.
 
-    Rows without a timestamp are split by position instead.
+    A recording without any timestamp is split by position. In one that has a
+    clock, a row without a readable time belongs to neither half (``none``).
+    The table of cases carries one row per chunk of positions, so the rows of a
+    long recording are joined in many tasks.
     """
-    timed = recordings.join(cases.select("case_id", "inject_time"), "case_id")
-    clock = F.coalesce(F.col("ts"), F.col("i"))
-    half = F.when(clock < F.col("inject_time"), "pre").when(clock >= F.col("inject_time"), "post").otherwise("all")
-    return timed.withColumn("half", half)
+    rows = chunks.with_chunk(recordings)
+    clocks = recordings.groupBy("case_id").agg(F.count("ts").alias("clocked"), F.max("i").alias("_last"))
+    known = clocks.join(cases.select("case_id", "inject_time"), "case_id")
+    last = F.expr(f"greatest(0L, cast(_last as bigint) div {chunks.CHUNK}L)")
+    known = known.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_last")
+    timed = rows.join(known, ["case_id", "chunk"])
+    clock = F.when(F.col("clocked") > 0, F.col("ts")).otherwise(F.col("i"))
+    half = (
+        F.when(F.col("inject_time").isNull(), "all").when(clock < F.col("inject_time"), "pre")
+        .when(clock >= F.col("inject_time"), "post").otherwise("none")
+    )
+    return timed.withColumn("half", half).drop("clocked", "chunk")
 
 
 def _block_counts(tagged: DataFrame, size: int) -> DataFrame:
@@ -61,7 +72,7 @@ def split_recordings(recordings: DataFrame, cases: DataFrame, min_rows: int = MI
     become one FAULT case. Positions restart in every part.
     """
     size = chunks.CHUNK
-    tagged = tag_halves(recordings.drop("role", "n"), cases)
+    tagged = tag_halves(recordings.drop("role", "n"), cases).filter("half <> 'none'")
     # Positions per half: rank inside a block, shifted by the blocks before.
     # The same block counts give the size of the halves.
     counts = _block_counts(tagged, size)

@@ -13,7 +13,7 @@ from faultscope.operators.spectrum import power_spectrum, spectral_features
 from faultscope.operators.split import split_cases, split_recordings
 from faultscope.plans import feature_sql  # noqa: F401 - registers the sub-queries
 from faultscope.plans.registry import query
-from faultscope.plans.sql import r, rr, with_ctes
+from faultscope.plans.sql import cte, r, rr, with_ctes
 from faultscope.sources.panel import EVENT_EDGES, day_cases, long_cases, panel_day, panel_long
 from faultscope.sources.tables import land, table
 
@@ -155,3 +155,28 @@ for _mode in CONTEXT_COLUMNS:
 @query("feature_table_long")
 def _(spark, sf_dir):
     return rounded(feature_table(spark, sf_dir, "long"), "case_id", "label", "has_reference")
+
+
+#: Metric -> rows it is missing in, by position: every fifth one, shifted from metric to metric, and all late ones of one service.
+_GAPS = {m: k for k, m in enumerate(METRICS[:6])}
+
+
+def _gap_sql(m: str) -> str:
+    return f"CASE WHEN (i + {_GAPS[m]}) % 5 <> 0 AND NOT (service = 'view' AND i > 3 + {_GAPS[m]}) THEN {m} END"
+
+
+cte("gappy_day", "SELECT case_id, service, i, " + ", ".join(f"{_gap_sql(m)} AS {m}" for m in METRICS[:6]) + " FROM split_day WHERE role = 'case'", "split_day")
+
+
+@query("features_with_gaps", with_ctes("gappy_day", body="SELECT case_id, " + ", ".join(
+    f"{r(f'avg({m})')} AS mean_{m}, {r(f'coalesce(stddev_samp({m}), 0)')} AS std_{m}" for m in METRICS[:6])
+    + f""", {r('max(error_rate)')} AS max_error_rate, {r('any_value(slope)')} AS error_rate_slope FROM gappy_day JOIN (
+        SELECT case_id, avg(s) AS slope FROM (SELECT case_id, service, coalesce(regr_slope(error_rate, i), 0) AS s FROM gappy_day GROUP BY 1, 2) GROUP BY 1) USING (case_id) GROUP BY case_id"""))
+def _(spark, sf_dir):
+    """Statistics over panels in which every metric lacks some values."""
+    m = _case(spark, sf_dir)
+    gone = [(((F.col("i") + k) % 5 != 0) & ~((F.col("service") == "view") & (F.col("i") > 3 + k)), c) for c, k in _GAPS.items()]
+    m = m.withColumns({c: F.when(there, F.col(c)) for there, c in gone})
+    series = fe.with_pooled_means(fe.series_profile(m))
+    slope = F.avg("err_slope").alias("error_rate_slope")
+    return rounded(series.groupBy("case_id").agg(*fe.statistical(series), slope).select("case_id", *FEATURE_GROUPS["statistical"], "error_rate_slope"), "case_id")

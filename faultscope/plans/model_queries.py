@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from faultscope.plans.registry import query
 from faultscope.plans.sql import cte, r, with_ctes
 from faultscope.sources.tables import land, shared_folder, table
 
+#: The grids fit dozens of models; they take smaller ones. Single fits have their full sizes.
 SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "boosted_trees": {"maxIter": 5, "maxDepth": 3},
          "gradient_boosting": {"maxIter": 5, "maxDepth": 3}, "mlp": {"maxIter": 30}}
 
@@ -63,27 +66,27 @@ def _(spark, sf_dir):
 for _type in cl.MODEL_TYPES:
     @query(f"classify_{_type}")
     def _(spark, sf_dir, model_type=_type):
-        _, tables = cl.train_and_evaluate(order_features(spark, sf_dir), model_type, **SMALL[model_type])
+        _, tables = cl.train_and_evaluate(order_features(spark, sf_dir), model_type)
         return rounded(tables["metrics"])
 
 
 @query("feature_importance")
 def _(spark, sf_dir):
-    model, _ = cl.train_and_evaluate(order_features(spark, sf_dir), "random_forest", **SMALL["random_forest"])
+    model, _ = cl.train_and_evaluate(order_features(spark, sf_dir), "random_forest")
     return rounded(cl.feature_importance(spark, model, FEATURE_COLUMNS), "feature", "feature_group")
 
 
 @query("cross_validation")
 def _(spark, sf_dir):
-    factory = lambda: cl.classifier("random_forest", FEATURE_COLUMNS, **SMALL["random_forest"])
+    factory = lambda: cl.classifier("random_forest", FEATURE_COLUMNS)
     return rounded(cl.cross_validate(order_features(spark, sf_dir), factory, FEATURE_COLUMNS, "random_forest", 5), "fold")
 
 
 @query("model_round_trip", with_ctes("order_features", body="SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM order_features"))
 def _(spark, sf_dir):
     f = cl.prepare(order_features(spark, sf_dir), FEATURE_COLUMNS, "random_forest")
-    model = cl.classifier("random_forest", FEATURE_COLUMNS, **SMALL["random_forest"]).fit(f)
-    path = f"{shared_folder(spark)}/forest-model"
+    model = cl.classifier("random_forest", FEATURE_COLUMNS).fit(f)
+    path = f"{shared_folder(spark)}/forest-model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
     a = cl.predict(model, f).select("case_id", F.col("p0").alias("a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from faultscope.plans.registry import query
 from faultscope.plans.sql import cte, hash_uniform as sql_uniform, r, rr, with_ctes
 from faultscope.sources import recordings as rec
 from faultscope.sources.panel import day_cases, panel_day
-from faultscope.sources.tables import land, table
+from faultscope.sources.tables import land, shared_folder, table
 
 ROOT = "/recordings"
 # Wide column suffix -> panel metric it carries in the derived recordings.
@@ -63,8 +65,8 @@ def recording_lines(panel: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 cte("rec_cases", """
-    SELECT *, CASE WHEN cohort % 2 = 0 THEN system || '_' || fault_service || '_' || fault_type || '_' || inst
-                   ELSE fault_service || '_' || fault_type || '_' || inst END AS rec_id
+    SELECT *, dataset || '/' || system || '/' || CASE WHEN cohort % 2 = 0 THEN system || '_' || fault_service || '_' || fault_type || '_' || inst
+                   ELSE 'P1/' || fault_service || '_' || fault_type || '/' || inst END AS rec_id
     FROM (SELECT *, CAST(split_part(case_id, '#', 2) AS INTEGER) AS cohort,
                  replace(split_part(case_id, '#', 1), '-', '') || lpad(split_part(case_id, '#', 2), 4, '0') AS inst FROM cases_day)""",
     "cases_day")
@@ -108,6 +110,59 @@ def _(spark, sf_dir):
     return flat.select("case_id", F.col("s.service").alias("service"), "points", present.alias("metrics"))
 
 
+cte("side_cases", """
+    SELECT o_orderkey AS k, ['RE1', 'RE2'][1 + o_orderkey % 2] AS dataset, ['sock-shop', 'train-ticket'][1 + o_custkey % 2] AS system,
+           ['P', 'Q'][1 + o_orderkey // 2 % 2] AS prefix, o_totalprice AS price, o_orderstatus AS status FROM orders""")
+
+
+def _side_lines(spark, sf_dir) -> DataFrame:
+    """Orders as rows of side files: one file per dataset, system and prefix, all in folders of one name, columns in two orders."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    dataset = F.when(key % 2 == 0, "RE1").otherwise("RE2")
+    system = F.when(F.col("o_custkey") % 2 == 0, "sock-shop").otherwise("train-ticket")
+    prefix = F.when(F.floor(key / 2) % 2 == 0, "P").otherwise("Q")
+    turned = dataset == "RE2"
+    price = F.col("o_totalprice").cast("string")
+    rows = o.select(F.concat_ws("/", F.lit(ROOT), dataset, system, prefix, F.lit("cart_cpu"), F.lit("1"), F.lit("logs.csv")).alias("path"),
+                    turned.alias("turned"), key.alias("k"), price.alias("price"), F.col("o_orderstatus").alias("status"))
+    line = F.when(F.col("turned"), F.concat_ws(",", "status", "k", "price")).otherwise(F.concat_ws(",", "k", "price", "status"))
+    body = rows.select("path", (F.floor(F.col("k") / 1000) + 1).cast("long").alias("block"), F.col("k").alias("seq"), line.alias("line"))
+    heads = rows.select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seq"),
+                        F.when(F.col("turned"), "status,key,price").otherwise("key,price,status").alias("line")).distinct()
+    return land(heads.unionByName(body), "side-lines")
+
+
+@query("side_tables_mixed_headers", with_ctes("side_cases", body="""
+    SELECT dataset || '/' || system || '/' || prefix || '/cart_cpu/1' AS case_id, dataset, system, k AS key, price, status FROM side_cases"""))
+def _(spark, sf_dir):
+    rows = rec.side_rows(_side_lines(spark, sf_dir), ROOT)
+    return rows.select("case_id", "dataset", "system", F.col("cells.key").cast("bigint").alias("key"),
+                       F.col("cells.price").cast("double").alias("price"), F.col("cells.status").alias("status"))
+
+
+@query("recording_tree_multi", """
+    SELECT ds || '/' || sy || '/' || px || '/cart_cpu/1' AS case_id, ds AS dataset, sy AS system, 'cart' AS service, ts, cpu, clocked FROM (
+        SELECT ['RE1', 'RE2'][1 + o_orderkey % 2] AS ds, ['sock-shop', 'train-ticket'][1 + o_custkey % 2] AS sy,
+               ['P', 'Q'][1 + o_orderkey // 2 % 2] AS px, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS ts,
+               o_totalprice AS cpu, o_orderkey % 11 <> 0 AS clocked FROM orders)""")
+def _(spark, sf_dir):
+    """Real files under the shared folder: two datasets, systems and prefixes with equal folder names; every eleventh clock is no number."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    clock = F.when(key % 11 == 0, "nan").otherwise(key.cast("string"))
+    folder = [F.when(key % 2 == 0, "RE1").otherwise("RE2"), F.when(F.col("o_custkey") % 2 == 0, "sock-shop").otherwise("train-ticket"),
+              F.when(F.floor(key / 2) % 2 == 0, "P").otherwise("Q")]
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    parts = o.select(*(c.alias(n) for c, n in zip(folder, "dsp", strict=True)), clock.alias("time"), F.col("o_totalprice").alias("cart_cpu"))
+    for r in parts.select("d", "s", "p").distinct().collect():  # the eight folders of this layout
+        one = parts.where((F.col("d") == r.d) & (F.col("s") == r.s) & (F.col("p") == r.p)).select("time", "cart_cpu")
+        one.coalesce(1).write.option("header", True).csv(f"{root}/{r.d}/{r.s}/{r.p}/cart_cpu/1")
+    rows, _ = rec.load_recordings(spark, root, glob="part-*.csv")
+    located = rows.select("case_id", F.split("case_id", "/").alias("f"), "service", "ts", F.col("cpu_usage").alias("cpu"))
+    return located.select("case_id", F.col("f")[0].alias("dataset"), F.col("f")[1].alias("system"), "service", "ts", "cpu", F.col("ts").isNotNull().alias("clocked"))
+
+
 @query("side_files", with_ctes("rec_cases", body="""
     SELECT rec_id AS case_id, CASE WHEN dom % 7 = 0 THEN NULL ELSE inject_time END AS inject_time,
            CASE WHEN dom % 5 = 0 THEN NULL ELSE fault_service END AS root_cause_service,
@@ -116,7 +171,7 @@ def _(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     lines = recording_lines(panel_day(events), day_cases(events))
     folders = rec.choose_metrics_file(rec.locate(rec.read_files(lines), ROOT))
-    dated = folders.withColumn("day", F.to_date(F.regexp_extract("case_id", r"_(\d{8})\d{4}$", 1), "yyyyMMdd"))
+    dated = folders.withColumn("day", F.to_date(F.regexp_extract("case_id", r"[_/](\d{8})\d{4}$", 1), "yyyyMMdd"))
     dom = F.dayofmonth("day")
     time = (F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long") * 86400 + 43200).cast("string")
     texts = dated.select(

@@ -82,13 +82,19 @@ def parse_case_name(name: Column) -> Column:
 
 
 def locate(paths: DataFrame, root: str) -> DataFrame:
-    """Add dataset, system, case directory and case attributes to ``path``."""
+    """Add dataset, system, case directory and case attributes to ``path``.
+
+    ``case_id`` is the case folder below the root, so equal folder names in other
+    datasets, systems or prefixes stay apart. Files that lie above a case folder
+    (less than ``<dataset>/<system>/<case>/<file>``) belong to no case and raise.
+    """
     below = F.regexp_replace(F.col("path"), r"^[a-zA-Z]+:/*/", "/")
     tail = F.filter(F.split(F.substring_index(below, root.rstrip("/") + "/", -1), "/"), lambda p: p != "")
-    out = paths.withColumn("_seg", tail).withColumn("_depth", F.size("_seg")).filter("_depth >= 4")
+    out = paths.withColumn("_seg", tail).withColumn("_depth", F.size("_seg"))
+    misplaced = F.concat(F.lit("no <dataset>/<system>/<case>/ folder around "), F.col("path"))
+    out = out.withColumn("_depth", F.when(F.col("_depth") >= 4, F.col("_depth")).otherwise(F.raise_error(misplaced).cast("int")))
     name = F.when(F.col("_depth") >= 6, F.get("_seg", F.lit(3))).otherwise(F.get("_seg", F.col("_depth") - 2))
     out = out.withColumn("case_name", name).withColumn("_info", parse_case_name(F.col("case_name")))
-    leaf = F.get("_seg", F.col("_depth") - 2)
     return out.select(
         *paths.columns,
         F.get("_seg", F.lit(0)).alias("dataset"),
@@ -96,7 +102,7 @@ def locate(paths: DataFrame, root: str) -> DataFrame:
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("case_dir"),
         F.element_at("_seg", -1).alias("file"),
         "case_name",
-        F.when(F.col("_depth") >= 6, F.concat_ws("_", "case_name", leaf)).otherwise(F.col("case_name")).alias("case_id"),
+        F.array_join(F.slice("_seg", F.lit(1), F.col("_depth") - 1), "/").alias("case_id"),
         F.col("_info.service").alias("fault_service"),
         F.col("_info.fault_type").alias("fault_type"),
     )
@@ -229,7 +235,7 @@ def panel_rows(lines: DataFrame, root: str, fault_types: list[str] | None = None
         parsed = F.when(F.lower(text).isin("", "nan"), F.lit(None)).otherwise(text).try_cast("double")
         return F.when(F.col(f"s.{m}").isNull(), F.lit(0.0)).otherwise(parsed).alias(m)
 
-    ts = F.trim(F.get("cells", F.col("clock"))).try_cast("double").cast("long")
+    ts = F.trim(F.get("cells", F.col("clock"))).try_cast("double").try_cast("long")
     return cells.select(
         "case_id", "dataset", "system", "fault_service", "fault_type", F.col("s.service").alias("service"),
         F.when(F.col("clock").isNull(), F.lit(None)).otherwise(ts).alias("ts"), "row", *[value(m) for m in METRICS],
@@ -253,22 +259,43 @@ def ground_truth(texts: DataFrame, root: str) -> DataFrame:
     )
 
 
-def read_side_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """Optional ``logs.csv`` / ``traces.csv`` of all cases in one scan, or
-    ``None`` when no case has one. Headers must agree."""
-    def scan(kind: str):
-        return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+def side_rows(lines: DataFrame, root: str) -> DataFrame:
+    """``(case_id, dataset, system, row, cells)`` of side-file lines; ``cells`` maps column names to values.
 
-    if scan("binaryFile").load(root).select("path").isEmpty():
+    Every file is read by its own header, so files may differ in columns and their order.
+    """
+    files = read_files(lines)
+    names = header_columns(files.select("path", "header")).groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "col"))).alias("plan"))
+    plans = files.select("path", "header_block", "header_seq").join(names, "path")
+    body = lines.join(plans, "path").filter(
+        ((F.col("block") != F.col("header_block")) | (F.col("seq") != F.col("header_seq"))) & (F.trim("line") != ""))
+    numbered = number_rows(body).withColumn("c", _fields(F.col("line")))
+    pairs = F.transform("plan", lambda p: F.struct(p["col"], F.get("c", p["ordinal"])))
+    out = numbered.select("path", "row", F.map_from_entries(pairs).alias("cells"))
+    return locate(out, root).select("case_id", "dataset", "system", "row", "cells")
+
+
+def read_side_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """Optional ``logs.csv`` / ``traces.csv`` of all cases, or ``None`` when no
+    case has one. The columns of all files together; a file without one has nulls."""
+    lines = scan_lines(spark, root, name)
+    if lines.isEmpty():
         return None
-    frame = scan("csv").option("header", True).load(root)
-    return locate(frame.withColumn("path", F.col("_metadata.file_path")), root).drop("file", "case_dir")
+    rows = land(side_rows(lines, root), "side-rows")
+    columns = [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().orderBy("col").collect()]
+    taken = {"case_id", "dataset", "system", "row"}
+    values = [F.try_element_at("cells", F.lit(c)).alias(f"{c}_" if c in taken else c) for c in columns]
+    return rows.select("case_id", "dataset", "system", "row", *values)
 
 
-def load_recordings(spark: SparkSession, root: str, **filters) -> tuple[DataFrame, DataFrame]:
+def load_recordings(spark: SparkSession, root: str, glob: str = METRICS_GLOB, **filters) -> tuple[DataFrame, DataFrame]:
     """(panel rows, case table) of a tree on storage. The text is parsed once
-    and landed in columns, which every later step reads."""
-    rows = land(panel_rows(scan_lines(spark, root), root, **filters), "recordings")
+    and landed in columns, which every later step reads. Side files without any
+    match leave their columns null."""
+    # Line numbers must agree in every pass over the lines, so the lines are landed first.
+    lines = land(scan_lines(spark, root, glob), "recording-lines")
+    rows = land(panel_rows(lines, root, **filters), "recordings")
     times = inject_times(scan_texts(spark, root, "inject_time.txt"), root)
     truth = ground_truth(scan_texts(spark, root, "ground_truth.json"), root)
     cases = rows.select("case_id", "dataset", "system", "fault_service", "fault_type").distinct()

@@ -38,7 +38,7 @@ def test_files_to_evaluation(spark, tmp_path):
     features = land(extract_features(metrics, table, "comparison"), "features")
     assert features.count() == 24 and features.filter("not has_reference").isEmpty()
     assert np.isfinite(features.select(*FEATURE_COLUMNS).toPandas().to_numpy()).all()
-    f = features.filter("case_id = 'cart_cpu_0_fault'").first()
+    f = features.filter("case_id = 'D1/sock-shop/P/cart_cpu/0_fault'").first()
     assert f.n_services == 3.0 and f.cpu_deviation > 0.01
     assert features.filter("label = 0 and cpu_deviation < 0.01").isEmpty() and features.filter("label = 1 and cpu_deviation > 0.01").isEmpty()
     _, result = train_and_evaluate(features, "random_forest", numTrees=10, maxDepth=3)

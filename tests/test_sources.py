@@ -9,6 +9,7 @@ from faultscope.sources import recordings as rec
 from faultscope.sources import results as rt
 from faultscope.sources.tables import land, shared_folder
 
+FLAT, NESTED, PLAIN = "D1/sock-shop/sock-shop_cart_cpu_3", "D1/sock-shop/P/user_mem/2", "D2/train-ticket/ts_f3"
 HEADER = "time,time,cart_cpu,cart_latency-90,cart_latency-50,cart_load,redis-cart_mem,stray"
 
 
@@ -30,6 +31,7 @@ def tree(tmp_path_factory):
     nested = root / "D1" / "sock-shop" / "P" / "user_mem" / "2"
     write(nested / "my_Metrics.csv", 'timestamp,"cart_cpu",cart_error\n5,"1.25",oops\n6,nan,0.5\n')
     write(nested / "inject_time.txt", "soon")
+    write(nested / "logs.csv", "level,message,ts\nhigh,turned,9\n")
     plain = root / "D2" / "train-ticket" / "ts_f3"
     write(plain / "data.csv", "cpu_usage,other\n1,2\n3,4\n")
     write(root / "D2" / "train-ticket" / "empty_cpu" / "metrics.csv", "time,a_cpu\n")
@@ -39,14 +41,14 @@ def tree(tmp_path_factory):
 def test_tree(spark, tree):
     rows, cases = rec.load_recordings(spark, tree)
     got = {r.case_id: r for r in cases.collect()}
-    assert set(got) == {"sock-shop_cart_cpu_3", "user_mem_2", "ts_f3"}
-    first = got["sock-shop_cart_cpu_3"]
+    assert set(got) == {FLAT, NESTED, PLAIN}
+    first = got[FLAT]
     assert (first.dataset, first.system, first.fault_service, first.fault_type, first.inject_time) == ("D1", "sock-shop", "cart", "cpu", 115)
     assert (first.root_cause_service, first.root_cause_metric) == ("cart", "cpu")
-    assert got["user_mem_2"].inject_time is None and got["user_mem_2"].system == "sock-shop"
-    assert (got["ts_f3"].system, got["ts_f3"].fault_type) == ("train-ticket", "f3")
+    assert got[NESTED].inject_time is None and got[NESTED].system == "sock-shop"
+    assert (got[PLAIN].system, got[PLAIN].fault_type) == ("train-ticket", "f3")
 
-    flat = rows.filter("case_id = 'sock-shop_cart_cpu_3'")
+    flat = rows.filter(f"case_id = '{FLAT}'")
     assert {r.service for r in flat.select("service").distinct().collect()} == {"cart", "redis-cart"}
     cart = flat.filter("service = 'cart'").orderBy("row").collect()
     assert [r.row for r in cart] == list(range(30))
@@ -54,15 +56,15 @@ def test_tree(spark, tree):
     assert cart[4].latency == 40.0 and cart[4].cpu_usage == 4.5 and cart[4].request_rate == 5.0 and cart[4].network_in == 0.0
     assert flat.filter("service = 'redis-cart'").first().memory_usage is None
 
-    nested = rows.filter("case_id = 'user_mem_2'").orderBy("row").collect()
+    nested = rows.filter(f"case_id = '{NESTED}'").orderBy("row").collect()
     assert [(r.ts, r.cpu_usage, r.error_rate) for r in nested] == [(5, 1.25, None), (6, None, 0.5)]
-    plain = rows.filter("case_id = 'ts_f3'").orderBy("row").collect()
+    plain = rows.filter(f"case_id = '{PLAIN}'").orderBy("row").collect()
     assert [(r.service, r.ts, r.row, r.cpu_usage, r.latency) for r in plain] == [("unknown", None, 0, 1.0, 0.0), ("unknown", None, 1, 3.0, 0.0)]
 
 
 def test_filters_and_last_wins(spark, tree):
     rows, cases = rec.load_recordings(spark, tree, fault_types=["cpu"], datasets=["D1"], prefer_p90=False)
-    assert [r.case_id for r in cases.collect()] == ["sock-shop_cart_cpu_3"]
+    assert [r.case_id for r in cases.collect()] == [FLAT]
     assert rows.filter("service = 'cart' and row = 4").first().latency == 4.0
     with pytest.raises(FileNotFoundError):
         rec.load_recordings(spark, tree, systems=["nowhere"])
@@ -85,7 +87,7 @@ def test_large_file_is_split_and_numbered(spark, tmp_path):
 
 def test_side_tables(spark, tree):
     logs = rec.read_side_table(spark, tree, "logs.csv")
-    assert {(r.case_id, r.message) for r in logs.collect()} == {("sock-shop_cart_cpu_3", "hello"), ("sock-shop_cart_cpu_3", "bye")}
+    assert {(r.case_id, r.message) for r in logs.collect()} == {(FLAT, "hello"), (FLAT, "bye"), (NESTED, "turned")}
     assert rec.read_side_table(spark, tree, "traces.csv") is None
 
 
