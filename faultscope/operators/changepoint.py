@@ -2,9 +2,13 @@
 
 PELT (Killick, Fearnhead and Eckley, 2012) over the kernel cost described by
 Truong, Oudre and Vayatis (2020). The search is sequential, so it runs in
-Python on blocks of at most ``max_points`` points; a longer series is searched
-block by block, and the borders of its blocks join the candidates. Candidates
-are scored against the whole series in Spark.
+Python on bounded blocks of points. A block also sees half a block on either
+side and reports only the changes in its own range, so every point is searched
+well inside some block: a block border is never a candidate, and a change has
+to pay the penalty wherever it lies. Candidates keep to one grid counted from
+the start of the series and are scored against the whole series in Spark. The
+kernel scale is that of the points a block sees; a series of at most
+``max_points`` points is one block.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import types as T
 from faultscope.canonical import EPS, SERIES_KEY
 from faultscope.operators.chunks import with_halo
 
-MAX_POINTS = 4096
+MAX_POINTS = 1024
 MIN_SERIES = 10
 EDGE = 3
 # Smallest segment, candidate grid and exponent bounds of the kernel cost.
@@ -39,10 +43,10 @@ def kernel_block_sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.pad(cells.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
 
 
-def segment_ends(x: np.ndarray, penalty: float, grid: int = GRID, min_segment: int = MIN_SEGMENT) -> list[int]:
-    """Interior change points of the cheapest segmentation, ascending."""
+def segment_ends(x: np.ndarray, penalty: float, grid: int = GRID, min_segment: int = MIN_SEGMENT, first: int = 0) -> list[int]:
+    """Interior change points of the cheapest segmentation, ascending; ``first`` is the position of ``x[0]`` in its series."""
     n = len(x)
-    inner = np.arange(grid, n - min_segment + 1, grid)
+    inner = np.arange(-first % grid or grid, n - min_segment + 1, grid)
     cuts = np.concatenate([[0], inner[inner >= min_segment], [n]])
     if len(cuts) < 3:
         return []
@@ -74,18 +78,15 @@ def _search(penalty: float, grid: int, min_segment: int):
     ])
 
     @F.pandas_udf(schema)
-    def search(points: pd.Series, start: pd.Series, previous: pd.Series) -> pd.DataFrame:
+    def search(points: pd.Series, first: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
         rows = []
-        for x, first, last in zip(points, start, previous):
+        for x, at, own, stop in zip(points, first, start, end):
             x = np.asarray(x, dtype=float)
-            cuts = np.asarray(segment_ends(x, penalty, grid, min_segment), dtype=int)
+            cuts = np.asarray(segment_ends(x, penalty, grid, min_segment, int(at)), dtype=int)
+            cuts = cuts[(cuts + at >= own) & (cuts + at <= stop)]
             sums = np.concatenate([[0.0], np.cumsum(x)])
             slope = np.abs(np.gradient(x)) if len(x) > 1 else np.zeros(len(x))
-            cp, before, slopes = first + cuts, sums[cuts], slope[cuts]
-            if first > 0 and len(x) > 1:
-                cp, before = np.append(cp, first), np.append(before, 0.0)
-                slopes = np.append(slopes, abs(x[1] - last) / 2.0)
-            rows.append((cp, before, slopes))
+            rows.append((at + cuts, sums[cuts] - sums[own - at], slope[cuts]))
         return pd.DataFrame(rows, columns=["cp", "before", "slope"])
 
     return search
@@ -97,17 +98,19 @@ def change_candidates(metrics: DataFrame, value: str = "cpu_usage", penalty: flo
     Missing values count as 0."""
     rows = metrics.filter(F.col("n") >= MIN_SERIES).select(
         *SERIES_KEY, "i", "n", F.coalesce(F.col(value), F.lit(0.0)).alias("x"))
-    blocks = with_halo(rows, before=1, size=max_points).filter(f"chunk <= (n - 1) div {max_points}L")
+    side = max_points // 2
+    blocks = with_halo(rows, before=side, after=side, size=max_points).filter(f"chunk <= (n - 1) div {max_points}L")
     own = ~F.col("halo")
-    points = F.sort_array(F.collect_list(F.when(own, F.struct("i", "x"))))
+    points = F.sort_array(F.collect_list(F.struct("i", "x")))
     per_block = blocks.groupBy(*SERIES_KEY, F.col("chunk").alias("block")).agg(
         F.max("n").alias("n"),
+        F.min("i").alias("first"),
         F.min(F.when(own, F.col("i"))).alias("start"),
+        F.max(F.when(own, F.col("i"))).alias("end"),
         F.sum(F.when(own, F.col("x"))).alias("block_sum"),
-        F.coalesce(F.max(F.when(~own, F.col("x"))), F.lit(0.0)).alias("previous"),
         F.transform(points, lambda p: p["x"]).alias("points"),
     )
-    found = _search(penalty, grid, min_segment)(F.col("points"), F.col("start"), F.col("previous"))
+    found = _search(penalty, grid, min_segment)(F.col("points"), F.col("first"), F.col("start"), F.col("end"))
     return per_block.withColumn("f", found).select(
         *SERIES_KEY, "n", "block", "block_sum", F.arrays_zip("f.cp", "f.before", "f.slope").alias("candidates")
     )

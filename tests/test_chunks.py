@@ -187,6 +187,28 @@ def test_change_point_in_a_long_series(spark):
         assert cut["a"].cp_abruptness == pytest.approx(whole["a"].cp_abruptness)
 
 
+def test_blocks_invent_no_changes_and_lose_none(spark):
+    own = np.random.default_rng(5)
+    noise = own.normal(0, 1, 600)
+    shift = noise.copy()
+    shift[330:] += 3
+    m = panel(spark, {"noise": noise, "shift": shift})
+    prof = features.series_profile(m)
+    for size in (40, 100, 300, 4096):
+        got = {r.service: r.cp for r in change_points(m, prof, max_points=size).collect()}
+        assert got == {"noise": -1, "shift": 330}, size
+
+
+def test_change_search_beyond_several_blocks(spark):
+    own = np.random.default_rng(6)
+    noise = own.normal(0, 1, 5000)
+    shift = noise.copy()
+    shift[3070:] += 4  # a block border is at 3072
+    m = panel(spark, {"noise": noise, "shift": shift})
+    got = {r.service: r.cp for r in change_points(m, features.series_profile(m)).collect()}
+    assert got == {"noise": -1, "shift": 3070}
+
+
 def test_features_do_not_depend_on_partitioning_or_chunks(spark, monkeypatch):
     m = panel(spark, {"a": X, "b": Y}).unionByName(panel(spark, {"a": X[:40], "b": Y[:40]}, role="reference"))
     c = cases(spark, [("c1", 0, {})])

@@ -123,3 +123,24 @@ def test_landed_tables_live_in_the_shared_folder(spark):
     df = land(spark.range(5).toDF("x"), "test")
     assert df.count() == 5
     assert shared_folder(spark) in df.inputFiles()[0]
+
+
+def test_equal_folder_names_stay_apart(spark, tmp_path):
+    """Two datasets, systems and prefixes with one folder name; a clock that is no number."""
+    for d in ("RE1", "RE2"):
+        for s in ("sock-shop", "train-ticket"):
+            for p in ("P", "Q"):
+                folder = tmp_path / d / s / p / "cart_cpu" / "1"
+                write(folder / "metrics.csv", "time,cart_cpu\n" + "".join(f"{k},{k}.0\n" for k in range(5)) + "nan,9\n")
+                write(folder / "inject_time.txt", "3" if p == "P" else "4")
+    rows, cases = rec.load_recordings(spark, str(tmp_path))
+    assert cases.count() == 8 and rows.count() == 48
+    assert {r["count"] for r in rows.groupBy("case_id").count().collect()} == {6}
+    assert rows.filter("cpu_usage = 9 and ts is null").count() == 8
+    assert {(r.case_id.split("/")[2], r.inject_time) for r in cases.collect()} == {("P", 3), ("Q", 4)}
+
+
+def test_files_outside_a_case_folder_raise(spark, tmp_path):
+    write(tmp_path / "D" / "sock-shop" / "metrics.csv", "time,a_cpu\n1,2\n")
+    with pytest.raises(Exception, match="no <dataset>/<system>/<case>/ folder"):
+        rec.load_recordings(spark, str(tmp_path))
