@@ -29,13 +29,16 @@ from faultscope.llm.repeats import Unit, covered, octets, packed, repeated_windo
 #: Bytes of a repeated string.
 LENGTH = 200
 #: Different runs of one anchor that still go into one suffix array.
-MAX_CLASSES = 200
-#: Bytes of one suffix array.
+MAX_CLASSES = 4000
+#: Bytes of one suffix array: about what so many runs hold.
 GROUP_BYTES = 1_500_000
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix order of ``text`` (bytes plus one, 0 between texts) to at least ``depth``, and equal marks for equal strings of each length."""
+    """Suffix order of ``text`` (bytes plus one, 0 between texts) to at least ``depth``, and equal marks for equal strings of each length.
+
+    A rank is the place in suffix order where a suffix's group of equals begins. Groups of one are settled: only larger ones are sorted again at the doubled length.
+    """
     n = len(text)
     padded = np.zeros(n + 7, np.int64)
     padded[:n] = text
@@ -44,33 +47,54 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
         key = key << 9 | padded[t : t + n]
     # Below seven symbols the packed symbols themselves tell equals apart.
     levels, have = [(k, key >> 9 * (7 - k)) for k in (1, 2, 4)], 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.zeros(n, np.int64)
-        new[1:] = np.cumsum(ranked[1:] != ranked[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        levels.append((have, rank))
-        if have >= depth:
-            return order, levels
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - have)] = rank[have:] + 1
-        key = rank * (n + 1) + after
+    order = np.argsort(key).astype(np.int32)
+    ranked = key[order]
+    new = np.ones(n, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    levels.append((have, rank))
+    while have < depth:
+        alone = new & np.append(new[1:], True)
+        open_at = np.flatnonzero(~alone)
+        who = order[open_at]
+        ahead = who + have
+        after = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        pair = rank[who].astype(np.int64) << 32 | after
+        turn = np.argsort(pair)
+        who, pair = who[turn], pair[turn]
+        order[open_at] = who
+        fresh = np.ones(len(who), bool)
+        fresh[1:] = pair[1:] != pair[:-1]
+        new[open_at] = fresh
+        rank = rank.copy()
+        rank[who] = np.maximum.accumulate(np.where(fresh, open_at, 0))
         have *= 2
+        levels.append((have, rank))
+    return order, levels
 
 
-def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, at most the levels' lengths together."""
+def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], least: int) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in ``order``: 0 below ``least``, and at most the levels' lengths together."""
     n = len(order)
     out = np.zeros(n, np.int64)
-    a, b = order[:-1].copy(), order[1:].copy()
+    # Two overlapping strings of one level say whether `least` is reached at all.
+    length, rank = max((x for x in levels if x[0] <= least), key=lambda x: x[0])
+    shift = least - length
+    at = np.flatnonzero(rank[order[1:]] == rank[order[:-1]])
+    a, b = order[at], order[at + 1]
+    inside = np.maximum(a, b) + shift < n
+    at, a, b = at[inside], a[inside], b[inside]
+    same = rank[a + shift] == rank[b + shift]
+    at, a, b = at[same], a[same].astype(np.int64), b[same].astype(np.int64)
+    total = np.zeros(len(at), np.int64)
     for length, rank in reversed(levels):
-        ok = (a < n) & (b < n)
-        ok[ok] = rank[a[ok]] == rank[b[ok]]
-        out[1:][ok] += length
-        a[ok] += length
-        b[ok] += length
+        ok = (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a < n) & (b < n)
+        add = ok * length
+        total += add
+        a += add
+        b += add
+    out[at + 1] = total
     return out
 
 
@@ -85,12 +109,10 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarr
     for side in (-1, 1):
         # to[i]: next candidate on this side; cp[i]: common prefix with it.
         place = np.arange(n)
-        to = place + side
         cp = lcp.copy() if side < 0 else np.append(lcp[1:], 0)
-        live = np.flatnonzero((to >= 0) & (to < n) & (cp >= least))
-        dead = np.ones(n, bool)
-        dead[live] = False
-        to[dead], cp[dead] = -1, 0
+        to = np.where(cp >= least, place + side, -1)
+        cp[to < 0] = 0
+        live = np.flatnonzero(to >= 0)
         while len(live):
             live = live[(to[live] >= 0) & (order[np.maximum(to[live], 0)] > order[live])]
             if not len(live):
@@ -111,7 +133,7 @@ def repeats_in(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.nda
         joined[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int64) + 1
         at += len(t) + 1
     order, levels = suffix_ranks(joined, length)
-    lcp = common_prefixes(order, levels)
+    lcp = common_prefixes(order, levels, length)
     earlier = longest_previous(order, lcp, length) >= length
     back = len(joined) - 1 - order
     later = longest_previous(back, lcp, length)[::-1] >= length
