@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from functools import cache
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,9 +36,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class WordTokens:
-    """Token ids of texts, word by word, with the ids of known words kept (at most ``limit`` words)."""
+    """Token ids of texts, word by word, with the ids of known words kept (at most ``limit`` words, some 40 bytes each)."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 4_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,43 +48,48 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # Word hashes in order, and where each word's ids begin in the pool and how many they are.
+        self.known, self.begin, self.length = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.uint16)
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, words: list[str], names: list[int]) -> None:
+    def _learn(self, words: list[str], names: np.ndarray) -> None:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        have = len(self.place)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, length.sum())
         while self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        while have + len(ids) > len(self.begin):
-            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.begin[have : have + len(ids)] = self.used + np.cumsum(length) - length
-        self.length[have : have + len(ids)] = length
+        at = np.searchsorted(self.known, names)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
+        self.known = np.insert(self.known, at, names)
         self.used += len(flat)
-        self.place.update(zip(names, range(have, have + len(ids)), strict=True))
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in ``raw``, end to end, and the n + 1 offsets of the rows."""
         begin, end, counts = word_bounds(raw, offsets)
         names, first, which = np.unique(word_hashes(raw, begin, end), return_index=True, return_inverse=True)
-        if len(self.place) + len(names) > self.limit:
+        if (end - begin).max(initial=0) > 8000:
+            # A word this long would not fit the table: the row's words are encoded as they stand.
+            return self._plain(raw, offsets)
+        if len(self.known) + len(names) > self.limit:
             self._clear()
-        keys = names.tolist()
-        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(at < 0)
+        at = np.searchsorted(self.known, names)
+        new = np.flatnonzero((at == len(self.known)) | (self.known[np.minimum(at, max(0, len(self.known) - 1))] != names)) if len(self.known) else np.arange(len(names))
         if len(new):
             data = raw.tobytes()
-            self._learn([data[begin[i] : end[i]].decode() for i in first[new]], [keys[i] for i in new])
-            at[new] = np.fromiter((self.place[keys[i]] for i in new), np.int64, len(new))
-        length = self.length[at][which]
+            self._learn([data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)], names[new])
+            at = np.searchsorted(self.known, names)
+        length = self.length[at].astype(np.int64)[which]
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(self.begin[at][which] - upto[:-1], length) + np.arange(upto[-1])]
         return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
 
+    def _plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
 
 @cache
 def _tokens(path: str) -> WordTokens:
