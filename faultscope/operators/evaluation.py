@@ -166,6 +166,11 @@ def auc(predictions: DataFrame, groups: list[str], score: str = "p1") -> DataFra
     )
 
 
+def evaluate_ranked(predictions: DataFrame, groups: list[str], score: str = "p1", baseline_fp_rate: float | None = None) -> DataFrame:
+    """The metric bundle together with ``pr_auc`` and ``roc_auc``."""
+    return evaluate(predictions, groups, baseline_fp_rate).join(auc(predictions, groups, score), groups)
+
+
 # ---------------------------------------------------------------- calibration
 
 def reliability(predictions: DataFrame, groups: list[str], n_bins: int = 10) -> DataFrame:

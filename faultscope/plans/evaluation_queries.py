@@ -167,19 +167,26 @@ def _(spark, sf_dir):
     return rounded(ev.confusion_matrix(preds(spark, sf_dir), G), *G, "y_true", "y_pred", "count")
 
 
-@q("rank_metrics", "predictions", body=f"""
-    WITH_PAIRS""".replace("WITH_PAIRS", f"""
-    SELECT a.variant, a.run, {r('a.roc')} AS roc_auc, {r('b.ap')} AS pr_auc FROM (
+cte("ranks", f"""
+    SELECT a.variant, a.run, a.roc AS roc_auc, b.ap AS pr_auc FROM (
         SELECT x.variant, x.run, avg(CASE WHEN x.p1 > y.p1 THEN 1.0::DOUBLE WHEN x.p1 = y.p1 THEN 0.5 ELSE 0.0 END) AS roc
         FROM predictions x JOIN predictions y ON x.variant = y.variant AND x.run = y.run AND x.y_true = 1 AND y.y_true = 0 GROUP BY 1, 2) a
     JOIN (SELECT variant, run, sum(pos * tp / (tp + fp)) / sum(pos) AS ap FROM (
             SELECT variant, run, pos, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(neg) OVER w AS DOUBLE) AS fp FROM (
                 SELECT variant, run, p1, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM predictions GROUP BY 1, 2, 3)
-            WINDOW w AS (PARTITION BY variant, run ORDER BY p1 DESC)) GROUP BY 1, 2) b ON a.variant = b.variant AND a.run = b.run"""))
+            WINDOW w AS (PARTITION BY variant, run ORDER BY p1 DESC)) GROUP BY 1, 2) b ON a.variant = b.variant AND a.run = b.run""", "predictions")
+
+
+@q("rank_metrics", "ranks", body=f"SELECT {KEYS}, {rr('roc_auc', 'pr_auc')} FROM ranks")
 def _(spark, sf_dir):
     return rounded(ev.auc(preds(spark, sf_dir), G), *G)
 
 
+@q("metric_bundle_with_ranks", "metrics", "ranks", body=f"SELECT {KEYS}, {rr(*_METRICS, 'roc_auc', 'pr_auc')} FROM metrics JOIN ranks USING (variant, run)")
+def _(spark, sf_dir):
+    return rounded(ev.evaluate_ranked(preds(spark, sf_dir), G, baseline_fp_rate=1.0), *G)
+
+
 cte("bins", """
     SELECT variant, run, CAST(ceil(greatest(p0, p1) * 10) AS INTEGER) AS bin, count(*) AS count, avg(greatest(p0, p1)) AS confidence,
            avg(CASE WHEN (CASE WHEN p0 >= p1 THEN 0 ELSE 1 END) = y_true THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy
@@ -424,6 +431,20 @@ def _(spark, sf_dir):
     return rt.nested_json(n, "size", "variant", "n", "run")
 
 
+@q("nested_json_upsert", "sized", body="""
+    SELECT CAST(size AS VARCHAR) AS size, '{' || string_agg('"' || variant || '":[' || runs || ']', ',' ORDER BY variant) || '}' AS json FROM (
+        SELECT size, variant, string_agg(CAST(n AS VARCHAR), ',' ORDER BY run) AS runs FROM (
+            SELECT (fold + 1) * 500 AS size, variant, run, count(*) + CASE WHEN variant = 'rule' OR fold > 2 THEN 1 ELSE 0 END AS n
+            FROM predictions GROUP BY 1, 2, 3, fold) GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, sf_dir):
+    """Results of all sizes but the last ones were stored before; the rule was run again and the last sizes are new."""
+    keys = [((F.col("fold") + 1) * 500).cast("string").alias("size"), "variant", "run", "fold"]
+    n = preds(spark, sf_dir).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    stored = rt.nested_json(n.filter("fold <= 2"), "size", "variant", "n", "run")
+    again = n.filter("variant = 'rule' OR fold > 2").withColumn("n", F.col("n") + 1)
+    return rt.merge_nested_json(stored, rt.nested_json(again, "size", "variant", "n", "run"), "size")
+
+
 _SYSTEMS = ["de", "en", "es", "fr"]
 
 

@@ -42,6 +42,17 @@ def nested_json(runs: DataFrame, outer: str, inner: str, value: str, order: str)
     return per_inner.groupBy(outer).agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
+def merge_nested_json(old: DataFrame, new: DataFrame, outer: str, value_type: str = "bigint") -> DataFrame:
+    """Stored ``(outer, json)`` rows with newer ones merged in: a new inner key replaces the stored one, the rest stays."""
+    kind = f"map<string,array<{value_type}>>"
+    none = F.from_json(F.lit("{}"), kind)
+    both = old.select(outer, F.col("json").alias("_old")).join(new.select(outer, F.col("json").alias("_new")), outer, "full_outer")
+    parsed = both.select(outer, *(F.coalesce(F.from_json(c, kind), none).alias(c) for c in ("_old", "_new")))
+    kept = F.map_filter("_old", lambda k, _: ~F.map_contains_key("_new", k))
+    entries = F.array_sort(F.concat(F.map_entries(kept), F.map_entries("_new")))
+    return parsed.select(outer, F.to_json(F.map_from_entries(entries)).alias("json"))
+
+
 def merge_systems(results: DataFrame, systems: list[str], metrics: list[str] | None = None) -> DataFrame:
     """One wide row per variant: ``<system>_<metric>`` and the average over the
     systems that have the variant."""
