@@ -9,9 +9,9 @@ In a bucket every node is paired with one centre only, the node that meets the
 most others over all its buckets, and each pair is confirmed on the full sets.
 A star alone can miss links between two members that the centre does not bind.
 So after joining confirmed links to components, each bucket that still holds
-several components is finished: every node outside the bucket's largest
-component is paired with the members of other components. Members of one
-component need no further pair. Large buckets are finished in several rounds.
+several components is finished: the nodes outside its largest component are
+compared with the members of other components, in blocks. Members of one
+component need no further comparison.
 
 At a similarity of 0.8, 32 bands of 4 miss a pair with probability 5e-8.
 
@@ -35,8 +35,8 @@ from faultscope.llm.repeats import packed, unpack
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 _BIN_BITS = BINS.bit_length() - 1
-#: Pairs of one bucket in one finishing round.
-ROUND_PAIRS = 100_000
+#: Nodes on the one side and bytes of packed texts on the other of a block in the finishing comparison.
+BLOCK_NODES, BLOCK_BYTES = 256, 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -166,6 +166,67 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.join(root_a, "a").join(root_b, "b").where("ra < rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
+def _finish(members: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links ``(a, b)`` between the components of each bucket ``(bucket, node, comp)``.
+
+    A shingle that no other node of an open bucket has can be in no intersection. A node whose other shingles are
+    too few for any link is left out; that is exact. The rest is compared block by block inside tasks: blocks of
+    nodes outside the bucket's largest component against blocks of all, so no pair is ever a row.
+    """
+    per_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    several = per_comp.groupBy("bucket").agg(F.count("*").alias("comps")).where("comps > 1").select("bucket")
+    rows = land(members.join(several, "bucket"), "open-buckets")
+    wanted = rows.select("node").distinct()
+
+    def spread(batches):
+        for batch in batches:
+            nodes, bodies_of = batch.column("node"), batch.column("body")
+            for i in range(batch.num_rows):
+                raw = unpack(bodies_of[i].as_py())
+                s = shingle_sets(raw, np.array([0, len(raw)]), size)[0]
+                columns = [nodes.take(pa.array(np.full(len(s), i))), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingle", "n"])
+
+    shingles = bodies.join(wanted, "node", "left_semi").mapInArrow(spread, "node long, shingle long, n long")
+    lone = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("n").alias("n")).where("c = 1")
+    known = lone.groupBy("node").agg(F.count("*").alias("lone"), F.min("n").alias("n"))
+    dead = known.where(100 * (F.col("n") - F.col("lone")) < percent * F.col("n")).select("node")
+    sizes = bodies.join(wanted, "node", "left_semi").select("node", F.octet_length("body").alias("bytes"))
+    alive = land(rows.join(sizes, "node").join(dead, "node", "left_anti"), "open-buckets")
+    per_comp = alive.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
+    still = per_comp.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes"))
+    left_blocks = F.ceil((F.col("c") - F.col("major.c")) / BLOCK_NODES).cast("int").alias("left_blocks")
+    right_blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("right_blocks")
+    placed = alive.join(still.where("comps > 1").select("bucket", F.col("major.comp").alias("major"), left_blocks, right_blocks), "bucket")
+    each = lambda own, blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias(own)
+    deal = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    outer = placed.where("comp <> major").select("bucket", "node", "comp", F.lit(0).alias("side"), deal("left_blocks").alias("x"), each("y", "right_blocks"))
+    inner = placed.select("bucket", "node", "comp", F.lit(1).alias("side"), each("x", "left_blocks"), deal("right_blocks").alias("y"))
+    blocks = outer.unionByName(inner).join(bodies, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, node, comp = (table.column(c).to_numpy() for c in ("side", "node", "comp"))
+        right = np.flatnonzero(side == 1)
+        out_a, out_b = [], []
+        if len(right) and len(right) < len(side):
+            sets = []
+            for body in table.column("body"):
+                raw = unpack(body.as_py())
+                sets.append(shingle_sets(raw, np.array([0, len(raw)]), size)[0])
+            length = np.array([len(s) for s in sets], np.int64)
+            joined = np.concatenate([sets[i] for i in right])
+            owner = np.repeat(np.arange(len(right)), length[right])
+            for i in np.flatnonzero(side == 0):
+                at = np.minimum(np.searchsorted(sets[i], joined), length[i] - 1)
+                both = np.bincount(owner[sets[i][at] == joined], minlength=len(right))
+                ok = (100 * both >= percent * (length[i] + length[right] - both)) & (comp[right] != comp[i])
+                out_a += [node[i]] * int(ok.sum())
+                out_b += node[right][ok].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return blocks.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``k_id, k_text, n, component_id, keep_text`` per document: the smallest id of its component, and the text hash of the row that stays."""
     texts = keyed(docs, "doc_id", "text")
@@ -185,29 +246,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = land(confirmed(pairs, bodies, size, percent), "links")
     comp = components(links)
     # Buckets that still hold several components: their smaller components against the rest.
-    turns, turn = None, 0
-    while True:
-        labelled = members.select("bucket", "node", "size").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        per_comp = labelled.groupBy("bucket", "size", "comp").agg(F.count("*").alias("n"))
-        several = per_comp.groupBy("bucket", "size").agg(F.max(F.struct("n", "comp")).alias("major"), F.count("*").alias("c")).where("c > 1")
-        if turns is None:
-            # A bucket of many pairs takes several turns, each with its share of the nodes.
-            count = F.ceil((F.col("size") - F.col("major.n")) * F.col("size") / ROUND_PAIRS)
-            turns = land(several.select("bucket", count.alias("turns")), "turns")
-        still = turns.where(F.col("turns") > turn)
-        if not still.head(1):
-            break
-        left = labelled.join(several.select("bucket", F.col("major.comp").alias("major")).join(still, "bucket"), "bucket")
-        mine = F.pmod(F.xxhash64("node", "bucket"), F.col("turns")) == turn
-        outside = left.where((F.col("comp") != F.col("major")) & mine).select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        more = outside.join(left.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "bucket").where("comp_a != comp_b")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = land(confirmed(more.join(tested, ["a", "b"], "left_anti"), bodies, size, percent), "links")
-        if found.head(1):
-            links = links.unionByName(found)
-            comp = components(links)
-        turn += 1
+    found = land(_finish(members.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), bodies, size, percent), "links")
+    if found.head(1):
+        comp = components(links.unionByName(found))
     grouped = nodes.select("s1", "s2", "node", "rep", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = grouped.groupBy("comp").agg(F.coalesce(F.min("least"), F.min("rep")).alias("keep"))
     result = land(grouped.join(best, "comp").select("s1", "s2", "keep"), "components")

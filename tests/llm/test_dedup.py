@@ -62,8 +62,9 @@ def test_drop_near_copies_keeps_one_of_each_group(spark):
 
 
 def test_links_that_no_star_centre_has_are_found(spark, monkeypatch):
-    """A chain: each text is near the next one only, and they share buckets; several finishing turns."""
-    monkeypatch.setattr(minhash, "ROUND_PAIRS", 3)
+    """A chain: each text is near the next one only, and they share buckets; several blocks a bucket."""
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 2)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 900)
     rng = random.Random(8)
     words = prose(rng, 120).split()
     rows = []
