@@ -4,7 +4,9 @@ Pages are sorted by host and URL path; each page is paired with its neighbours
 in that order, which share the longest path with it. Lines (blocks of text) of
 a page that also stand, in the same order, in a neighbour (longest common
 subsequence) are the template of the site and deleted. Lines of menus, headers,
-footers, sidebars, adverts, forms, comments and the like go by their markup.
+footers, sidebars, adverts, forms, comments and the like go by their markup, but
+never an article or main below it that is the page's own, nor what only looks
+like layout and holds the page.
 Lines inside an article or main element are never deleted for being shared:
 two pages may carry one text.
 
@@ -43,6 +45,20 @@ OFF_WORDS = frozenset("""ad ads advert adverts advertisement advertising adslot
 alert newsletter subscribe subscription signup popup modal overlay sidebar sidebars aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs
 footer header masthead topbar toolbar share sharing social related recommended recommendations comment comments reply replies respond discussion disqus
 pagination pager login search searchbox complementary contentinfo skip paywall""".split())
+#: Whole names of boilerplate, besides OFF_WORDS. In an article only whole names count.
+OFF_NAMES = OFF_WORDS | frozenset("""ad-banner ad-container ad-slot ad-unit ad-wrapper adsbygoogle google-ad comment-form comment-list comment-respond comments-area comments-list
+comments-section cookie-banner cookie-consent cookie-notice email-signup more-stories nav-links nav-menu main-nav site-nav site-header site-footer site-navigation main-navigation
+post-navigation newsletter-form newsletter-signup recommended-articles related-articles related-content related-links related-news related-posts related-stories search-form
+share-bar share-buttons share-links sharing-buttons sidebar-left sidebar-right skip-link social-icons social-links social-media social-share sponsored-content""".split())
+#: Names that in an article are as often its own parts: a headline's box, admonitions, a section called so.
+OWN_PARTS = frozenset("alert banner banners discussion header masthead navigation notice notices related search skip".split())
+INSIDE_NAMES = OFF_NAMES - OWN_PARTS
+#: In an article these are as often tokens of listed code.
+INLINE_NAMES = INSIDE_NAMES - frozenset("comment comments reply replies".split())
+#: Lists of what others wrote: no wrapper of a page, however long.
+TALK = frozenset("comment comments reply replies respond discussion disqus related recommended recommendations".split())
+#: Skipped elements that a page shows and that may hold an article.
+SHOWN = frozenset("nav footer aside menu form fieldset label dialog".split())
 #: Pages of one part of the sorted order.
 PART = 10_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -51,38 +67,110 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 SPACES = re.compile(r"\s+")
 
 
-def _off(name: str, attributes: str) -> bool:
+#: Why an element goes: not; perhaps, unless it holds the page; with what it holds but articles; whatever it holds.
+KEPT, LAYOUT, BOILERPLATE, HIDDEN = range(4)
+
+
+def _off(name: str, attributes: str, inside: bool = False) -> int:
+    """What the markup of an element says of it; ``inside`` an article only whole class and role names count."""
+    found = KEPT
     if name in SKIPPED:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        found = LAYOUT if name == "form" else BOILERPLATE if name in SHOWN else HIDDEN
+    if not attributes:
+        return found
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id", "role") and not OFF_WORDS.isdisjoint(SPLIT.split(value)):
-            return True
-    return False
+        if key == "hidden":
+            return HIDDEN
+        if name in ("html", "body", "main"):
+            continue
+        if key == "aria-hidden" and value == "true":
+            found = max(found, BOILERPLATE)
+        elif key in ("class", "id", "role"):
+            names = value.split()
+            if name == "article":
+                # An article of its own among comments or teasers.
+                if key == "class" and not TALK.isdisjoint(names):
+                    found = max(found, BOILERPLATE)
+            elif inside:
+                # Sections carry slugs of their headings as id.
+                if key == "role" and not OFF_WORDS.isdisjoint(names) or key == "class" and not (INSIDE_NAMES if name in BLOCKS else INLINE_NAMES).isdisjoint(names):
+                    found = max(found, BOILERPLATE)
+                elif key == "id" and not (OFF_NAMES - OFF_WORDS | {"comments", "respond"}).isdisjoint(names):
+                    found = max(found, BOILERPLATE)
+            elif not OFF_NAMES.isdisjoint(names):
+                found = max(found, BOILERPLATE)
+            elif not OFF_WORDS.isdisjoint(SPLIT.split(value)):
+                found = max(found, LAYOUT if TALK.isdisjoint(SPLIT.split(value)) else BOILERPLATE)
+    return found
 
 
 #: Where a line stands: elsewhere on the page, in an article, in what markup rules out.
 PLAIN, ARTICLE, OFF = range(3)
 
 
+class _Open:
+    """An open element and what it takes over from those around it."""
+
+    __slots__ = ("name", "off", "inside", "layout", "second", "link")
+
+    def __init__(self, name: str | None, off: int = KEPT, inside: bool = False, layout: tuple = (), second: bool = False, link: bool = False):
+        self.name, self.off, self.inside, self.layout, self.second, self.link = name, off, inside, layout, second, link
+
+
+PAGE = _Open(None)
+
+
+def _opened(name: str, attributes: str, top: _Open, layouts: list) -> _Open:
+    inside = top.inside or name in ("article", "main")
+    here = BOILERPLATE if name == "header" and not top.inside else _off(name, attributes, top.inside)
+    off, layout, second = top.off, top.layout, top.second
+    if name in ("article", "main") and off < HIDDEN and here < HIDDEN:
+        # Back from what is off around it; below boilerplate it counts if the page has no other.
+        second = second or off == BOILERPLATE or here == BOILERPLATE
+        off, layout = KEPT, ()
+    elif here == LAYOUT:
+        layout = (*layout, len(layouts))
+        layouts.append([0, 0])
+    else:
+        off = max(off, here)
+    return _Open(name, off, inside, layout, second, top.link or name == "a")
+
+
 def lines(page: str) -> list[tuple[str, int]]:
-    """The blocks of text of a page in order, and where each stands."""
-    out: list[tuple[str, int]] = []
+    """The blocks of text of a page in order, and where each stands.
+
+    An article or main counts again below an element that is off. What only
+    looks like layout (a form, a name like ``has-sidebar``) stays if it holds
+    at least half of the articles, or of the text outside links on a page
+    without any. An article below boilerplate (an aside, a list of comments)
+    counts on pages that have no other.
+    """
+    out: list[tuple[str, int, tuple, bool]] = []
     text: list[str] = []
     dropped: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, switched off, in article
-    off = article = False
+    stack: list[_Open] = []
+    top = PAGE
+    layouts: list[list[int]] = []  # characters in articles and outside links, of each layout element
+    around: list[int] = []         # layout elements open now, whatever resets
+    total = [0, 0]
+
+    def add(piece: str) -> None:
+        (dropped if top.off else text).append(piece)
+        if not top.off and not top.second:
+            n = len(piece.strip())
+            for kind, counts in ((0, top.inside), (1, not top.link)):
+                if counts:
+                    total[kind] += n
+                    for k in around:
+                        layouts[k][kind] += n
 
     def close() -> None:
-        for held, place in ((text, ARTICLE if article else PLAIN), (dropped, OFF)):
+        for held, off in ((text, False), (dropped, True)):
             if held:
                 line = SPACES.sub(" ", entities.unescape("".join(held))).strip()
                 if line:
-                    out.append((line, place))
+                    out.append((line, OFF if off else ARTICLE if top.inside else PLAIN, () if off else top.layout, top.second))
                 held.clear()
 
     at, end = 0, len(page)
@@ -91,10 +179,10 @@ def lines(page: str) -> list[tuple[str, int]]:
         if m is None:
             # A tag that never ends is no text.
             cut = re.compile(r"<[a-zA-Z/!?]").search(page, at)
-            (dropped if off else text).append(page[at : cut.start() if cut else end])
+            add(page[at : cut.start() if cut else end])
             break
         if m.start() > at:
-            (dropped if off else text).append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -110,7 +198,7 @@ def lines(page: str) -> list[tuple[str, int]]:
                 if name in BLOCKS:
                     close()
                 elif name in INLINE_BREAKS:
-                    (dropped if off else text).append(" ")
+                    add(" ")
                 continue
             if name in BLOCKS:
                 close()
@@ -118,30 +206,31 @@ def lines(page: str) -> list[tuple[str, int]]:
                     _pop(stack, "p", ("div", "article", "section", "body", "td", "li", "blockquote", "main"))
                 elif name == "li":
                     _pop(stack, "li", ("ul", "ol", "menu"))
-            top = stack[-1] if stack else (None, False, False)
-            inside = top[2] or name in ("article", "main")
-            header = name == "header" and not top[2]
-            gone = top[1] or header or _off(name, m[3])
             if not m[3].rstrip().endswith("/") or name in BLOCKS:
-                stack.append((name, gone, inside))
+                stack.append(_opened(name, m[3], stack[-1] if stack else PAGE, layouts))
         else:
             if name in BLOCKS:
                 close()
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if any(s.name == name for s in stack):
+                while stack.pop().name != name:
                     pass
-        off, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        top = stack[-1] if stack else PAGE
+        if layouts:
+            around = sorted({k for s in stack for k in s.layout})
     close()
-    return out
+    kind = 0 if total[0] else 1
+    gone = {k for k, held in enumerate(layouts) if not total[kind] or 2 * held[kind] < total[kind]}
+    first = any(place == ARTICLE and not second and gone.isdisjoint(layout) for _, place, layout, second in out)
+    return [(line, OFF if second and first or not gone.isdisjoint(layout) else place) for line, place, layout, second in out]
 
 
 def _pop(stack: list, name: str, within: tuple) -> None:
     """Close an open element that the next one ends, if no element of ``within`` lies between."""
     for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
+        if stack[i].name == name:
             del stack[i:]
             return
-        if stack[i][0] in within:
+        if stack[i].name in within:
             return
 
 

@@ -79,6 +79,21 @@ def test_lines_of_awkward_markup():
     assert html.lines("") == [] and html.lines("a < b") == [("a < b", html.PLAIN)] and html.lines("x <unended") == [("x", html.PLAIN)]
 
 
+def test_off_markup_never_takes_the_article_with_it():
+    def kept(page):
+        return [t for t, place in html.lines(page) if place != html.OFF]
+
+    own = "<article><h1>T</h1><p>body text</p></article>"
+    for around in ['<div class="layout has-sidebar">{}<div class="sidebar">S</div></div>', '<div id="page" class="header-fixed"><a>skip</a>{}</div>', '<form id="aspnetForm">{}<input>F</form>',
+                   "<aside>{}</aside>", '<div class="modal"><main>{}</main></div>', '<nav>n</nav><main><div class="comments">{}</div></main>']:
+        assert [t for t in kept(around.format(own)) if t not in ("skip", "F")] == ["T", "body text"], around
+    assert kept('<div id="page" class="header-fixed"><p>all the prose there is</p><div class="sidebar-left">side</div></div>') == ["all the prose there is"]
+    assert kept('<article><section class="related-work"><p>R</p></section><div class="article-header"><h1>H</h1></div><ul class="related-posts"><li>x</ul></article>') == ["R", "H"]
+    # Articles that are comments or teasers go where the page has one of its own.
+    assert kept(own + '<aside><article>teaser</article></aside><section class="comments"><article class="comment">c</article></section>') == ["T", "body text"]
+    assert kept("<template><article>x</article></template><p>y<p hidden>z") == ["y"]
+
+
 def test_neighbours_lose_shared_lines_outside_articles(spark):
     def page(i, body):
         return f"<body><div>Welcome to the shop</div><div>Opening hours</div>{body}<div>Imprint and law</div></body>"
