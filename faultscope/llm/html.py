@@ -1,22 +1,26 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path; each page is paired with its neighbours
-in that order, which share the longest path with it. Lines (blocks of text) of
-a page that also stand, in the same order, in a neighbour (longest common
-subsequence) are the template of the site and deleted. Lines of menus, headers,
-footers, sidebars, adverts, forms, comments and the like go by their markup, but
-never an article or main below it that is the page's own, nor what only looks
-like layout and holds the page.
-Lines inside an article or main element are never deleted for being shared:
-two pages may carry one text.
-
-The sorted order is cut into parts; each part also gets the last page of the
-part before and the first of the part behind, so every page sees both of its
-neighbours wherever the cuts fall. Only hashes of lines travel.
+Exact copies on a host are one page. Pages are sorted by host and URL path, and
+runs of near copies (lines of a fifth of the weight differ; numbers and dates
+weigh nothing) stand together; each page is paired with the nearest pages of
+different content on either side, of which those that share the longest path
+with it count. Lines (blocks of text) of a page that also stand, in the same
+order, in such a page (longest common subsequence) are the template of the site
+and deleted. Lines of menus, headers, footers, sidebars, adverts, forms,
+comments and the like go by their markup, but never an article or main below it
+that is the page's own, nor what only looks like layout and holds the page.
+Lines inside an article or main element are not deleted for standing in one
+other page: two pages may carry one text. They go, as all others do, if they
+stand on many different pages of the host (``MANY`` and ``SHARE``), those in
+articles if they do so in articles.
+
+The sorted order is cut into parts; each part also gets the next pages of
+different runs from beyond its borders, so every page is paired wherever the
+cuts fall. Only hashes and weights of lines travel.
 
 Defined cases: a null or empty html gives an empty text; a page without a
-neighbour on its host keeps all lines that markup allows; a page whose lines
-all stand in a neighbour is a copy of it, not a template, and keeps them; rows equal in
+different one on its host keeps all lines that markup allows; a page whose lines
+all stand in the page it is paired with keeps them; rows equal in
 id, url and html share one result.
 """
 
@@ -61,6 +65,12 @@ TALK = frozenset("comment comments reply replies respond discussion disqus relat
 SHOWN = frozenset("nav footer aside menu form fieldset label dialog".split())
 #: Pages of one part of the sorted order.
 PART = 10_000
+#: Pages of which lines of at most this share of the weight differ are copies.
+NEAR = 0.2
+#: Lines on so many different pages and on this share of all different pages of a host are the site's.
+MANY = 10
+SHARE = 1 / 3
+NUMBERS = re.compile(r"\d[\d\s.,:/-]*")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -282,54 +292,177 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), url, html).withColumn("k_page", F.xxhash64(F.coalesce("url", F.lit("")), "html"))
 
 
+def near(a: list[int], b: list[int], wa: list[int], wb: list[int]) -> bool:
+    """Whether two pages are copies but for lines that weigh little, such as dates."""
+    x, y = sum(map(abs, wa)), sum(map(abs, wb))
+    if min(x, y) < (1 - NEAR) * max(x, y):
+        return False
+    shared = sum(abs(wa[i]) for i in common(a, b))
+    return shared >= (1 - NEAR) * max(x, y)
+
+
+def _runs(host: list, line: list, weight: list) -> list[int]:
+    """The run of each page: neighbours on one host that are near the first page of the run."""
+    out, first = [], 0
+    for i in range(len(host)):
+        if i and (host[i] != host[first] or not near(line[first], line[i], weight[first], weight[i])):
+            first = i
+        out.append(first)
+    return out
+
+
+def _lists(pdf: pd.DataFrame) -> tuple[list, list, list]:
+    return pdf["host"].tolist(), [x.tolist() for x in pdf["lines"]], [x.tolist() for x in pdf["weights"]]
+
+
+ORDER = ["host", "path", "content"]
+
+
+def repeated_lines(placed: DataFrame) -> DataFrame:
+    """``host, line, inside``: lines on many different pages of a host, ``inside`` those that are so in articles.
+
+    One page of a run has a vote, and pages with the same longest line have one
+    together (for that line: with the same second). Lines found no longer
+    count as the longest, which may let more be found.
+    """
+
+    def votes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, often = _noted(pdf)
+        host, line, weight = _lists(pdf)
+        rows = []
+        for i, first in enumerate(_runs(host, line, weight)):
+            if i != first:
+                continue
+            gone = {v for v, _ in often.get(host[i], ())}
+            inside = any(w < 0 for w in weight[i])
+            longest = sorted({(abs(w), v) for v, w in zip(line[i], weight[i], strict=True) if (w < 0 or not inside) and v not in gone}, reverse=True)[:2]
+            one, two = ([v for _, v in longest] + [0, 0])[:2]
+            rows.append((host[i], True, 0, False, hash((one, two))))
+            rows.extend((host[i], False, v, at, two if v == one else one) for v, at in {(v, w < 0) for v, w in zip(line[i], weight[i], strict=True)})
+        return pd.DataFrame(rows, columns=["host", "page", "line", "inside", "key"])
+
+    known, size = None, 0
+    while True:
+        cast = _with_noted(placed, known).groupBy("part").applyInPandas(votes, "host string, page boolean, line long, inside boolean, key long").distinct()
+        many = land(cast.groupBy("host", "page", "line", "inside").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY), "line-votes")
+        pages = many.where("page").select("host", F.col("n").alias("pages"))
+        often = many.where("not page").join(pages, "host").where(F.col("n") >= F.col("pages") * SHARE).select("host", "line", "inside")
+        often = often if known is None else often.unionByName(known).distinct()
+        known = land(often, "site-lines")
+        grown = known.count()
+        if grown == size:
+            return known
+        size = grown
+
+
+def _with_noted(placed: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``placed`` and, in each part, a row without a path for each of its hosts: the lines known to be the host's."""
+    if known is None:
+        return placed
+    noted = known.groupBy("host").agg(F.collect_list("line").alias("lines"), F.collect_list(F.when(F.col("inside"), -1).otherwise(1)).alias("weights"))
+    noted = placed.select("part", "host").distinct().join(noted, "host").select(*[F.col(c) if c in ("part", "host", "lines", "weights") else F.lit(None).cast(t).alias(c) for c, t in placed.dtypes])
+    return placed.unionByName(noted)
+
+
+def _noted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
+    """The pages of a part in order, and the known lines of its hosts."""
+    host, line, weight = _lists(pdf[pdf["path"].isna()])
+    often = {h: set(zip(v, w, strict=True)) for h, v, w in zip(host, line, weight, strict=True)}
+    return pdf[pdf["path"].notna()].sort_values(ORDER, ignore_index=True), often
+
+
+def _edges(placed: DataFrame, parts: list[int]) -> DataFrame:
+    """The pages beyond each part's borders: of the first two runs on either side, over further parts where a part is one run."""
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORDER, ignore_index=True)
+        runs = _runs(*_lists(pdf))
+        firsts = sorted(set(runs))
+        lasts = [i - 1 for i in firsts[1:]] + [len(pdf) - 1]
+        out = pd.concat([pdf.loc[firsts[:2]].assign(behind=True), pdf.loc[lasts[-2:]].assign(behind=False)])
+        return out.assign(runs=len(firsts))
+
+    found = land(placed.groupBy("part").applyInPandas(ends, "host string, path string, content binary, lines array<long>, weights array<int>, part int, behind boolean, runs int"), "part-ends")
+    runs = dict(found.select("part", "runs").distinct().collect())
+    links = []
+    for at in range(len(parts)):
+        for behind, others in ((True, parts[at + 1 :]), (False, parts[:at][::-1])):
+            for other in others:
+                links.append((parts[at], other, behind))
+                if runs[other] > 1:
+                    break
+    # A few rows per part of the sort.
+    linked = placed.sparkSession.createDataFrame(links or [(-1, -1, True)], "part int, other int, behind boolean")
+    return linked.join(found.withColumnRenamed("part", "other"), ["other", "behind"]).select("part", *ORDER, "lines", "weights", F.lit(False).alias("own"))
+
+
 def shared_lines(rows: DataFrame) -> DataFrame:
-    """``page_id, k_page, gone``: the places of the lines that a neighbour of the page shares."""
+    """``page_id, k_page, gone``: the places, among the lines that markup allows, of those that are the site's."""
 
     def hashed(batches):
-        for batch in batches:
-            hashes = [[_hash(t) for t, _ in lines(page)] for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "k_page", "url")), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "k_page", "url", "lines"])
+        import xxhash
 
-    found = rows.mapInArrow(hashed, "page_id long, k_page long, url string, lines array<long>")
+        for batch in batches:
+            found = [[(t, p) for t, p in lines(page) if p != OFF] for page in batch.column("html").to_pylist()]
+            hashes = [[_hash(t) for t, _ in page] for page in found]
+            weights = [[(1 + len(NUMBERS.sub("", t))) * (-1 if p == ARTICLE else 1) for t, p in page] for page in found]
+            content = [xxhash.xxh128_digest(np.array(h, np.int64).tobytes() + np.array(w, np.int32).tobytes()) for h, w in zip(hashes, weights, strict=True)]
+            arrays = [pa.array(content, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "k_page", "url")), *arrays], names=["page_id", "k_page", "url", "content", "lines", "weights"])
+
+    found = rows.mapInArrow(hashed, "page_id long, k_page long, url string, content binary, lines array<long>, weights array<int>")
     plain = F.regexp_replace(F.lower("url"), r"^[a-z][a-z0-9+.-]*://", "")
     host, path = F.regexp_extract(plain, r"^([^/?#]*)", 1), F.regexp_extract(plain, r"^[^/?#]*([^?#]*)", 1)
-    order = ["host", "path", "page_id", "k_page"]
-    placed = found.select("page_id", "k_page", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "lines").where("host <> ''").distinct()
+    found = found.select("page_id", "k_page", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "content", "lines", "weights")
+    found = land(found.where("host <> '' and size(lines) > 0"), "page-lines")
+    # Exact copies are one page, at the first of their paths.
+    contents = found.groupBy("host", "content").agg(F.min("path").alias("path"), F.first("lines").alias("lines"), F.first("weights").alias("weights"))
     parts = max(1, -(-rows.count() // PART))
-    placed = land(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "page-lines")
-    whole = F.struct(*order, "lines")
-    ends = placed.groupBy("part").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
-    # One row per part of the sort: few, and needed in order.
-    parts = [r["part"] for r in ends.select("part").orderBy("part").collect()]
+    placed = land(contents.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()), "page-contents")
+    placed = placed.select(*ORDER, "lines", "weights", "part")
+    # One number per part of the sort: few, and needed in order.
+    parts = sorted(r["part"] for r in placed.select("part").distinct().collect())
     if not parts:
-        return placed.select("page_id", "k_page", F.lit(None).cast("array<int>").alias("gone"))
-    following = placed.sparkSession.createDataFrame([(a, b) for a, b in zip(parts, parts[1:], strict=False)] or [(-1, -1)], "part int, follow int")
-    links = ends.join(following, "part")
-    before = links.select(F.col("follow").alias("part"), "last.*", F.lit(False).alias("own"))
-    behind = following.join(ends.withColumnRenamed("part", "follow"), "follow").select("part", "first.*", F.lit(False).alias("own"))
-    columns = ["part", *order, "lines", "own"]
-    both = placed.withColumn("own", F.lit(True)).select(*columns).unionByName(before.select(*columns)).unionByName(behind.select(*columns))
+        return found.select("page_id", "k_page", F.lit(None).cast("array<int>").alias("gone"))
+    columns = ["part", *ORDER, "lines", "weights", "own"]
+    both = placed.withColumn("own", F.lit(True)).select(*columns)
+    if len(parts) > 1:
+        both = both.unionByName(_edges(placed, parts))
+    both = _with_noted(both, repeated_lines(placed))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True, na_position="first")
-        host, path, line = pdf["host"].tolist(), pdf["path"].tolist(), [x.tolist() for x in pdf["lines"]]
-        own = pdf["own"].to_numpy()
+        pdf, often = _noted(pdf)
+        host, line, weight = _lists(pdf)
+        path, own = pdf["path"].tolist(), pdf["own"].to_numpy(dtype=bool)
+        runs = _runs(host, line, weight)
+        last = {first: i for i, first in enumerate(runs)}
         gone: list[list[int]] = []
         for i in range(len(pdf)):
-            places: set[int] = set()
-            if own[i]:
-                near = [j for j in (i - 1, i + 1) if 0 <= j < len(pdf) and host[j] == host[i]]
-                steps = [_shared_path(path[i], path[j]) for j in near]
-                for j, s in zip(near, steps, strict=True):
-                    if s == max(steps):
-                        shared = common(line[i], line[j])
-                        if len(shared) < len(line[i]):  # else a copy
-                            places.update(shared)
+            if not own[i]:
+                gone.append([])
+                continue
+            many = often.get(host[i], ())
+            places = {k for k, (v, w) in enumerate(zip(line[i], weight[i], strict=True)) if (v, -1) in many or w > 0 and (v, 1) in many}
+            different = []
+            for step in (-1, 1):
+                j = runs[i] - 1 if step < 0 else last[runs[i]] + 1
+                while 0 <= j < len(pdf) and host[j] == host[i]:
+                    if not near(line[i], line[j], weight[i], weight[j]):
+                        different.append(j)
+                        break
+                    j = runs[j] - 1 if step < 0 else last[runs[j]] + 1
+            steps = [_shared_path(path[i], path[j]) for j in different]
+            for j, s in zip(different, steps, strict=True):
+                if s == max(steps):
+                    shared = common(line[i], line[j])
+                    if len(shared) < len(line[i]):  # else it is all in the other
+                        places.update(k for k in shared if weight[i][k] > 0)
             gone.append(sorted(places))
         pdf["gone"] = gone
-        return pdf[own & np.array([len(g) > 0 for g in gone], bool)][["page_id", "k_page", "gone"]]
+        return pdf[own & np.array([len(g) > 0 for g in gone], bool)][["host", "content", "gone"]]
 
-    return both.groupBy("part").applyInPandas(match, "page_id long, k_page long, gone array<int>")
+    cut = both.groupBy("part").applyInPandas(match, "host string, content binary, gone array<int>")
+    return found.select("page_id", "k_page", "host", "content").distinct().join(cut, ["host", "content"]).select("page_id", "k_page", "gone")
 
 
 def _shared_path(a: str, b: str) -> int:
@@ -354,11 +487,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, places in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                found = lines(page)
-                if places:
-                    drop = set(places)
-                    found = [(t, place) for i, (t, place) in enumerate(found) if place == ARTICLE or i not in drop]
-                texts.append("\n".join(t for t, place in found if place != OFF))
+                drop = set(places or ())
+                texts.append("\n".join(t for i, t in enumerate(t for t, place in lines(page) if place != OFF) if i not in drop))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(cut, "page_id long, url string, text string, n_chars long")

@@ -114,6 +114,31 @@ def test_neighbours_lose_shared_lines_outside_articles(spark):
     assert html.extract(df).count() == len(rows) and html.extract(df.where("false")).count() == 0
 
 
+def test_copies_are_no_template_and_repeated_lines_go_in_articles(spark):
+    prose = ["the first long paragraph of the page on rivers and lakes", "another paragraph on mountains and the sea, as long"]
+    body = lambda own: "<body><div>Welcome to the shop</div>" + "".join(f"<p>{t}</p>" for t in own) + "<div>Imprint and law</div></body>"
+    rows = [(1, "http://h.example/a/1?utm=x", body(prose)), (2, "http://h.example/a/1?utm=y", body(prose)), (3, "http://h.example/a/1", body(prose)),
+            (4, "http://h.example/b", body(["something else altogether, which is on another subject"]))]
+    # Copies that differ in a date, over more than one part, and one page of different content behind them.
+    rows += [(100 + i, f"http://d.example/a/{i:02d}", body([*prose, f"Updated 2024-01-{i:02d}"])) for i in range(1, 21)]
+    rows += [(200, "http://e.example/a/1", body([*prose, "2024-01-01"])), (201, "http://e.example/a/2", body([*prose, "2024-01-02"]))]
+    rows += [(121, "http://d.example/z", body(["something else altogether, which is on another subject"]))]
+    rng = random.Random(5)
+    own = {300 + i: "".join(rng.choice("abcdefgh ") for _ in range(60)).strip() for i in range(15)}
+    own = {k: " ".join(v.split()) for k, v in own.items()}
+    rows += [(k, f"http://n.example/{k}", f"<article><p>{v}</p><p>Read the newsletter of this house every day, it is free of charge and comes by mail</p><p>About us</p></article>") for k, v in own.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old, html.PART = html.PART, 7
+    try:
+        got = {r.page_id: r.text for r in html.extract(df).collect()}
+    finally:
+        html.PART = old
+    assert all(got[i] == "\n".join(prose) for i in (1, 2, 3)) and got[4].startswith("something else")
+    assert all(got[100 + i] == "\n".join([*prose, f"Updated 2024-01-{i:02d}"]) for i in range(1, 21))
+    assert got[200].split("\n") == ["Welcome to the shop", *prose, "2024-01-01", "Imprint and law"]
+    assert {k: got[k] for k in own} == own
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(800):
