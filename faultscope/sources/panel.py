@@ -14,9 +14,7 @@ from faultscope.canonical import METRICS
 
 COHORT_USERS = 50       # users per cohort: the number of cases grows with the users
 HIGH_VALUE = 50.0       # events above this count into the error rate
-ORIGIN = "2024-01-01"   # first day of the long panel
 DAY_HOURS = 24
-LONG_HOURS = 720
 
 # Neighbours of each event type, standing in for a service graph.
 EVENT_EDGES = {
@@ -94,18 +92,27 @@ def panel_day(events: DataFrame) -> DataFrame:
     return _densify(keyed, DAY_HOURS)
 
 
+def long_span(events: DataFrame) -> tuple[int, int]:
+    """First day of all events, in days since 1970, and the hours from there to the end of their last day."""
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    return (0, 0) if first is None else (first, (last - first + 1) * DAY_HOURS)
+
+
 def panel_long(events: DataFrame) -> DataFrame:
-    """One case per user cohort, 720 hourly points per service."""
-    origin = F.lit(ORIGIN).cast("date")
+    """One case per user cohort, an hourly point per service from the first day
+    of the table's events to their last. Events without a time have no hour."""
+    first, hours = long_span(events)
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
     keyed = events.select(
         F.concat(F.lit("cohort-"), cohort().cast("string")).alias("case_id"),
         F.col("event_type").alias("service"),
-        (F.datediff(origin, F.lit("1970-01-01").cast("date")).cast("long") * 86400).alias("start"),
-        (F.datediff(F.to_date("ts"), origin) * 24 + F.hour("ts")).alias("hour"),
+        F.lit(first * 86400).cast("long").alias("start"),
+        ((day - first) * 24 + F.hour("ts")).alias("hour"),
         "user_id",
         "value",
-    ).filter(F.col("hour").between(0, LONG_HOURS - 1))
-    return _densify(keyed, LONG_HOURS)
+    ).filter("hour is not null")
+    return _densify(keyed, max(hours, DAY_HOURS))
 
 
 def day_cases(events: DataFrame, inject_hour: int = 12) -> DataFrame:
@@ -140,9 +147,12 @@ def day_cases(events: DataFrame, inject_hour: int = 12) -> DataFrame:
     )
 
 
-def long_cases(events: DataFrame, inject_hour: int = 480) -> DataFrame:
+def long_cases(events: DataFrame, inject_hour: int | None = None) -> DataFrame:
+    """Case table of ``panel_long``; without ``inject_hour`` two thirds of the span come before the event."""
+    first, hours = long_span(events)
     base = events.select(cohort().alias("cohort")).distinct()
-    start = F.datediff(F.lit(ORIGIN).cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    inject_hour = hours * 2 // 3 if inject_hour is None else inject_hour
+    start = F.lit(first * 86400).cast("long")
     return base.select(
         F.concat(F.lit("cohort-"), F.col("cohort").cast("string")).alias("case_id"),
         F.lit("demo").alias("dataset"),

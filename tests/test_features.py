@@ -129,3 +129,18 @@ def test_context_does_not_give_the_label_away(spark):
                                     F.lit("a").alias("fault_service"), F.lit("cpu").alias("fault_type"), F.lit(10).cast("long").alias("inject_time"))
     share = {r.label: r.s for r in split_cases(rows, case).groupBy("label").agg(F.avg((F.size("context") > 0).cast("double")).alias("s")).collect()}
     assert share[0] == pytest.approx(0.3, abs=0.04) and share[1] == pytest.approx(0.7, abs=0.04)
+
+
+def test_long_panel_spans_the_dates_of_its_events(spark):
+    from faultscope.sources.panel import long_cases, panel_long
+
+    rows = [(1, "2023-11-05 07:30:00", "view", 2.0), (1, "2024-03-02 23:59:59", "view", 3.0), (60, "2024-01-15 00:00:00", "click", 4.0), (2, None, "view", 5.0)]
+    events = spark.createDataFrame(rows, "user_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    panel = panel_long(events)
+    hours = 119 * 24
+    assert {(r.case_id, r.n, r.rows, r.total) for r in panel.groupBy("case_id", "n").agg(F.count("*").alias("rows"), F.sum("request_rate").alias("total")).collect()} == {
+        ("cohort-0", hours, hours, 2.0), ("cohort-1", hours, hours, 1.0)}
+    start = 1699142400
+    assert sorted(r.ts for r in panel.where("request_rate > 0").collect()) == [start + 7 * 3600, start + (71 * 24) * 3600, start + (hours - 1) * 3600]
+    assert {r.inject_time for r in long_cases(events).collect()} == {start + hours * 2 // 3 * 3600}
+    assert panel_long(events.where("false")).count() == 0 and long_cases(events.where("false")).count() == 0
