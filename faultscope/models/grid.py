@@ -93,6 +93,12 @@ def grid_summary(predictions: DataFrame) -> DataFrame:
     return summarise_runs(evaluate(predictions, ["variant", "run"], baseline_fp_rate=1.0), REPORTED)
 
 
+def balanced_sizes(features: DataFrame, shares: list[float]) -> list[int]:
+    """Shares of the largest sample with equally many cases of every class, as sizes of ``scaling_grid``."""
+    smallest = min((r["count"] for r in features.groupBy("label").count().collect()), default=0)
+    return sorted({2 * round(smallest * s) for s in shares} - {0})
+
+
 def scaling_grid(features: DataFrame, variants: dict[str, Variant], sizes: list[int], seeds: int = 1, base_seed: int = 42,
                  params: dict[str, dict] | None = None) -> DataFrame:
     """``size, variant, <metric>_mean, <metric>_std`` over nested samples of

@@ -19,9 +19,9 @@ from faultscope.plans.registry import query
 from faultscope.plans.sql import cte, r, with_ctes
 from faultscope.sources.tables import land, shared_folder, table
 
-#: The grids fit dozens of models; they take smaller ones. Single fits have their full sizes.
-SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "boosted_trees": {"maxIter": 5, "maxDepth": 3},
-         "gradient_boosting": {"maxIter": 5, "maxDepth": 3}, "mlp": {"maxIter": 30}}
+#: Runs of the variant grid and of each size of the scaling grid, and its sizes as shares of the largest balanced sample.
+RUNS, SIZE_RUNS = 5, 3
+SHARES = [0.04, 0.1, 0.2, 0.4, 1.0]
 
 
 def order_features(spark, sf_dir) -> DataFrame:
@@ -96,21 +96,18 @@ def _(spark, sf_dir):
 
 @query("variant_grid")
 def _(spark, sf_dir):
-    names = ["MLP, context only", "Forest (no context)", "Forest (with context)", "Boosted trees (with context)", "Naive"]
-    scored = gr.run_grid(order_features(spark, sf_dir), {n: gr.VARIANTS[n] for n in names}, 1, params=SMALL)
-    return rounded(gr.grid_summary(scored), "variant")
+    return rounded(gr.grid_summary(gr.run_grid(order_features(spark, sf_dir), gr.VARIANTS, RUNS)), "variant")
 
 
 @query("scaling_grid")
 def _(spark, sf_dir):
-    names = ["Forest (with context)", "Forest (no context)", "Naive"]
-    out = gr.scaling_grid(order_features(spark, sf_dir), {n: gr.VARIANTS[n] for n in names}, [100, 400], params=SMALL)
-    return rounded(out, "size", "variant")
+    features = order_features(spark, sf_dir)
+    return rounded(gr.scaling_grid(features, gr.VARIANTS, gr.balanced_sizes(features, SHARES), SIZE_RUNS), "size", "variant")
 
 
 def _detector(spark, sf_dir) -> tuple[WindowDetector, DataFrame]:
     m = _case(spark, sf_dir, "long")
-    return WindowDetector.fit(m.filter("case_id like '%normal'"), length=24, components=8), m
+    return WindowDetector.fit(m.filter("case_id like '%normal'")), m
 
 
 @query("detector_scores")

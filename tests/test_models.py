@@ -115,3 +115,25 @@ def test_detector_errors_match_numpy_across_chunks(spark, monkeypatch):
         c = x[s:s + 5].reshape(-1) - mean
         want.append(((c - p @ (p.T @ c)) ** 2).mean())
     assert len(got) == 56 and np.allclose(got, want)
+
+
+def test_registered_grids_and_detector_take_the_whole_job(spark, monkeypatch):
+    from faultscope.plans import model_queries as mq
+    from faultscope.plans.registry import QUERIES
+
+    features = spark.createDataFrame([(str(i), int(i % 4 == 0)) for i in range(400)], "case_id string, label int")
+    seen = {}
+    monkeypatch.setattr(mq, "order_features", lambda *a: features)
+    monkeypatch.setattr(mq, "rounded", lambda df, *a: df)
+    monkeypatch.setattr(mq, "_case", lambda *a: features)
+    monkeypatch.setattr(gr, "grid_summary", lambda df: df)
+    for name in ("run_grid", "scaling_grid"):
+        monkeypatch.setattr(gr, name, lambda *a, name=name, **kw: seen.setdefault(name, (a, kw)))
+    monkeypatch.setattr(WindowDetector, "fit", lambda *a, **kw: seen.setdefault("fit", kw))
+    QUERIES["variant_grid"](spark, "")
+    QUERIES["scaling_grid"](spark, "")
+    mq._detector(spark, "")
+    assert seen["run_grid"][0][1:] == (gr.VARIANTS, 5) and not seen["run_grid"][1]
+    assert seen["scaling_grid"][0][1:] == (gr.VARIANTS, [8, 20, 40, 80, 200], 3) and not seen["scaling_grid"][1]
+    assert seen["fit"] == {}
+    assert gr.balanced_sizes(features.where("false"), [0.5]) == []
