@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import decontaminate, exact, html, minhash, packing, pii, quality, substring, suffix, warc
+from faultscope.llm import decontaminate, exact, html, merkle, minhash, packing, pii, quality, substring, suffix, warc
 from faultscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_html_text")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op12_merkle_manifest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
