@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import sys
 from functools import cache
 from itertools import chain
@@ -40,6 +41,8 @@ SHORT, KEPT, PIECE = 64, 400_000, 1_000_000
 NONE = np.int32(2**31 - 1)
 # Fixed value: the word rule of the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same rule where all characters are ASCII.
+ASCII_WORDS = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\x09-\x0D A-Za-z0-9]+|[\x09-\x0D ]+(?![^\x09-\x0D ])|[\x09-\x0D ]+"
 
 
 def byte_names() -> dict[str, int]:
@@ -62,6 +65,13 @@ def gathered(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tupl
     return values[np.repeat(offsets[which] - upto[:-1], length) + np.arange(upto[-1])], upto
 
 
+def _ranges(codes: list[int]) -> str:
+    """The inside of a character class of ascending code points."""
+    firsts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    lasts = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
+
+
 class Bpe:
     """Encoding and decoding by one vocabulary file."""
 
@@ -89,13 +99,12 @@ class Bpe:
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks = pairs[order], order.astype(np.int32)
         self.becomes = np.array([vocab[a + b] for a, b in merges], np.int32)
-        self.rule = regex.compile(WORDS)
+        self.rule, self.ascii_rule, self.odd = regex.compile(WORDS), re.compile(ASCII_WORDS), self._odd(path)
         self.special = special
-        self.split = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
-        self._foreign(path)
+        self.split = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self._clear()
 
-    def _foreign(self, path: str) -> None:
+    def _odd(self, path: str) -> re.Pattern | None:
         """Letters and numbers of this Python that the library does not take for such: all are shown to it once."""
         import regex
         from tokenizers import Tokenizer
@@ -107,8 +116,8 @@ class Bpe:
             chars = regex.findall(kind, every)
             # Written behind a mate of its kind and between line feeds, a character stays in one word with it.
             whole = {start for _, (start, end) in cut("\n".join(mate + c for c in chars)) if end - start == 2}
-            odd += [c for k, c in enumerate(chars) if 3 * k not in whole]
-        self.odd = regex.compile("[" + "".join(map(regex.escape, odd)) + "]") if odd else None
+            odd += [ord(c) for k, c in enumerate(chars) if 3 * k not in whole]
+        return re.compile("[" + _ranges(sorted(odd)) + "]") if odd else None
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
@@ -154,7 +163,9 @@ class Bpe:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if self.odd is not None and not text.isascii() and self.odd.search(text):
+        if text.isascii():
+            return self.ascii_rule.findall(text)
+        if self.odd is not None and self.odd.search(text):
             # A symbol stands in for what the library does not take for a letter or number.
             return [text[m.start() : m.end()] for m in self.rule.finditer(self.odd.sub("☃", text))]
         return self.rule.findall(text)

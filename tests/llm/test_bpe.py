@@ -59,8 +59,8 @@ def test_random_texts(own, library):
 
 def test_every_code_point(own, library):
     every = [chr(c) for c in chain(range(1, 0xD800), range(0xE000, sys.maxunicode + 1))]
-    for a in range(0, len(every), 40_000):
-        text = "".join(f"a{c}b 1{c}2 {c} !{c}? " for c in every[a : a + 40_000])
+    for a in range(0, len(every), 200_000):
+        text = "".join(f"a{c}1{c}!{c} " for c in every[a : a + 200_000])
         got, at = [], 0
         for w in own.words(text):
             got.append((at, at + len(w)))
