@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultscope.llm import bpe, decontaminate, exact, html, merkle, minhash, packing, pii, quality, substring, suffix, warc
+from faultscope.llm import bpe, conversations, decontaminate, exact, html, merkle, minhash, packing, pii, quality, substring, suffix, warc
 from faultscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
