@@ -1,7 +1,8 @@
 """Experiment grids: variants x runs, and variants x sizes x seeds.
 
-Every fit is a distributed job. Predictions of the whole grid form one table,
-which a single grouped query evaluates.
+All models of a grid are fitted side by side, a task each, on bounded samples of
+their training rows (``models/many.py``). Predictions of the whole grid form one
+table, which a single grouped query evaluates.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.canonical import FEATURE_COLUMNS, FEATURE_GROUPS
-from faultscope.models.classifiers import classifier, naive, predict, prepare, rule_based
+from faultscope.functions.decision import argmax_class
+from faultscope.models.classifiers import naive, rule_based
+from faultscope.models.many import DEFAULTS, FIT_ROWS, Spec, fit_all, score_all
 from faultscope.operators.evaluation import evaluate, summarise_runs
-from faultscope.operators.reshape import mask_groups
-from faultscope.operators.sampling import prefix_sample, stratified_split
+from faultscope.operators.reshape import masked_columns
+from faultscope.operators.sampling import stratified_split, with_hash_rank
 from faultscope.sources.tables import land
 
 REPORTED = ["accuracy", "f1", "f1_macro", "mcc", "fp_rate", "fault_recall", "fp_reduction"]
@@ -59,33 +62,49 @@ FAMILIES = {
 }
 
 
-def variant_predictions(train: DataFrame, test: DataFrame, variant: Variant, seed: int, params: dict | None = None) -> DataFrame:
-    if variant.model == "naive":
-        scored = naive(test.withColumn("y_true", F.col("label").cast("int")))
-    elif variant.model == "rule":
-        scored = rule_based(test.withColumn("y_true", F.col("label").cast("int")))
-    else:
-        columns = variant.columns()
-        fit_on = prepare(mask_groups(train, variant.mask), columns, variant.model)
-        model = classifier(variant.model, columns, seed, **{**variant.params, **(params or {})}).fit(fit_on)
-        scored = predict(model, prepare(mask_groups(test, variant.mask), columns, "plain"))
-    return scored.select("case_id", "y_true", "y_pred", "p0", "p1")
+def _specs(variants: dict[str, Variant]) -> list[Spec]:
+    """The fitted variants as models on positions of ``FEATURE_COLUMNS``."""
+    out = []
+    for name, v in variants.items():
+        if v.model in DEFAULTS:
+            masked = tuple(i for i, c in enumerate(FEATURE_COLUMNS) if c in masked_columns(v.mask))
+            out.append(Spec(name, v.model, tuple(FEATURE_COLUMNS.index(c) for c in v.columns()), masked))
+    return out
+
+
+def predict_grid(parts: DataFrame, variants: dict[str, Variant], groups: list[str], seed: int = 42, params: dict[str, dict] | None = None,
+                 fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``groups, case_id, variant, y_true, y_pred, p0, p1`` of all variants on the test rows of ``parts``.
+
+    ``parts`` has the feature table with ``groups`` (whole numbers) and
+    ``split`` (train or test): one set of models per group. All models of the
+    grid are fitted in one job and applied in another.
+    """
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    specs, out = _specs(variants), None
+    if specs:
+        models = land(fit_all(train, specs, FEATURE_COLUMNS, groups, seed, params, fit_rows), "grid-models")
+        scored = score_all(test, models, specs, FEATURE_COLUMNS, groups)
+        p0 = 1.0 - F.col("p1")
+        out = scored.select(*groups, "case_id", F.col("model").alias("variant"), "y_true", argmax_class(p0, F.col("p1")).alias("y_pred"), p0.alias("p0"), "p1")
+    for name, v in variants.items():
+        if v.model in ("naive", "rule"):
+            made = (naive if v.model == "naive" else rule_based)(test.withColumn("y_true", F.col("label").cast("int")))
+            made = made.select(*groups, "case_id", F.lit(name).alias("variant"), "y_true", "y_pred", "p0", "p1")
+            out = made if out is None else out.unionByName(made)
+    return out
 
 
 def run_grid(features: DataFrame, variants: dict[str, Variant], runs: int = 1, base_seed: int = 42,
-             params: dict[str, dict] | None = None) -> DataFrame:
+             params: dict[str, dict] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Predictions ``(case_id, variant, run, y_true, y_pred, p0, p1)`` of all
     variants on the test part of every run's split. Variants that are not run
     do not appear."""
-    out = None
+    parts = None
     for run in range(runs):
-        parts = land(stratified_split(features, "label", "case_id", 0.2, seed=base_seed + run), "grid-split")
-        train, test = parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
-        for name, variant in variants.items():
-            scored = variant_predictions(train, test, variant, base_seed + run, (params or {}).get(variant.model))
-            tagged = scored.select("case_id", F.lit(name).alias("variant"), F.lit(run).alias("run"), "y_true", "y_pred", "p0", "p1")
-            out = tagged if out is None else out.unionByName(tagged)
-    return out
+        part = stratified_split(features, "label", "case_id", 0.2, seed=base_seed + run).withColumn("run", F.lit(run))
+        parts = part if parts is None else parts.unionByName(part)
+    return predict_grid(land(parts, "grid-splits"), variants, ["run"], base_seed, params, fit_rows)
 
 
 def grid_summary(predictions: DataFrame) -> DataFrame:
@@ -99,16 +118,25 @@ def balanced_sizes(features: DataFrame, shares: list[float]) -> list[int]:
     return sorted({2 * round(smallest * s) for s in shares} - {0})
 
 
+def scaling_predictions(features: DataFrame, variants: dict[str, Variant], sizes: list[int], seeds: int = 1, base_seed: int = 42,
+                        params: dict[str, dict] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Predictions ``(size, run, case_id, variant, y_true, y_pred, p0, p1)`` over nested samples of ``size`` cases (half per class)."""
+    parts = None
+    for run in range(seeds):
+        # Nested: a case's rank decides which samples hold it; the ranks are taken once per run.
+        ranked = land(with_hash_rank(features, ["label"], "case_id", base_seed + run).drop("stratum_size"), "grid-ranks")
+        for size in sizes:
+            sample = ranked.filter(F.col("rank") < size // 2).drop("rank")
+            part = stratified_split(sample, "label", "case_id", 0.2, seed=base_seed + run)
+            part = part.withColumns({"size": F.lit(size), "run": F.lit(run)})
+            parts = part if parts is None else parts.unionByName(part)
+    return predict_grid(land(parts, "grid-splits"), variants, ["size", "run"], base_seed, params, fit_rows)
+
+
 def scaling_grid(features: DataFrame, variants: dict[str, Variant], sizes: list[int], seeds: int = 1, base_seed: int = 42,
-                 params: dict[str, dict] | None = None) -> DataFrame:
+                 params: dict[str, dict] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``size, variant, <metric>_mean, <metric>_std`` over nested samples of
     ``size`` cases (half per class)."""
-    results = None
-    for size in sizes:
-        for run in range(seeds):
-            sample = prefix_sample(features, "label", "case_id", size // 2, base_seed + run)
-            scored = run_grid(sample, variants, 1, base_seed + run, params)
-            row = scored.withColumn("size", F.lit(size)).withColumn("run", F.lit(run))
-            results = row if results is None else results.unionByName(row)
+    results = scaling_predictions(features, variants, sizes, seeds, base_seed, params, fit_rows)
     metrics = evaluate(results, ["size", "variant", "run"], baseline_fp_rate=1.0)
     return summarise_runs(metrics, ["accuracy", "f1"], ["size", "variant"])

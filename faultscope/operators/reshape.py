@@ -86,11 +86,14 @@ VARIANT_GROUPS = {
 }
 
 
+def masked_columns(variant: str) -> set[str]:
+    """The feature columns outside the groups a variant keeps."""
+    return {c for g, columns in FEATURE_GROUPS.items() if g not in VARIANT_GROUPS[variant] for c in columns}
+
+
 def mask_groups(features: DataFrame, variant: str) -> DataFrame:
     """Zero the feature columns outside the groups a variant keeps."""
-    kept = {c for g in VARIANT_GROUPS[variant] for c in FEATURE_GROUPS[g]}
-    known = [c for g in FEATURE_GROUPS.values() for c in g if c in features.columns]
-    return features.withColumns({c: F.lit(0.0) for c in known if c not in kept})
+    return features.withColumns({c: F.lit(0.0) for c in features.columns if c in masked_columns(variant)})
 
 
 def drop_context_at_random(features: DataFrame, epoch: int, p: float = 0.3, seed: int = 42) -> DataFrame:

@@ -49,7 +49,7 @@ def test_cross_validation_and_grid(features):
     folds = cl.cross_validate(features, factory, FEATURE_COLUMNS, "random_forest", 3)
     assert folds.count() == 3 and folds.agg(F.avg("f1")).first()[0] > 0.7
     names = ["Forest (no context)", "Naive", "Rule"]
-    scored = gr.run_grid(features, {n: gr.VARIANTS[n] for n in names}, 2, params={"random_forest": SMALL})
+    scored = gr.run_grid(features, {n: gr.VARIANTS[n] for n in names}, 2, params={"random_forest": {"trees": 20, "depth": 4}})
     summary = {r.variant: r for r in gr.grid_summary(scored).collect()}
     assert set(summary) == set(names)
     assert summary["Naive"].fp_rate_mean == 1.0 and summary["Naive"].fault_recall_mean == 1.0 and summary["Naive"].fp_reduction_mean == 0.0
@@ -137,3 +137,51 @@ def test_registered_grids_and_detector_take_the_whole_job(spark, monkeypatch):
     assert seen["scaling_grid"][0][1:] == (gr.VARIANTS, [8, 20, 40, 80, 200], 3) and not seen["scaling_grid"][1]
     assert seen["fit"] == {}
     assert gr.balanced_sizes(features.where("false"), [0.5]) == []
+
+
+def _plain_data(n, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 6))
+    return x, ((x[:, 0] + x[:, 1] * x[:, 2]) > 0).astype(np.int64)
+
+
+@pytest.mark.parametrize("kind,least", [("random_forest", 0.85), ("boosted_trees", 0.9), ("mlp", 0.9)])
+def test_learners_on_held_out_rows(kind, least):
+    from faultscope.models import many
+
+    (x, y), (xt, yt) = _plain_data(2500), _plain_data(600, 4)
+    settings = {**many.DEFAULTS[kind], **({"epochs": 60} if kind == "mlp" else {})}
+    model = many.FITS[kind](x, y, np.random.default_rng(1), **settings)
+    p = many.probability(kind, model, xt)
+    assert ((p > 0.5) == yt).mean() > least and p.min() >= 0.0 and p.max() <= 1.0
+    one_class = many.FITS[kind](x, np.zeros(len(x), np.int64), np.random.default_rng(1), **settings)
+    assert (many.probability(kind, one_class, xt) < 0.5).all()
+
+
+def test_tree_splits_like_a_plain_search():
+    """The first split of a tree is the best of all columns and cuts; leaves hold the mean of their rows."""
+    from faultscope.models import many
+
+    x, y = _plain_data(300)
+    cuts, codes = many.binned(x)
+    w = np.ones(len(y))
+    tree = many.grow(codes, y * w, w, 1, 6, np.random.default_rng(0))
+    best = max(((y[left].sum() ** 2 / left.sum() + y[~left].sum() ** 2 / (~left).sum(), -f, -b) for f in range(6) for b in range(31)
+                if 0 < (left := codes[:, f] <= b).sum() < len(y)), default=None)
+    assert (tree[0, 0], tree[0, 1]) == (-best[1], -best[2])
+    left = codes[:, int(tree[0, 0])] <= tree[0, 1]
+    assert np.allclose(many.descend(tree, codes), np.where(left, y[left].mean(), y[~left].mean()))
+
+
+def test_grid_covers_every_variant_run_and_size(spark, features):
+    small = {"random_forest": {"trees": 3, "depth": 2}, "boosted_trees": {"rounds": 3, "depth": 2}, "mlp": {"epochs": 2}}
+    scored = gr.run_grid(features, gr.VARIANTS, 2, params=small, fit_rows=40)
+    counts = {(r.variant, r.run): r["count"] for r in scored.groupBy("variant", "run").count().collect()}
+    assert counts == {(v, k): 16 for v in gr.VARIANTS for k in range(2)}
+    assert scored.filter("abs(p0 + p1 - 1) > 1e-9 or y_pred <> cast(p1 > p0 as int)").isEmpty()
+    sized = gr.scaling_predictions(features, gr.VARIANTS, [20, 40], 2, params=small)
+    counts = {tuple(r)[:3]: r["count"] for r in sized.groupBy("variant", "size", "run").count().collect()}
+    assert counts == {(v, s, k): s // 5 for v in gr.VARIANTS for s in (20, 40) for k in range(2)}
+    # One run again gives the same predictions.
+    again = gr.run_grid(features, gr.VARIANTS, 2, params=small, fit_rows=40)
+    assert scored.exceptAll(again).isEmpty()
