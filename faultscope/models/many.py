@@ -26,7 +26,7 @@ BINS = 32
 DEFAULTS = {
     "random_forest": {"trees": 100, "depth": 10},
     "boosted_trees": {"rounds": 100, "depth": 6, "step": 0.1, "l2": 1.0},
-    "mlp": {"hidden": (64, 32), "epochs": 500, "batch": 200, "rate": 1e-3, "patience": 10, "least_gain": 1e-4},
+    "mlp": {"hidden": (64, 32), "epochs": 500, "batch": 500, "rate": 1e-3, "patience": 10, "least_gain": 1e-4},
 }
 
 
@@ -51,7 +51,7 @@ class Spec:
 def binned(x: np.ndarray, bins: int = BINS) -> tuple[list[np.ndarray], np.ndarray]:
     """Quantile cuts of every column and the bin of every value: the number of cuts below it."""
     cuts = [np.unique(np.quantile(c, np.arange(1, bins) / bins, method="lower")) for c in x.T]
-    return cuts, np.stack([np.searchsorted(e, c, side="left") for e, c in zip(cuts, x.T, strict=True)], 1).astype(np.int64)
+    return cuts, np.stack([np.searchsorted(e, c, side="left") for e, c in zip(cuts, x.T, strict=True)], 1).copy("F")
 
 
 def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, mtry: int, rng, l2: float = 0.0, bins: int = BINS) -> np.ndarray:
@@ -70,15 +70,23 @@ def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, mtry: int,
         m = len(level)
         if not m or not len(rows):
             break
-        chosen = rng.random((m, k)).argpartition(mtry - 1, 1)[:, :mtry] if mtry < k else np.tile(np.arange(k), (m, 1))
-        key = ((place[:, None] * mtry + np.arange(mtry)) * bins + codes[rows[:, None], chosen[place]]).ravel()
-        shape = m, mtry, bins
-        sums = [np.bincount(key, w, m * mtry * bins).reshape(shape).cumsum(2) for w in (np.repeat(g[rows], mtry), np.repeat(h[rows], mtry), None)]
-        left_g, left_h, left_n = sums
-        all_g, all_h, all_n = (s[:, :, -1:] for s in sums)
+        if mtry < k:
+            chosen = rng.random((m, k)).argpartition(mtry - 1, 1)[:, :mtry]
+            key = ((place[:, None] * mtry + np.arange(mtry)) * bins + codes[rows[:, None], chosen[place]]).ravel()
+            sums = [np.bincount(key, np.repeat(w[rows], mtry), m * mtry * bins).reshape(m, mtry, bins) for w in (g, h)]
+        else:
+            chosen, base, some = np.tile(np.arange(k), (m, 1)), place * bins, codes if len(rows) == len(codes) else codes[rows]
+            sums = [np.empty((m, k, bins)), np.empty((m, k, bins))]
+            gs, hs = g[rows], h[rows]
+            for f in range(k):
+                key = base + some[:, f]
+                sums[0][:, f], sums[1][:, f] = (np.bincount(key, w, m * bins).reshape(m, bins) for w in (gs, hs))
+        left_g, left_h = (x.cumsum(2) for x in sums)
+        all_g, all_h = left_g[:, :, -1:], left_h[:, :, -1:]
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = left_g**2 / (left_h + l2) + (all_g - left_g) ** 2 / (all_h - left_h + l2) - all_g**2 / (all_h + l2)
-        gain = np.where((left_n > 0) & (left_n < all_n), gain, -1.0).reshape(m, -1)
+        both = (left_h > 1e-9 * all_h) & (left_h < (1 - 1e-9) * all_h)
+        gain = np.where(both, gain, -1.0).reshape(m, -1)
         best = gain.argmax(1)
         split = gain[np.arange(m), best] > 1e-9
         feature, cut = chosen[np.arange(m), best // bins], best % bins
@@ -146,30 +154,36 @@ def fit_mlp(x: np.ndarray, y: np.ndarray, rng, hidden: tuple, epochs: int, batch
     """ReLU layers and a logistic output, Adam on shuffled batches until the loss stops falling."""
     mean, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1.0
-    x = (x - mean) / scale
+    x, y = ((x - mean) / scale).astype(np.float32), y.astype(np.float32)
     sizes = [x.shape[1], *hidden, 1]
-    params = [p for a, b in zip(sizes, sizes[1:]) for p in (rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b))]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    # All layers lie in one vector, so that a step is a few operations on it.
+    shapes = [s for a, b in zip(sizes, sizes[1:]) for s in ((a, b), (b,))]
+    ends = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+    flat, slope = np.zeros(ends[-1], np.float32), np.zeros(ends[-1], np.float32)
+    params = [flat[i:j].reshape(s) for i, j, s in zip(ends, ends[1:], shapes)]
+    grads = [slope[i:j].reshape(s) for i, j, s in zip(ends, ends[1:], shapes)]
+    for w in params[::2]:
+        w[:] = rng.normal(0, np.sqrt(2 / len(w)), w.shape)
+    first, second, step = np.zeros_like(flat), np.zeros_like(flat), 0
     best, waited = np.inf, 0
     for _ in range(epochs):
         order, loss = rng.permutation(len(y)), 0.0
         for a in range(0, len(y), batch):
             rows = order[a : a + batch]
-            layers = [x[rows]]
+            layers, target = [x[rows]], y[rows]
             for w, b in zip(params[0:-2:2], params[1:-2:2]):
                 layers.append(np.maximum(layers[-1] @ w + b, 0.0))
             z = (layers[-1] @ params[-2] + params[-1])[:, 0]
-            loss += float((np.logaddexp(0, z) - y[rows] * z).sum())
-            delta = ((1 / (1 + np.exp(-z)) - y[rows]) / len(rows))[:, None]
-            grads = []
+            loss += float((np.logaddexp(0, z) - target * z).sum())
+            delta = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - target) / len(rows))[:, None]
             for j in range(len(params) - 2, -1, -2):
-                grads[:0] = [layers[j // 2].T @ delta, delta.sum(0)]
-                delta = (delta @ params[j].T) * (layers[j // 2] > 0)
+                grads[j][:], grads[j + 1][:] = layers[j // 2].T @ delta, delta.sum(0)
+                if j:
+                    delta = (delta @ params[j].T) * (layers[j // 2] > 0)
             step += 1
-            for k, d in enumerate(grads):
-                first[k] += 0.1 * (d - first[k])
-                second[k] += 0.001 * (d * d - second[k])
-                params[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            first += 0.1 * (slope - first)
+            second += 0.001 * (slope * slope - second)
+            flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         loss /= len(y)
         waited = 0 if loss < best - least_gain else waited + 1
         best = min(best, loss)
@@ -187,7 +201,7 @@ def probability(kind: str, model: dict, x: np.ndarray) -> np.ndarray:
         h, p = (x - model["mean"]) / model["scale"], model["params"]
         for w, b in zip(p[0:-2:2], p[1:-2:2]):
             h = np.maximum(h @ w + b, 0.0)
-        return 1 / (1 + np.exp(-(h @ p[-2] + p[-1])[:, 0]))
+        return 1 / (1 + np.exp(-np.clip((h @ p[-2] + p[-1])[:, 0], -500, 500)))
     codes = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(model["cuts"], x.T, strict=True)], 1)
     total = sum(descend(t, codes) for t in model["trees"])
     return total / len(model["trees"]) if kind == "random_forest" else 1 / (1 + np.exp(-(total + model["start"])))

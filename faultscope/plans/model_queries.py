@@ -105,12 +105,12 @@ def _(spark, sf_dir):
     return rounded(gr.scaling_grid(features, gr.VARIANTS, gr.balanced_sizes(features, SHARES), SIZE_RUNS), "size", "variant")
 
 
-#: Rows, true faults and rows that break a rule: probabilities sum to 1 and the prediction is the likelier class.
-_BROKEN = F.count(F.when((F.abs(F.col("p0") + F.col("p1") - 1) > 1e-9) | (F.col("y_pred") != F.when(F.col("p1") > F.col("p0"), 1).otherwise(0)), 1)).alias("broken")
-
-
 def _counted(predictions: DataFrame, *groups: str) -> DataFrame:
-    return predictions.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("y_true") == 0, 1)).alias("faults"), _BROKEN)
+    """Rows, true faults and rows that break a rule: probabilities sum to 1 and the prediction is the likelier class."""
+    likelier = F.when(F.col("p1") > F.col("p0"), 1).otherwise(0)
+    broken = (F.abs(F.col("p0") + F.col("p1") - 1) > 1e-9) | (F.col("y_pred") != likelier)
+    return predictions.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("y_true") == 0, 1)).alias("faults"), F.count(F.when(broken, 1)).alias("broken"))
 
 
 _NAMES = ", ".join(f"('{v}')" for v in gr.VARIANTS)
@@ -127,11 +127,11 @@ def _(spark, sf_dir):
 
 
 @query("scaling_grid_rows", with_ctes("order_features", body=f"""
-    WITH sizes AS (SELECT DISTINCT CAST(2 * round_even(least_rows * share, 0) AS BIGINT) AS size FROM (
-        SELECT min(n) AS least_rows FROM (SELECT count(*) AS n FROM order_features GROUP BY label)), (SELECT unnest({SHARES}) AS share))
     SELECT CAST(size AS INTEGER) AS size, variant, CAST(run AS INTEGER) AS run, CAST(2 * floor(size // 2 * 0.2 + 0.5) AS BIGINT) AS rows,
            CAST(floor(size // 2 * 0.2 + 0.5) AS BIGINT) AS faults, CAST(0 AS BIGINT) AS broken
-    FROM sizes, (VALUES {_NAMES}) v(variant), (SELECT unnest(range({SIZE_RUNS})) AS run) WHERE size > 0"""))
+    FROM (SELECT DISTINCT CAST(2 * round_even(least_rows * share, 0) AS BIGINT) AS size FROM (
+              SELECT min(n) AS least_rows FROM (SELECT count(*) AS n FROM order_features GROUP BY label)), (SELECT unnest({SHARES}::DOUBLE[]) AS share)),
+         (VALUES {_NAMES}) v(variant), (SELECT unnest(range({SIZE_RUNS})) AS run) WHERE size > 0"""))
 def _(spark, sf_dir):
     features = order_features(spark, sf_dir)
     scored = gr.scaling_predictions(features, gr.VARIANTS, gr.balanced_sizes(features, SHARES), SIZE_RUNS)
