@@ -37,6 +37,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range of the reader, of one read, and of a header.
 RANGE, STEP = 8 << 20, 1 << 20
 LEVEL = 3
+#: Reading tasks, as long as there are as many ranges (more where the cluster has more cores).
+TASKS = 64
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 DIGEST = re.compile(rb"sha1:([A-Z2-7]{32})")
 
@@ -174,8 +176,11 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 def read_archives(archives: DataFrame, chunk: int = RANGE) -> DataFrame:
     """All records of ``(file, size)`` rows, each read by the task whose byte range it starts in."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(chunk).cast("long"))).alias("start")
-    ranges = archives.select("file", "size", starts)
-    ranges = ranges.repartition(F.xxhash64("file", "start"))
+    # A range row is a few bytes, so their number and not their size has to decide how many tasks read: given
+    # outright, it is not merged afterwards.
+    count = archives.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk)))).first()[0] or 1
+    tasks = min(int(count), max(TASKS, 8 * archives.sparkSession.sparkContext.defaultParallelism))
+    ranges = archives.select("file", "size", starts).repartition(tasks)
 
     def number(value: bytes | None):
         digits = re.sub(rb"^<urn:page:|>$", b"", value or b"")

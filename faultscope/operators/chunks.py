@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope.canonical import SERIES_KEY
+from faultscope.sources.tables import land
 
 CHUNK = 65536
 
@@ -75,3 +76,22 @@ def with_positions(df: DataFrame, keys: list[str], order: str = "row", size: int
     ranked = blocked.withColumn("_rank", F.row_number().over(local))
     joined = ranked.join(offsets, [*keys, "_block"])
     return joined.withColumn("i", F.col("_offset") + F.col("_rank") - 1).drop("_block", "_rank", "_offset")
+
+
+def running_totals(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """``df`` with ``upto_<c>``: the sum of ``c`` over the rows of the same keys up to this one by ``order``.
+
+    The rows are dealt by sampled ranges of ``keys`` and ``order``, so values
+    that crowd together spread over tasks like any others; sums run inside a
+    range and are shifted by those of the ranges before. ``order`` has to be
+    unique within the keys. Landed, so that a row keeps its range.
+    """
+    dealt = land(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({f"upto_{c}": F.sum(c).over(inside) for c in columns})
+    # One row per key and range.
+    totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    joined = local.join(before, [*keys, "_range"])
+    return joined.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"_{c}")).alias(f"upto_{c}") for c in columns])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from faultscope.canonical import EXPECTED_LOAD, FAULT, UNKNOWN
 from faultscope.functions.decision import argmax_class, confidence
 from faultscope.functions.numeric import ratio_or
+from faultscope.operators.chunks import running_totals
 
-SCORE_BINS = 4096
 TRUE_LABELS, PREDICTED_LABELS = (FAULT, EXPECTED_LOAD), (FAULT, EXPECTED_LOAD, UNKNOWN)
 
 
@@ -130,27 +130,14 @@ def confusion_matrix(predictions: DataFrame, groups: list[str]) -> DataFrame:
 
 def ranked_scores(predictions: DataFrame, groups: list[str], score: str = "p1") -> DataFrame:
     """Distinct scores with class counts and the cumulative counts from the
-    top. Sums run inside score bins and are shifted by the bins above, so a
-    large group is never sorted in one task."""
+    top. The counts run over sampled ranges of the scores, so neither a large
+    group nor one whose scores crowd together is sorted in one task."""
     ties = predictions.groupBy(*groups, F.col(score).alias("score")).agg(
         F.count(F.when(F.col("y_true") == EXPECTED_LOAD, 1)).alias("pos"),
         F.count(F.when(F.col("y_true") == FAULT, 1)).alias("neg"),
-    ).withColumn("bin", F.floor(F.col("score") * SCORE_BINS).cast("long"))
-    bins = ties.groupBy(*groups, "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    above = Window.partitionBy(*groups).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    offsets = bins.select(
-        *groups, "bin",
-        F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("op"),
-        F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("on"),
-        F.sum("bp").over(whole).alias("all_pos"), F.sum("bn").over(whole).alias("all_neg"),
-    )
-    inside = Window.partitionBy(*groups, "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    local = ties.withColumn("lp", F.sum("pos").over(inside)).withColumn("ln", F.sum("neg").over(inside))
-    return local.join(offsets, [*groups, "bin"]).select(
-        *groups, "score", "pos", "neg", "all_pos", "all_neg",
-        (F.col("op") + F.col("lp")).alias("tp"), (F.col("on") + F.col("ln")).alias("fp"),
-    )
+    ).withColumn("_down", -F.col("score"))
+    summed = running_totals(ties, groups, "_down", ["pos", "neg"])
+    return summed.select(*groups, "score", "pos", "neg", F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"))
 
 
 def auc(predictions: DataFrame, groups: list[str], score: str = "p1") -> DataFrame:
@@ -161,8 +148,8 @@ def auc(predictions: DataFrame, groups: list[str], score: str = "p1") -> DataFra
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     ordered = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     return s.groupBy(*groups).agg(
-        ratio_or(F.sum(F.col("pos") * precision), F.max("all_pos")).alias("pr_auc"),
-        F.try_divide(F.sum(ordered), F.max("all_pos").cast("double") * F.max("all_neg")).alias("roc_auc"),
+        ratio_or(F.sum(F.col("pos") * precision), F.sum("pos")).alias("pr_auc"),
+        F.try_divide(F.sum(ordered), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"),
     )
 
 

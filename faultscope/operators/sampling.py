@@ -91,5 +91,6 @@ def replace_tail(base: DataFrame, hard: DataFrame, order: str) -> DataFrame:
     """Drop as many rows from the end of ``base`` (by ``order``) as ``hard`` has
     and append ``hard``."""
     placed = with_positions(base.withColumn("_all", F.lit(0)), ["_all"], order)
-    kept = placed.filter(F.col("i") < F.col("n") - hard.count())
+    # Counted inside the plan: building it runs no job.
+    kept = placed.filter(F.col("i") < F.col("n") - hard.agg(F.count(F.lit(1))).scalar())
     return kept.select(*base.columns).unionByName(hard)

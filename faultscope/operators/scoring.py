@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultscope.functions.decision import scaled_softmax
+from faultscope.sources.tables import land
 
 MIN_TEMPERATURE = 0.01
 
@@ -61,22 +65,65 @@ def nll_grid(scored: DataFrame, groups: list[str], temperatures: list[float]) ->
     return sums.select(*groups, F.explode(rows).alias("r")).select(*groups, "r.*")
 
 
-def calibrate_temperature(scored: DataFrame, low: float = 0.05, high: float = 20.0, points: int = 17, rounds: int = 5) -> float:
-    """Temperature with the smallest mean negative log-likelihood.
+def calibrate_temperatures(scored: DataFrame, groups: list[str], rounds: int = 60) -> list[dict]:
+    """Per group the temperature with the smallest mean negative log-likelihood, and that likelihood.
 
-    The loss is convex in ``1 / T``; each round evaluates a grid of inverse
-    temperatures in one aggregation and zooms in on its minimum. Only the
-    ``points`` sums of a round reach the driver.
+    The loss is convex in ``b = 1 / T``. A round takes first and second
+    derivative of all groups in one aggregation; the driver holds four numbers
+    per group. Newton steps are kept inside a bracket, which grows by factors
+    until it holds a change of sign: downwards without end, so that ``T`` may be
+    as large as the scores ask for, upwards to ``1 / MIN_TEMPERATURE``. A group
+    whose loss only falls towards ``b = 0`` ends at the largest ``T`` reached.
     """
-    lo, hi = 1.0 / high, 1.0 / low
-    best = 1.0
+    d, sign = F.col("l1") - F.col("l0"), F.when(F.col("y_true") == 0, -1.0).otherwise(1.0)
+    base = land(scored.select(*groups, (sign * d).alias("_d")), "margins")
+    top = 1.0 / MIN_TEMPERATURE
+    # b, and the bracket: a loss that falls at lo and rises at hi.
+    state = {tuple(r): [1.0, None, None] for r in base.select(*groups).distinct().collect()} if groups else {(): [1.0, None, None]}
+    out: dict = {}
     for _ in range(rounds):
-        step = (hi - lo) / (points - 1)
-        inverse = [lo + k * step for k in range(points)]
-        row = nll_grid(scored, [], [1.0 / b for b in inverse]).orderBy("nll").first()
-        best = 1.0 / row["temperature"]
-        lo, hi = max(1.0 / high, best - step), min(1.0 / low, best + step)
-    return max(1.0 / best, MIN_TEMPERATURE)
+        if groups:
+            left = scored.sparkSession.createDataFrame(
+                [(*k, v[0]) for k, v in state.items() if k not in out], T.StructType([*[scored.schema[g] for g in groups], T.StructField("_b", T.DoubleType())]))
+            same = [left[g].eqNullSafe(base[g]) for g in groups]
+            rows = base.join(left, same).select(*[base[g] for g in groups], "_d", "_b")
+        else:
+            rows = base.withColumn("_b", F.lit(state[()][0]))
+        z = F.col("_b") * F.col("_d")
+        wrong = F.when(z >= 0, F.exp(-z) / (1.0 + F.exp(-z))).otherwise(1.0 / (1.0 + F.exp(z)))
+        loss = F.when(z >= 0, F.log1p(F.exp(-z))).otherwise(-z + F.log1p(F.exp(z)))
+        sums = rows.groupBy(*groups).agg(
+            F.avg(-F.col("_d") * wrong).alias("slope"), F.avg(F.col("_d") * F.col("_d") * wrong * (1.0 - wrong)).alias("bend"), F.avg(loss).alias("nll"))
+        for r in sums.collect():
+            key = tuple(r[g] for g in groups)
+            b, lo, hi = state[key]
+            if r["slope"] is None:
+                out[key] = {"temperature": 1.0, "nll": None}
+                continue
+            if r["slope"] < 0:
+                lo = b
+            else:
+                hi = b
+            step = b - r["slope"] / r["bend"] if r["bend"] > 0 else math.nan
+            if lo is None:
+                new = min(b / 2, max(step, b / 16)) if step > 0 else b / 16
+            elif hi is None:
+                new = min(top, max(2 * b, min(step, 16 * b))) if step > 0 else min(top, 16 * b)
+            else:
+                new = step if lo < step < hi else math.sqrt(lo * hi)
+            state[key] = [new, lo, hi]
+            if abs(new - b) <= 1e-9 * b or b < 1e-9:
+                out[key] = {"temperature": max(1.0 / b, MIN_TEMPERATURE), "nll": r["nll"]}
+        if len(out) == len(state):
+            break
+    for key, (b, _, _) in state.items():
+        out.setdefault(key, {"temperature": max(1.0 / b, MIN_TEMPERATURE), "nll": None})
+    return [{**dict(zip(groups, k, strict=True)), **v} for k, v in out.items()]
+
+
+def calibrate_temperature(scored: DataFrame) -> float:
+    """Temperature with the smallest mean negative log-likelihood of all rows."""
+    return calibrate_temperatures(scored, [])[0]["temperature"]
 
 
 def apply_temperature(scored: DataFrame, temperature: float) -> DataFrame:

@@ -79,29 +79,54 @@ def resample(metrics: DataFrame, columns: list[str], steps: int) -> DataFrame:
 def ewma(metrics: DataFrame, value: str, phi: float = 0.9) -> DataFrame:
     """``y[t] = (1 - phi) x[t] + phi y[t-1]`` with ``y[-1] = 0``.
 
-    Inside a chunk the recursion is a running sum of ``x[s] / phi^s``. The end
-    values of the chunks before enter with weight ``phi^chunk`` each; chunks
-    whose weight is below double precision are left out.
+    Inside a chunk the recursion is a running sum of ``x[s] / phi^s``. A chunk
+    then acts on what comes in as ``y -> decay y + end``; these maps are
+    composed over groups of chunks and over groups of groups, so that nothing
+    is left out, however close ``phi`` is to 1.
     """
     if not 0.0 < phi < 1.0:
         raise ValueError("phi must be between 0 and 1")
     size = max(1, min(256, int(200 / -math.log10(phi))))
-    reach = max(1, math.ceil(math.log(1e-18) / (size * math.log(phi))))
     chunked = metrics.select(*SERIES_KEY, "i", F.col(value).alias("x")).withColumn("chunk", F.expr(f"i div {size}L"))
     k = F.expr(f"i % {size}L").cast("double")
     running = F.sum(F.col("x") * F.pow(F.lit(phi), -k)).over(_at().rowsBetween(Window.unboundedPreceding, 0))
     local = chunked.withColumn("k", k).withColumn("y", (1.0 - phi) * F.pow(F.lit(phi), F.col("k")) * running)
-    ends = local.filter(F.col("k") == size - 1).select(*SERIES_KEY, (F.col("chunk") + 1).alias("at"), F.col("y").alias("end"))
-    near = with_halo(ends, before=reach, position="at")
-    back = Window.partitionBy(*SERIES_KEY, "chunk").orderBy("at").rowsBetween(-reach, 0)
-    decay = phi**size
-    carry = F.aggregate(F.collect_list("end").over(back), F.lit(0.0), lambda acc, e: acc * decay + e)
-    carried = near.withColumn("carry", carry).filter("not halo").select(*SERIES_KEY, F.col("at").alias("chunk"), "carry")
+    ends = local.filter(F.col("k") == size - 1).select(*SERIES_KEY, F.col("chunk").alias("at"), F.col("y").alias("end"))
+    carried = decayed_totals(ends, phi**size).select(*SERIES_KEY, (F.col("at") + 1).alias("chunk"), F.col("total").alias("carry"))
     joined = local.join(carried, [*SERIES_KEY, "chunk"], "left")
     total = F.col("y") + F.coalesce(F.col("carry"), F.lit(0.0)) * F.pow(F.lit(phi), F.col("k") + 1)
     return joined.select(*SERIES_KEY, "i", total.alias("ewma"))
 
 
+#: Values scanned in one row, and levels of groups: enough for any position that fits a long.
+SCAN, SCAN_LEVELS = 1024, 3
+
+
+def decayed_totals(ends: DataFrame, decay: float, levels: int = SCAN_LEVELS) -> DataFrame:
+    """``(series, at, total)`` with ``total[at] = end[at] + decay total[at - 1]`` of gapless rows ``(series, at, end)``.
+
+    A group of ``SCAN`` values is one array, scanned by doubling steps: after
+    step ``s`` an entry holds the decayed sum of the ``2 s`` values up to it.
+    The last entries of the groups are scanned in the same way a level higher
+    (the highest level carries no further) and shift the groups behind them.
+    """
+    grouped = ends.groupBy(*SERIES_KEY, F.expr(f"at div {SCAN}L").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "end"))).alias("e"))
+    steps = F.array(*[F.struct(F.lit(2**j).alias("s"), F.lit(decay ** (2**j)).alias("w")) for j in range(SCAN.bit_length() - 1)])
+
+    def double(acc, step):
+        return F.transform(acc, lambda x, i: F.when(i >= step["s"], x + step["w"] * F.get(acc, i - step["s"])).otherwise(x))
+
+    scanned = grouped.select(*SERIES_KEY, "block", "e.at", F.aggregate(steps, F.col("e.end"), double).alias("y"))
+    rows = scanned.select(*SERIES_KEY, "block", F.explode(F.arrays_zip("at", "y")).alias("r")).select(*SERIES_KEY, "block", "r.at", "r.y")
+    if levels == 1:
+        return rows.select(*SERIES_KEY, "at", F.col("y").alias("total"))
+    lasts = scanned.filter(F.size("y") == SCAN).select(*SERIES_KEY, F.col("block").alias("at"), F.element_at("y", -1).alias("end"))
+    above = decayed_totals(lasts, decay**SCAN, levels - 1).select(*SERIES_KEY, (F.col("at") + 1).alias("block"), F.col("total").alias("carry"))
+    shift = F.coalesce(F.col("carry"), F.lit(0.0)) * F.pow(F.lit(decay), F.col("at") % SCAN + 1)
+    return rows.join(above, [*SERIES_KEY, "block"], "left").select(*SERIES_KEY, "at", (F.col("y") + shift).alias("total"))
+
+
 def load_envelope(i: Column, start: Column, end: Column, ramp: Column, n: Column) -> Column:
     """Weight 0..1 of position ``i``: ramp up from ``start``, plateau, ramp down
     to ``end``."""

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from faultscope.functions.numeric import hash_uniform
 from faultscope.operators.evaluation import PREDICTED_LABELS, TRUE_LABELS, cell, confusion_counts, metric_columns
 
 
@@ -80,10 +82,6 @@ def welch_t(runs: DataFrame, a: str, b: str, value: str = "f1", groups: list[str
 POISSON_EDGES = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
-def poisson_weight(u: Column) -> Column:
-    return sum((F.when(u >= e, 1).otherwise(0) for e in POISSON_EDGES), F.lit(0))
-
-
 def _interval(scores: DataFrame, groups: list[str], confidence: float) -> DataFrame:
     tail = (1.0 - confidence) / 2
     return scores.groupBy(*groups).agg(
@@ -94,23 +92,48 @@ def _interval(scores: DataFrame, groups: list[str], confidence: float) -> DataFr
 
 
 def bootstrap_rows(predictions: DataFrame, groups: list[str], keys: list[str], metric: str | Callable[[], Column] = "accuracy",
-                   replicates: int = 50, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+                   replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Bootstrap interval with hashed Poisson(1) row weights.
 
-    A row is copied per replicate and combined on the map side; use
-    ``bootstrap_ci`` for large replicate counts.
+    The weight of a row in replicate ``r`` comes from eight hex digits of
+    ``md5(seed:r div 4:keys)``, those at ``r mod 4``. No row is copied: a task
+    adds the weights of its rows into one array of replicates per group and
+    confusion cell, and only these arrays travel.
     """
     score = metric_columns()[metric] if isinstance(metric, str) else metric()
-    copies = predictions.select(*groups, *keys, "y_true", "y_pred", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
-    weight = poisson_weight(hash_uniform(seed, F.col("replicate"), *[F.col(k) for k in keys]))
-    # Replicate 0 is the table itself.
-    counts = confusion_counts(copies, [*groups, "replicate"], F.when(F.col("replicate") == 0, F.lit(1)).otherwise(weight))
-    scores = counts.select(
-        *groups,
-        F.when(F.col("replicate") == 0, score).alias("point"),
-        F.when(F.col("replicate") > 0, score).alias("score"),
-    )
-    return _interval(scores, groups, confidence)
+    cells = [(t, p) for t in TRUE_LABELS for p in PREDICTED_LABELS]
+    blocks = -(-replicates // 4)
+    edges = np.array(POISSON_EDGES)
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    place = F.coalesce(*[F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.lit(i)) for i, (t, p) in enumerate(cells)])
+    rows = predictions.select(*groups, key.alias("_key"), place.alias("_cell")).filter("_cell is not null")
+
+    def add_up(batches):
+        totals: dict[tuple, np.ndarray] = {}
+        prefix = [f"{seed}:{b}:".encode() for b in range(blocks)]
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*groups, "_cell")]
+            digests = np.frombuffer(b"".join(hashlib.md5(p + k).digest() for k in (x.encode() for x in batch.column("_key").to_pylist()) for p in prefix), ">u4")
+            weights = np.searchsorted(edges, digests.reshape(len(batch), -1)[:, :replicates] / 4294967296.0, side="right")
+            for at, w in zip(zip(*columns, strict=True), weights, strict=True):
+                if at in totals:
+                    totals[at] += w
+                else:
+                    totals[at] = w.astype(np.int64)
+        if totals:
+            arrays = [pa.array(x) for x in zip(*totals, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(a.cast(f.type) for a, f in zip(arrays, kinds, strict=True)), pa.array(list(totals.values()), pa.list_(pa.int64()))],
+                                             names=[*groups, "_cell", "_sums"])
+
+    fields = [predictions.schema[g] for g in groups]
+    kinds = to_arrow_schema(T.StructType([*fields, T.StructField("_cell", T.IntegerType())]))
+    schema = T.StructType([*fields, T.StructField("_cell", T.IntegerType()), T.StructField("_sums", T.ArrayType(T.LongType()))])
+    # One row per task, group and cell.
+    parts = rows.mapInArrow(add_up, schema).select(*groups, "_cell", F.posexplode("_sums").alias("replicate", "_w"))
+    named = [F.sum(F.when(F.col("_cell") == i, F.col("_w")).otherwise(0)).alias(cell(t, p)) for i, (t, p) in enumerate(cells)]
+    scores = parts.groupBy(*groups, "replicate").agg(*named).select(*groups, F.lit(None).cast("double").alias("point"), score.alias("score"))
+    point = confusion_counts(predictions, groups).select(*groups, score.alias("point"), F.lit(None).cast("double").alias("score"))
+    return _interval(scores.unionByName(point), groups, confidence)
 
 
 def bootstrap_ci(predictions: DataFrame, groups: list[str], metric: str | Callable[[], Column] = "f1",

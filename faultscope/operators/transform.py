@@ -9,10 +9,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.functions.numeric import clip, finite_or_zero
+from faultscope.operators.chunks import running_totals
 
 ACCURACY = 2000
 
@@ -21,8 +22,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     """Linearly interpolated quantiles, exact at any size.
 
     A sketch brackets each quantile first (its rank error is at most one in
-    ``ACCURACY``); then only the values inside the narrow brackets are counted.
-    The driver receives two values per quantile.
+    ``ACCURACY``); then only the values inside the narrow brackets are counted,
+    over sampled ranges of them: no bracket is one task, and equal values are
+    one row. The driver receives two values per quantile.
     """
     slack = 2.0 / ACCURACY
     basics = df.agg(*[
@@ -63,8 +65,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     ])
     values = distinct.select("x", F.col("rows").alias("c"), F.explode(brackets).alias("j")).filter("j is not null")
     first = F.create_map(*[x for j, t in enumerate(targets) for x in (F.lit(j), F.lit(t[2] - below[f"b{j}"]))])[F.col("j")]
-    upto = F.sum("c").over(Window.partitionBy("j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    placed = values.withColumn("upto", upto).withColumn("at", first)
+    placed = running_totals(values, ["j"], "x", ["c"]).withColumn("upto", F.col("upto_c")).withColumn("at", first)
     picked = placed.groupBy("j").agg(
         F.min(F.when(F.col("upto") > F.col("at"), F.col("x"))).alias("a"),
         F.min(F.when(F.col("upto") > F.col("at") + 1, F.col("x"))).alias("b"),

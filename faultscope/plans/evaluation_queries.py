@@ -102,6 +102,27 @@ def _(spark, sf_dir):
     return rounded(sc.nll_grid(s, [], [1.0, t]))
 
 
+#: Planted temperatures: the logits of each variant are multiplied, so that its best temperature is the factor times as large.
+_PLANTED = {"boosted": 0.02, "forest": 1.0, "rule": 60.0}
+_FACTOR = "CASE variant " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _PLANTED.items()) + " END"
+
+
+@q("temperature_fit", "logits", body=f"""
+    SELECT variant, round(min(nll), 3) + 0.0 AS nll, count(*) > 0 AS inside FROM (
+        SELECT variant, b, avg(ln(1 + exp(-least(700.0, greatest(-700.0, b * d))))) AS nll
+        FROM (SELECT variant, (CASE WHEN y_true = 0 THEN -1 ELSE 1 END) * (l1 - l0) * {_FACTOR} AS d FROM logits),
+             (SELECT pow(1.02::DOUBLE, unnest(range(-580, 233))) AS b) GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, sf_dir):
+    """Loss at the fitted temperature of each variant, and whether the temperature follows the planted factor."""
+    s = scored(spark, sf_dir)
+    factor = F.coalesce(*[F.when(F.col("variant") == k, F.lit(v)) for k, v in _PLANTED.items()])
+    plain = {x["variant"]: x["temperature"] for x in sc.calibrate_temperatures(s, ["variant"])}
+    fits = sc.calibrate_temperatures(s.withColumns({c: F.col(c) * factor for c in ("l0", "l1")}), ["variant"])
+    near = [abs(x["temperature"] / max(plain[x["variant"]] * _PLANTED[x["variant"]], sc.MIN_TEMPERATURE) - 1) < 1e-6 for x in fits]
+    # One row per variant.
+    return spark.createDataFrame([(x["variant"], round(x["nll"], 3) + 0.0, ok) for x, ok in zip(fits, near)], "variant string, nll double, inside boolean")
+
+
 _COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE y_true = {t} AND y_pred = {p}) AS DOUBLE) AS n{t}{p}" for t in (0, 1) for p in (0, 1, 2))
 cte("confusion", f"SELECT variant, run, {_COUNTS} FROM predictions GROUP BY 1, 2", "predictions")
 cte("class_scores", """
@@ -388,7 +409,9 @@ def _(spark, sf_dir):
 
 
 _EDGES = " + ".join(f"(CASE WHEN u >= {e!r}::DOUBLE THEN 1 ELSE 0 END)" for e in sg.POISSON_EDGES)
-_U = "(CAST(CAST('0x' || substr(md5('42:' || CAST(rep AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
+_HASH = "md5('42:' || CAST(rep // 4 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR) || ':' || CAST(run AS VARCHAR))"
+_U = f"(CAST(CAST('0x' || substr({_HASH}, 1 + 8 * (rep % 4), 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
+_REPLICATES = 1000
 
 
 @q("bootstrap_rows", "predictions", body=f"""
@@ -396,12 +419,12 @@ _U = "(CAST(CAST('0x' || substr(md5('42:' || CAST(rep AS VARCHAR) || ':' || CAST
         SELECT variant, rep, sum(w * hit) / CAST(sum(w) AS DOUBLE) AS score FROM (
             SELECT variant, rep, hit, {_EDGES} AS w FROM (
                 SELECT variant, rep, CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS hit, {_U} AS u
-                FROM predictions, (SELECT unnest(range(1, 51)) AS rep) WHERE run = 0)) GROUP BY 1, 2)
-    JOIN (SELECT variant, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0 END) AS point FROM predictions WHERE run = 0 GROUP BY 1) USING (variant)
+                FROM predictions, (SELECT CAST(unnest(range({_REPLICATES})) AS INTEGER) AS rep))) GROUP BY 1, 2)
+    JOIN (SELECT variant, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0 END) AS point FROM predictions GROUP BY 1) USING (variant)
     GROUP BY 1""")
 def _(spark, sf_dir):
-    p = preds(spark, sf_dir).filter("run = 0")
-    return rounded(sg.bootstrap_rows(p, ["variant"], ["doc_id"], "accuracy", 50), "variant")
+    """Rows of all runs; a document in a run is one row."""
+    return rounded(sg.bootstrap_rows(preds(spark, sf_dir), ["variant"], ["doc_id", "run"], "accuracy", _REPLICATES), "variant")
 
 
 @query("bootstrap_ci")
