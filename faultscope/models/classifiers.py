@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.canonical import FAULT, FEATURE_COLUMNS, FEATURE_GROUPS
-from faultscope.functions.decision import argmax_class, fixed_threshold, rule_prediction
+from faultscope.functions.decision import adaptive_threshold, argmax_class, fixed_threshold, rule_prediction
 from faultscope.functions.numeric import finite_or_zero
 from faultscope.operators.evaluation import class_report, confusion_matrix, evaluate
 from faultscope.operators.sampling import stratified_folds, stratified_split
+from faultscope.operators.scoring import apply_temperature, calibrate_temperature
 from faultscope.operators.transform import ColumnScaler
 from faultscope.sources.tables import land
 
@@ -115,10 +116,31 @@ def train_and_evaluate(features: DataFrame, model_type: str = "random_forest", c
     }
 
 
-def cross_validate(features: DataFrame, factory: Callable[[], Estimator], columns: list[str], model_type: str,
-                   folds: int = 5, seed: int = 42) -> DataFrame:
-    """Metrics per fold. Folds are fitted one after the other, each fit being
-    distributed; all fold predictions are evaluated together."""
+def calibrated_run(features: DataFrame, model_type: str = "random_forest", columns: list[str] | None = None, test_size: float = 0.2,
+                   calibration: float = 0.15, threshold: float | None = 0.6, seed: int = 42, **params) -> dict[str, DataFrame]:
+    """The composed run: split with a calibration slice, fit on the training part, temperature on the slice, decision with
+    a threshold, evaluation of the test part.
+
+    ``threshold`` is fixed, or adapts to ``context_confidence`` where it is None. Tables: ``temperature`` (one row),
+    ``predictions`` and ``metrics``.
+    """
+    columns = columns or FEATURE_COLUMNS
+    parts = land(stratified_split(features, "label", "case_id", test_size, 0.0, calibration, seed), "split")
+    model = classifier(model_type, columns, seed, **params).fit(prepare(parts.filter("split = 'train'"), columns, model_type))
+    scored = land(predict(model, prepare(parts.filter("split <> 'train'"), columns, "plain")), "scored")
+    # Logits of probabilities, which may be exactly 0 or 1 in a forest.
+    logits = scored.withColumns({f"l{k}": F.log(F.greatest(F.col(f"p{k}"), F.lit(1e-6))) for k in (0, 1)})
+    temperature = calibrate_temperature(logits.filter("split = 'calibration'"))
+    test = apply_temperature(logits.filter("split = 'test'"), temperature)
+    decided = adaptive_threshold(F.col("p0"), F.col("p1"), F.col("context_confidence")) if threshold is None else fixed_threshold(F.col("p0"), F.col("p1"), threshold)
+    decided = test.withColumn("y_pred", decided).drop("l0", "l1")
+    value = features.sparkSession.createDataFrame([(float(temperature),)], "temperature double")
+    return {"temperature": value, "predictions": decided, "metrics": evaluate(decided, [])}
+
+
+def cross_predictions(features: DataFrame, factory: Callable[[], Estimator], columns: list[str], model_type: str,
+                      folds: int = 5, seed: int = 42) -> DataFrame:
+    """``case_id, fold, y_true, y_pred, p0, p1``: every case predicted by the model that did not see its fold."""
     with_fold = land(stratified_folds(features, "label", "case_id", folds, seed), "folds")
     scored = None
     for k in range(folds):
@@ -127,4 +149,11 @@ def cross_validate(features: DataFrame, factory: Callable[[], Estimator], column
         part = predict(model, prepare(with_fold.filter(F.col("fold") == k), columns, "plain"))
         part = part.select("case_id", "fold", "y_true", "y_pred", "p0", "p1")
         scored = part if scored is None else scored.unionByName(part)
-    return evaluate(scored, ["fold"], baseline_fp_rate=1.0)
+    return scored
+
+
+def cross_validate(features: DataFrame, factory: Callable[[], Estimator], columns: list[str], model_type: str,
+                   folds: int = 5, seed: int = 42) -> DataFrame:
+    """Metrics per fold. Folds are fitted one after the other, each fit being
+    distributed; all fold predictions are evaluated together."""
+    return evaluate(cross_predictions(features, factory, columns, model_type, folds, seed), ["fold"], baseline_fp_rate=1.0)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["panel_queries", "feature_queries", "reshape_queries", "evaluation_queries", "series_queries", "model_queries"]
+MODULES = ["panel_queries", "feature_queries", "reshape_queries", "evaluation_queries", "series_queries", "model_queries", "property_queries"]
 
 
 def load_all() -> None:
