@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers_llm import documents, multiset, pairs_of, prose, sha
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faultscope.llm import html, packing, pii, quality, warc
@@ -312,3 +313,97 @@ def test_pipeline_stages_keep_columns_and_their_decisions(spark, tmp_path):
     assert ids[2] - ids[3] == {1001} and ids[3] - ids[4] == {8}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids[4]
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    """A range row is small, but the ranges are dealt over as many tasks (up to ``TASKS``); some get two."""
+    rng = random.Random(3)
+    rows = [(i, "u", prose(rng, 300)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    archives = warc.write_archives(warc.with_kinds(df))
+    sizes = [r["size"] for r in archives.collect()]
+    chunk = sum(sizes) // 40
+    ranges = sum(-(-s // chunk) for s in sizes)
+    tasks = warc.read_archives(archives, chunk).groupBy(F.spark_partition_id()).count().count()
+    assert tasks >= min(ranges, warc.TASKS) * 0.6
+
+
+# ---------------------------------------------------------------- very long rows
+def _timed(fn, seconds):
+    import time
+
+    start = time.monotonic()
+    out = fn()
+    assert time.monotonic() - start < seconds
+    return out
+
+
+@pytest.mark.parametrize("page,left", [
+    ("<a " * 700_000, 0), ("<a<a" * 500_000, 0), ("<b>x" * 100_000 + "</i>" * 100_000, 1), ('<div class="has-sidebar">x' * 50_000, 50_000),
+    ('<a "" ' * 200_000 + '<a "', 0), ("<p><div>" + "<b>" * 100_000 + "<p>" * 100_000, 0), ("<" * 2_000_000, 1), ("<!x " * 500_000, 0),
+])
+def test_long_pages_take_linear_time(page, left):
+    assert len(_timed(lambda: html.lines(page), 20)) == left
+
+
+def test_layout_counts_of_nested_elements():
+    page = '<div class="has-sidebar"><form><article>' + "own words " * 9 + '</article></form></div><div class="has-sidebar">menu<p>entry</p></div>'
+    assert [(t, p) for t, p in html.lines(page) if p != html.OFF] == [(("own words " * 9).strip(), html.ARTICLE)]
+
+
+def test_long_pages_are_aligned_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(11)
+    a = [rng.randrange(10**9) for _ in range(20_000)]
+    b = [v if rng.random() < 0.5 else rng.randrange(10**9) for v in a]
+    tracemalloc.start()
+    got = _timed(lambda: html.common(a, b), 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and len(got) >= sum(x == y for x, y in zip(a, b))
+    for _ in range(300):
+        x, y = ([rng.randrange(5) for _ in range(rng.randrange(25))] for _ in "ab")
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, u in enumerate(x):
+            for j, v in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if u == v else max(table[i][j + 1], table[i + 1][j])
+        picked = html.common(x, y)
+        rest = iter(y)
+        assert len(picked) == table[-1][-1] and all(x[k] in rest for k in picked)
+
+
+@pytest.mark.parametrize("text,counts", [
+    (", ".join(str(i * 7919 % 100_000) for i in range(100_000)), (0, 0)), (" ".join(f"a{i}@b.example" for i in range(40_000)), (40_000, 0)),
+    (" ".join(f"+49 170 {i:07d}." for i in range(30_000)), (0, 30_000)), ("k" * 600_000, (0, 0)),
+])
+def test_personal_data_in_long_texts(spark, text, counts):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = _timed(lambda: pii.find_pii(df, fit=False).first(), 60)
+    assert (row.n_email, row.n_phone) == counts
+    pairs = df.select(pii.meeting(pii.base_spans(F.col("text"))["phone"], pii.candidates(F.col("text"))).alias("m"))
+    assert _timed(lambda: pairs.select(F.size("m").alias("n")).first(), 60).n >= 0
+
+
+def test_meeting_is_overlap(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(60):
+        base = sorted((a, a + rng.randint(1, 9)) for a in rng.sample(range(200), rng.randint(0, 12)))
+        found = [(a, a + rng.randint(1, 9)) for a in rng.sample(range(200), rng.randint(0, 12))]
+        rows.append(([{"start": a, "end": b} for a, b in base], [{"start": a, "end": b} for a, b in found]))
+    df = spark.createDataFrame(rows, "b array<struct<start:int,end:int>>, f array<struct<start:int,end:int>>")
+    for r in df.select("b", "f", pii.meeting(F.col("b"), F.col("f")).alias("m")).collect():
+        assert [x.c for x in r.m] == r.f
+        assert [x.meets for x in r.m] == [any(b.start < c.end and c.start < b.end for b in r.b) for c in r.f]
+
+
+def test_whole_accounts_and_long_keys_are_proposed(spark):
+    text = "pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819 or DE89370400440532013000, " + "Zz9" * 60
+    df = spark.createDataFrame([(text,)], "t string")
+    got = [(c.name, c.text, c.before, c.after) for c in df.select(pii.candidates(F.col("t")).alias("c")).first().c]
+    assert {t for n, t, _, _ in got if n == "account"} == {"DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE89370400440532013000"}
+    assert "Zz9" * 60 in {t for n, t, _, _ in got if n == "key"}
+    for _, t, before, after in got:
+        at = text.index(t)
+        assert before == text[max(0, at - pii.AROUND) : at] and after == text[at + len(t) :][: pii.AROUND]
