@@ -71,7 +71,10 @@ NEAR = 0.2
 MANY = 10
 SHARE = 1 / 3
 NUMBERS = re.compile(r"\d[\d\s.,:/-]*")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG_NAME = re.compile(r"/?[a-zA-Z]")
+NAME_END = re.compile(r"[\s/>]")
+TAG_START = re.compile(r"<[a-zA-Z/!?]")
+SIGNS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 SPACES = re.compile(r"\s+")
@@ -119,32 +122,133 @@ def _off(name: str, attributes: str, inside: bool = False) -> int:
 PLAIN, ARTICLE, OFF = range(3)
 
 
+class _Tags:
+    """The tags of a page in order, in time linear in its length.
+
+    A start without an end is text. What has been found out about the ends of
+    names, quotes and tags is remembered, so that no stretch is searched again
+    for every ``<`` before it.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in (">", '"', "'")}
+        self.names = (-1, -1)             # a stretch without the end of a name
+        self.ends: dict[int, int] = {}    # ends of tags by where their attributes begin
+        self.dead: set[int] = set()       # quotes from which no end follows
+
+    def _name_end(self, at: int) -> int:
+        first, end = self.names
+        if not first <= at < end:
+            found = NAME_END.search(self.page, at)
+            end = found.start() if found else len(self.page)
+            self.names = (at, end)
+        return end
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``: the next ``>`` outside quotes, or -1."""
+        if at in self.ends:
+            return self.ends[at]
+        page, seen, place, found = self.page, [], at, -1
+        while place <= max(self.last.values()):
+            sign = SIGNS.search(page, place).start()
+            if page[sign] == ">":
+                found = sign
+                break
+            if sign in self.dead or sign == self.last[page[sign]]:
+                break
+            seen.append(sign)
+            place = page.index(page[sign], sign + 1) + 1
+        if found < 0:
+            self.dead.update(seen)
+        self.ends = {at: found}
+        return found
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """``(start, end, closing, name, attributes)`` of the first tag from ``at``; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                return start, stop + 3 if stop >= 0 else len(page), False, None, ""
+            if start > self.last[">"]:
+                return None
+            if page.startswith(("<!", "<?"), start):
+                return start, page.index(">", start) + 1, False, None, ""
+            if TAG_NAME.match(page, start + 1):
+                closing = page[start + 1] == "/"
+                first = start + 1 + closing
+                name_end = self._name_end(first)
+                end = self._end(name_end)
+                if end >= 0:
+                    return start, end + 1, closing, page[first:name_end], page[name_end:end]
+            at = start + 1
+        return None
+
+
 class _Open:
-    """An open element and what it takes over from those around it."""
+    """An open element and what it takes over from those around it; ``layout`` is the innermost layout element that counts, or -1."""
 
-    __slots__ = ("name", "off", "inside", "layout", "second", "link")
+    __slots__ = ("name", "off", "inside", "layout", "second", "link", "own")
 
-    def __init__(self, name: str | None, off: int = KEPT, inside: bool = False, layout: tuple = (), second: bool = False, link: bool = False):
-        self.name, self.off, self.inside, self.layout, self.second, self.link = name, off, inside, layout, second, link
+    def __init__(self, name: str | None, off: int = KEPT, inside: bool = False, layout: int = -1, second: bool = False, link: bool = False, own: int = -1):
+        self.name, self.off, self.inside, self.layout, self.second, self.link, self.own = name, off, inside, layout, second, link, own
 
 
 PAGE = _Open(None)
 
 
-def _opened(name: str, attributes: str, top: _Open, layouts: list) -> _Open:
-    inside = top.inside or name in ("article", "main")
-    here = BOILERPLATE if name == "header" and not top.inside else _off(name, attributes, top.inside)
-    off, layout, second = top.off, top.layout, top.second
-    if name in ("article", "main") and off < HIDDEN and here < HIDDEN:
-        # Back from what is off around it; below boilerplate it counts if the page has no other.
-        second = second or off == BOILERPLATE or here == BOILERPLATE
-        off, layout = KEPT, ()
-    elif here == LAYOUT:
-        layout = (*layout, len(layouts))
-        layouts.append([0, 0])
-    else:
-        off = max(off, here)
-    return _Open(name, off, inside, layout, second, top.link or name == "a")
+class _Stack:
+    """The open elements, with the places of each name and the text counted inside layout elements."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.total = [0, 0]               # characters in articles, and outside links
+        self.held: list[list[int]] = []   # the same for each layout element: minus the total at its start, plus that at its end
+        self.parents: list[int] = []      # the layout element around each
+
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else PAGE
+
+    def push(self, name: str, attributes: str) -> None:
+        top = self.top()
+        inside = top.inside or name in ("article", "main")
+        here = BOILERPLATE if name == "header" and not top.inside else _off(name, attributes, top.inside)
+        off, layout, second, own = top.off, top.layout, top.second, -1
+        if name in ("article", "main") and off < HIDDEN and here < HIDDEN:
+            # Back from what is off around it; below boilerplate it counts if the page has no other.
+            second = second or off == BOILERPLATE or here == BOILERPLATE
+            off, layout = KEPT, -1
+        elif here == LAYOUT:
+            own = len(self.held)
+            self.parents.append(layout)
+            self.held.append([-t for t in self.total])
+            layout = own
+        else:
+            off = max(off, here)
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(_Open(name, off, inside, layout, second, top.link or name == "a", own))
+
+    def cut(self, size: int) -> None:
+        """Close all elements from place ``size`` on."""
+        while len(self.open) > size:
+            element = self.open.pop()
+            self.places[element.name].pop()
+            if element.own >= 0:
+                for k in (0, 1):
+                    self.held[element.own][k] += self.total[k]
+
+    def end(self, name: str) -> None:
+        if self.places.get(name):
+            self.cut(self.places[name][-1])
+
+    def follow(self, name: str, within: tuple) -> None:
+        """Close an open element that the next one ends, if no element of ``within`` lies between."""
+        if self.places.get(name):
+            at = self.places[name][-1]
+            if all(not self.places.get(w) or self.places[w][-1] < at for w in within):
+                self.cut(at)
 
 
 def lines(page: str) -> list[tuple[str, int]]:
@@ -156,48 +260,44 @@ def lines(page: str) -> list[tuple[str, int]]:
     without any. An article below boilerplate (an aside, a list of comments)
     counts on pages that have no other.
     """
-    out: list[tuple[str, int, tuple, bool]] = []
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     dropped: list[str] = []
-    stack: list[_Open] = []
-    top = PAGE
-    layouts: list[list[int]] = []  # characters in articles and outside links, of each layout element
-    around: list[int] = []         # layout elements open now, whatever resets
-    total = [0, 0]
+    stack, tags = _Stack(), _Tags(page)
 
     def add(piece: str) -> None:
+        top = stack.top()
         (dropped if top.off else text).append(piece)
         if not top.off and not top.second:
             n = len(piece.strip())
-            for kind, counts in ((0, top.inside), (1, not top.link)):
-                if counts:
-                    total[kind] += n
-                    for k in around:
-                        layouts[k][kind] += n
+            stack.total[0] += n * top.inside
+            stack.total[1] += n * (not top.link)
 
     def close() -> None:
+        top = stack.top()
         for held, off in ((text, False), (dropped, True)):
             if held:
                 line = SPACES.sub(" ", entities.unescape("".join(held))).strip()
                 if line:
-                    out.append((line, OFF if off else ARTICLE if top.inside else PLAIN, () if off else top.layout, top.second))
+                    out.append((line, OFF if off else ARTICLE if top.inside else PLAIN, -1 if off else top.layout, top.second))
                 held.clear()
 
     at, end = 0, len(page)
     while at < end:
-        m = TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             # A tag that never ends is no text.
-            cut = re.compile(r"<[a-zA-Z/!?]").search(page, at)
+            cut = TAG_START.search(page, at)
             add(page[at : cut.start() if cut else end])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, after, closing, name, attributes = tag
+        if start > at:
+            add(page[at:start])
+        at = after
+        if name is None:
             continue
-        name = m[2].lower()
-        if not m[1]:
+        name = name.lower()
+        if not closing:
             if name in RAW:
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if name in BLOCKS:
@@ -213,35 +313,26 @@ def lines(page: str) -> list[tuple[str, int]]:
             if name in BLOCKS:
                 close()
                 if name == "p":
-                    _pop(stack, "p", ("div", "article", "section", "body", "td", "li", "blockquote", "main"))
+                    stack.follow("p", ("div", "article", "section", "body", "td", "li", "blockquote", "main"))
                 elif name == "li":
-                    _pop(stack, "li", ("ul", "ol", "menu"))
-            if not m[3].rstrip().endswith("/") or name in BLOCKS:
-                stack.append(_opened(name, m[3], stack[-1] if stack else PAGE, layouts))
+                    stack.follow("li", ("ul", "ol", "menu"))
+            if not attributes.rstrip().endswith("/") or name in BLOCKS:
+                stack.push(name, attributes)
         else:
             if name in BLOCKS:
                 close()
-            if any(s.name == name for s in stack):
-                while stack.pop().name != name:
-                    pass
-        top = stack[-1] if stack else PAGE
-        if layouts:
-            around = sorted({k for s in stack for k in s.layout})
+            stack.end(name)
     close()
+    stack.cut(0)
+    total = stack.total
     kind = 0 if total[0] else 1
-    gone = {k for k, held in enumerate(layouts) if not total[kind] or 2 * held[kind] < total[kind]}
-    first = any(place == ARTICLE and not second and gone.isdisjoint(layout) for _, place, layout, second in out)
-    return [(line, OFF if second and first or not gone.isdisjoint(layout) else place) for line, place, layout, second in out]
-
-
-def _pop(stack: list, name: str, within: tuple) -> None:
-    """Close an open element that the next one ends, if no element of ``within`` lies between."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in within:
-            return
+    # A line goes with any layout element around it that goes.
+    gone = []
+    for held, parent in zip(stack.held, stack.parents, strict=True):
+        gone.append(not total[kind] or 2 * held[kind] < total[kind] or parent >= 0 and gone[parent])
+    lost = lambda layout: layout >= 0 and gone[layout]
+    first = any(place == ARTICLE and not second and not lost(layout) for _, place, layout, second in out)
+    return [(line, OFF if second and first or lost(layout) else place) for line, place, layout, second in out]
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
@@ -258,23 +349,40 @@ def common(a: list[int], b: list[int]) -> list[int]:
         # Bit j of row i is clear where the common length grows at y[j]: Hyyro's recurrence, one big integer a row.
         width = len(y)
         full = (1 << width) - 1
-        places: dict[int, int] = {}
+        places: dict[int, list[int]] = {}
         for j, v in enumerate(y):
-            places[v] = places.get(v, 0) | 1 << j
-        rows, row = [], full
-        for v in x:
-            hit = row & places.get(v, 0)
-            row = ((row + hit) | (row - hit)) & full
-            rows.append(row)
-        j = width
+            places.setdefault(v, []).append(j)
+        often = {v: sum(1 << j for j in at) for v, at in places.items() if len(at) > 64}
+        # Of n rows some sqrt(n) are kept, and those between made again on the way back.
+        stride = max(1, int(len(x) ** 0.5))
+        kept, row = [full], full
+
+        def following(row: int, v: int) -> int:
+            mask = often.get(v, 0)
+            if not mask:
+                for j in places.get(v, ()):
+                    mask |= 1 << j
+            hit = row & mask
+            return ((row + hit) | (row - hit)) & full if hit else row
+
+        for i, v in enumerate(x):
+            row = following(row, v)
+            if (i + 1) % stride == 0:
+                kept.append(row)
+        j, rows, low = width, [], len(x)
         for i in range(len(x) - 1, -1, -1):
-            below = rows[i - 1] if i else full
+            if i < low:
+                low = i // stride * stride
+                rows = [kept[low // stride]]
+                for v in x[low : i + 1]:
+                    rows.append(following(rows[-1], v))
+            below, row = rows[i - low], rows[i - low + 1]
             # Length of the row's prefix y[:j] with and without x[i].
             mask = (1 << j) - 1
-            if (mask & ~rows[i]).bit_count() > (mask & ~below).bit_count():
+            if (mask & ~row).bit_count() > (mask & ~below).bit_count():
                 found.append(head + i)
-                need = (mask & ~rows[i]).bit_count()
-                while (((1 << (j - 1)) - 1) & ~rows[i]).bit_count() == need:
+                need = (mask & ~row).bit_count()
+                while (((1 << (j - 1)) - 1) & ~row).bit_count() == need:
                     j -= 1
                 j -= 1
     return sorted(found)
