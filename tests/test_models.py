@@ -109,7 +109,11 @@ def test_detector_errors_match_numpy_across_chunks(spark, monkeypatch):
     fitted = WindowDetector.fit(calm, length=5, components=3)
     got = [r.error for r in fitted.errors(calm).filter("service = 's3'").orderBy("start").collect()]
     x = fitted.scaler.transform(calm).filter("service = 's3'").orderBy("i").select(*METRICS).toPandas().to_numpy()
-    p, mean = fitted.pca.pc.toArray(), fitted.centre.mean.toArray()
+    p, mean = fitted.components, fitted.mean
+    count, mean_all, gram = dt.window_moments(dt._chunks(fitted.scaler.transform(calm), 5), 5)
+    y = fitted.scaler.transform(calm).orderBy("service", "i").select(*METRICS).toPandas().to_numpy().reshape(12, 60, -1)
+    every = np.array([one[k:k + 5].reshape(-1) for one in y for k in range(56)])
+    assert count == len(every) and np.allclose(mean_all, every.mean(0)) and np.allclose(gram, every.T @ every)
     want = []
     for s in range(56):
         c = x[s:s + 5].reshape(-1) - mean
