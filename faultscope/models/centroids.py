@@ -78,3 +78,44 @@ class CentroidClassifier(Estimator, HasInputCol, HasLabelCol, DefaultParamsReada
         return model._set(
             inputCol=self.getInputCol(), labels=[r["label"] for r in rows], values=[x for r in rows for x in r["centroid"]],
             limit=self.getOrDefault(self.limit), unknown=self.getOrDefault(self.unknown))
+
+
+#: Rows of a slice and centroids of a block in a blocked search.
+SLICE_ROWS, BLOCK_CENTROIDS = 50_000, 2048
+
+
+def nearest_blocked(rows: DataFrame, key: str, vector: str, centroids: DataFrame, limit: float = 1.5, unknown: int = UNKNOWN,
+                    slice_rows: int = SLICE_ROWS, block_centroids: int = BLOCK_CENTROIDS) -> DataFrame:
+    """``key, prediction, distance`` for any number of classes; ``key`` is unique.
+
+    ``centroids`` is a table ``label, centroid``. Slices of the rows meet blocks
+    of the centroids in one task each, as one matrix product; each meeting gives
+    the nearest centroid of the block, and the least of these is kept, of equal
+    distances the smaller label. Nothing is collected on the driver.
+    """
+    def parts(df: DataFrame, size: int, *by: Column) -> DataFrame:
+        count = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("n"))
+        return df.withColumn("_part", F.pmod(F.xxhash64(*by), count.scalar()))
+
+    left = parts(rows.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v")), slice_rows, F.col("_key"))
+    right = parts(centroids.select(F.col("label").cast("int").alias("_label"), F.col("centroid").alias("_c")), block_centroids, F.col("_label"))
+    slices, blocks = left.agg(F.max("_part")).scalar(), right.agg(F.max("_part")).scalar()
+    zero = F.lit(0).cast("long")
+    left = left.withColumn("_other", F.explode(F.sequence(zero, F.coalesce(blocks, zero))))
+    right = right.withColumn("_other", F.explode(F.sequence(zero, F.coalesce(slices, zero))))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def product(pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(block):
+            return pd.DataFrame(columns=["_key", "_distance", "_label"])
+        block = block.sort_values("_label")
+        x = np.stack(pdf["_v"].to_numpy()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), MIN_NORM)
+        distance = 1.0 - x @ np.stack(block["_c"].to_numpy()).astype(float).T
+        at = distance.argmin(axis=1)
+        return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "_distance": distance[np.arange(len(x)), at], "_label": block["_label"].to_numpy()[at]})
+
+    met = left.groupBy("_part", "_other").cogroup(right.groupBy("_other", "_part")).applyInPandas(product, f"_key {kind}, _distance double, _label int")
+    best = met.groupBy("_key").agg(F.min(F.struct("_distance", "_label")).alias("b"))
+    found = F.when(F.col("b._distance") > limit, F.lit(unknown)).otherwise(F.col("b._label"))
+    return best.select(F.col("_key").alias(key), found.cast("int").alias("prediction"), F.col("b._distance").alias("distance"))

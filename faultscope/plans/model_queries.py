@@ -12,7 +12,7 @@ from faultscope.canonical import FEATURE_COLUMNS
 from faultscope.functions.numeric import stable
 from faultscope.models import classifiers as cl
 from faultscope.models import grid as gr
-from faultscope.models.centroids import CentroidClassifier, class_centroids
+from faultscope.models.centroids import CentroidClassifier, class_centroids, nearest_blocked
 from faultscope.models.detector import WindowDetector
 from faultscope.plans.feature_queries import _case, rounded
 from faultscope.plans.registry import query
@@ -177,16 +177,27 @@ def _(spark, sf_dir):
     return c.select("label", F.posexplode("centroid").alias("pos", "value")).select("label", "pos", stable("value").alias("value"))
 
 
-@query("nearest_centroid", with_ctes("unit_vectors", "centroids", body=f"""
+_NEAREST = with_ctes("unit_vectors", "centroids", body=f"""
     SELECT vec_id, CAST(CASE WHEN d > 0.8 THEN -1 ELSE near END AS INTEGER) AS prediction, {r('d')} AS distance FROM (
         SELECT vec_id, arg_min(label, d) AS near, min(d) AS d FROM (
-            SELECT u.vec_id, c.label, 1 - sum(u.x * c.c) AS d FROM unit_vectors u JOIN centroids c USING (pos) GROUP BY 1, 2) GROUP BY 1)"""))
+            SELECT u.vec_id, c.label, 1 - sum(u.x * c.c) AS d FROM unit_vectors u JOIN centroids c USING (pos) GROUP BY 1, 2) GROUP BY 1)""")
+
+
+@query("nearest_centroid", _NEAREST)
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     model = CentroidClassifier(inputCol="embedding", labelCol="label", limit=0.8, unknown=-1).fit(e)
     return model.transform(e).select("vec_id", "prediction", stable("distance").alias("distance"))
 
 
+@query("nearest_centroid_blocked", _NEAREST)
+def _(spark, sf_dir):
+    """The same through blocks of centroids, as for class counts that no task holds."""
+    e = table(spark, sf_dir, "embeddings")
+    found = nearest_blocked(e, "vec_id", "embedding", land(class_centroids(e, "embedding", "label"), "centroids"), 0.8, -1, block_centroids=3)
+    return found.select("vec_id", "prediction", stable("distance").alias("distance"))
+
+
 @query("centroid_accuracy", with_ctes("unit_vectors", "centroids", body=f"""
     SELECT label, count(*) AS rows, {r('avg(CASE WHEN near = label THEN 1.0::DOUBLE ELSE 0.0 END)')} AS accuracy FROM (
         SELECT vec_id, any_value(own) AS label, arg_min(label, d) AS near FROM (

@@ -21,7 +21,7 @@ def hash_uniform(seed: str, *keys: str) -> str:
     return f"(CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
 
 
-def _panel(case_expr: str, start_expr: str, hour_expr: str, hours: int, where: str) -> str:
+def _panel(case_expr: str, start_expr: str, hour_expr: str, hours: int | str, where: str) -> str:
     return f"""
     SELECT p.case_id, 'case' AS role, p.service, p.start + g.h * 3600 AS ts, g.h AS i, CAST({hours} AS BIGINT) AS n,
            coalesce(c.total / 100.0::DOUBLE / c.c, 0.0) AS cpu_usage,
@@ -44,12 +44,13 @@ def _panel(case_expr: str, start_expr: str, hour_expr: str, hours: int, where: s
 
 
 _DAY_ID = "strftime(ts, '%Y-%m-%d') || '#' || CAST(user_id // 50 AS VARCHAR)"
-_LONG_HOUR = "(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts))"
+_FIRST_DAY = "(SELECT CAST(min(ts) AS DATE) FROM events)"
+_LONG_HOUR = f"(date_diff('day', {_FIRST_DAY}, CAST(ts AS DATE)) * 24 + hour(ts))"
+_LONG_HOURS = f"((SELECT date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 FROM events) * 24)"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "day": ((), _panel(_DAY_ID, "CAST(epoch(CAST(ts AS DATE)) AS BIGINT)", "hour(ts)", 24, "")),
-    "long": ((), _panel("'cohort-' || CAST(user_id // 50 AS VARCHAR)", "CAST(epoch(DATE '2024-01-01') AS BIGINT)",
-                        _LONG_HOUR, 720, f"WHERE {_LONG_HOUR} BETWEEN 0 AND 719")),
+    "long": ((), _panel("'cohort-' || CAST(user_id // 50 AS VARCHAR)", f"CAST(epoch({_FIRST_DAY}) AS BIGINT)", _LONG_HOUR, _LONG_HOURS, "")),
 }
 
 

@@ -189,3 +189,24 @@ def test_grid_covers_every_variant_run_and_size(spark, features):
     # One run again gives the same predictions.
     again = gr.run_grid(features, gr.VARIANTS, 2, params=small, fit_rows=40)
     assert scored.exceptAll(again).isEmpty()
+
+
+def test_blocked_search_over_many_classes(spark):
+    """More classes than a block holds, more rows than a slice, ties and a zero vector."""
+    from faultscope.models.centroids import nearest_blocked
+
+    g = np.random.default_rng(9)
+    c = g.normal(size=(3000, 8))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[2999] = c[5]
+    x = np.vstack([g.normal(size=(700, 8)), c[5:6] * 2, np.zeros((1, 8))])
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "label int, centroid array<double>")
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "id long, v array<double>, label string")
+    got = {r.id: r for r in nearest_blocked(rows, "id", "v", centroids, 0.4, -1, slice_rows=100, block_centroids=256).collect()}
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = 1 - u @ c.T
+    assert len(got) == len(x) and got[700].prediction == 5
+    for i in range(len(x)):
+        assert got[i].distance == pytest.approx(d[i].min(), abs=1e-12)
+        assert got[i].prediction == (-1 if d[i].min() > 0.4 else d[i].argmin())
+    assert nearest_blocked(rows, "id", "v", centroids.filter("false")).count() == 0
