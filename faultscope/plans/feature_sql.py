@@ -21,7 +21,8 @@ cte("cases_day", f"""
 cte("cases_long", """
     SELECT DISTINCT 'cohort-' || CAST(user_id // 50 AS VARCHAR) AS case_id,
            CAST((user_id // 50) % 2 AS INTEGER) AS label,
-           CAST(epoch(DATE '2024-01-01') AS BIGINT) + 480 * 3600 AS inject_time
+           CAST(epoch((SELECT CAST(min(ts) AS DATE) FROM events)) AS BIGINT)
+               + (SELECT (date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1) * 24 * 2 // 3 FROM events) * 3600 AS inject_time
     FROM events""")
 
 
