@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from faultscope.canonical import EPS, SERIES_KEY
 from faultscope.operators.chunks import with_halo
 
-MAX_POINTS = 1024
+MAX_POINTS = 4096
+#: Points up to which all pairs are held at once for the kernel scale.
+ALL_PAIRS = 1024
 MIN_SERIES = 10
 EDGE = 3
 # Smallest segment, candidate grid and exponent bounds of the kernel cost.
@@ -34,13 +36,46 @@ EXPONENT_BOUNDS = (1e-2, 1e2)
 def kernel_block_sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Cumulative sums of the kernel matrix over the candidate grid."""
     n = len(x)
-    squared = (x[:, None] - x[None, :]) ** 2
-    median = float(np.median(squared[np.triu_indices(n, 1)])) if n > 1 else 0.0
-    scaled = squared / median if median > 0 else squared
-    kernel = np.exp(-np.clip(scaled, *EXPONENT_BOUNDS))
-    np.fill_diagonal(kernel, 1.0)
-    cells = np.add.reduceat(np.add.reduceat(kernel, cuts[:-1], axis=0), cuts[:-1], axis=1)
-    return np.pad(cells.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    median = median_squared_gap(x)
+    scale = median if median > 0 else 1.0
+    cells = []
+    # One strip of the matrix per cell: the whole never exists.
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        strip = np.exp(-np.clip((x[a:b, None] - x[None, :]) ** 2 / scale, *EXPONENT_BOUNDS))
+        strip[np.arange(b - a), np.arange(a, b)] = 1.0
+        cells.append(np.add.reduceat(strip.sum(0), cuts[:-1]))
+    return np.pad(np.array(cells).reshape(len(cuts) - 1, -1).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+
+
+def median_squared_gap(x: np.ndarray) -> float:
+    """Median squared difference over all pairs of points; 0 for a single point.
+
+    For many points the middle gaps are found by halving the range of gaps and
+    counting the pairs below in the sorted points, so memory stays linear.
+    """
+    n = len(x)
+    if n < 2:
+        return 0.0
+    if n <= ALL_PAIRS:
+        return float(np.median(((x[:, None] - x[None, :]) ** 2)[np.triu_indices(n, 1)]))
+    y = np.sort(x)
+    behind = np.arange(1, n + 1)
+
+    def gap(rank: int) -> float:
+        """The gap of the given rank, smallest first from 1."""
+        low, high = -1.0, float(y[-1] - y[0])
+        while high - low > 1e-14 * max(high, 1e-300):
+            middle = (low + high) / 2
+            if middle in (low, high):
+                break
+            if int((np.searchsorted(y, y + middle, side="right") - behind).clip(0).sum()) >= rank:
+                high = middle
+            else:
+                low = middle
+        return high
+
+    pairs = n * (n - 1) // 2
+    return (gap((pairs + 1) // 2) ** 2 + gap(pairs // 2 + 1) ** 2) / 2
 
 
 def segment_ends(x: np.ndarray, penalty: float, grid: int = GRID, min_segment: int = MIN_SEGMENT, first: int = 0) -> list[int]:

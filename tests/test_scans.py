@@ -104,3 +104,39 @@ def test_replace_tail_runs_no_job_while_it_is_built(spark):
     out = sampling.replace_tail(base, hard, "id")
     assert not tracker.getJobIdsForGroup("tail")
     assert sorted(r.id for r in out.collect()) == [*range(17), 100, 101, 102]
+
+
+def test_change_search_takes_medium_series_whole(spark):
+    """A weak shift near position 1024 of 2,000: neither lost nor reported twice."""
+    from faultscope.operators import changepoint as cp
+    from faultscope.operators.features import series_profile
+
+    series_of, whole = {}, {}
+    for seed in (11, 30, 34):
+        g = np.random.default_rng(seed)
+        x = g.normal(0, 1, 2000)
+        x[1000 + seed % 40:] += 1.2
+        series_of[f"s{seed}"], whole[f"s{seed}"] = x, cp.segment_ends(x, 10.0)
+    m = panel(spark, series_of)
+    found = {r.service: sorted(c.cp for c in r.candidates) for r in cp.change_candidates(m).collect()}
+    assert found == whole and all(len(v) == 1 for v in found.values())
+    best = {r.service: r.cp for r in cp.change_points(m, series_profile(m)).collect()}
+    assert best == {k: v[0] for k, v in whole.items()}
+
+
+def test_kernel_sums_in_strips_and_scale_by_counting(monkeypatch):
+    from faultscope.operators import changepoint as cp
+
+    g = np.random.default_rng(6)
+    for x in (g.normal(0, 3, 301), np.round(g.normal(0, 1, 302)), np.full(50, 2.0)):
+        squared = (x[:, None] - x[None, :]) ** 2
+        median = np.median(squared[np.triu_indices(len(x), 1)])
+        monkeypatch.setattr(cp, "ALL_PAIRS", 10)
+        assert cp.median_squared_gap(x) == pytest.approx(median, rel=1e-9, abs=1e-12)
+        kernel = np.exp(-np.clip(squared / (median or 1.0), 1e-2, 1e2))
+        np.fill_diagonal(kernel, 1.0)
+        cuts = np.array([0, 5, 20, len(x)])
+        sums = cp.kernel_block_sums(x, cuts)
+        for a in range(4):
+            for b in range(4):
+                assert sums[a, b] == pytest.approx(kernel[:cuts[a], :cuts[b]].sum(), rel=1e-6)
