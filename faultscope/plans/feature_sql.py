@@ -236,6 +236,68 @@ def change_ctes(p: str, src: str, n: int, penalty: float) -> None:
             WHERE c.mag > 0 GROUP BY 1, 2) USING (case_id, service)""", f"{p}_x", f"{p}_best", f"{p}_shifts")
 
 
+def change_scan_ctes(p: str, src: str, penalty: float, *needs: str) -> None:
+    """``<p>_scan``: best change point of every series of ``src``, of any length, by a plain recursion over the grid 5, 10, ...
+
+    The cheapest way to each grid point comes from all grid points before it,
+    without pruning; segment costs come from summed cells of the kernel matrix.
+    """
+    cte(f"{p}_sx", f"""
+        SELECT case_id, service, i, x, least(i // 5, (n - 2) // 5) AS c, n, s FROM (
+            SELECT case_id, service, i, cpu_usage AS x, count(*) OVER w AS n, stddev_pop(cpu_usage) OVER w AS s
+            FROM {src} WHERE role = 'case' WINDOW w AS (PARTITION BY case_id, service))""", *needs)
+    cte(f"{p}_smed", f"""
+        SELECT a.case_id, a.service, median(pow(a.x - b.x, 2)) AS med FROM {p}_sx a JOIN {p}_sx b
+        ON a.case_id = b.case_id AND a.service = b.service AND a.i < b.i GROUP BY 1, 2""", f"{p}_sx")
+    cte(f"{p}_scell", f"""
+        SELECT a.case_id, a.service, a.c AS c1, b.c AS c2, sum(CASE WHEN a.i = b.i THEN 1.0::DOUBLE
+               ELSE exp(-greatest(0.01, least(100.0, pow(a.x - b.x, 2) / CASE WHEN med > 0 THEN med ELSE 1 END))) END) AS k
+        FROM {p}_sx a JOIN {p}_sx b ON a.case_id = b.case_id AND a.service = b.service
+        JOIN {p}_smed m ON m.case_id = a.case_id AND m.service = a.service GROUP BY 1, 2, 3, 4""", f"{p}_sx", f"{p}_smed")
+    # Sums of all cells with c1 < a and c2 < b, from 1 on.
+    cte(f"{p}_ssum", f"""
+        SELECT case_id, service, c1 + 1 AS a, c2 + 1 AS b, sum(k) OVER (PARTITION BY case_id, service, c2 ORDER BY c1) AS p FROM (
+            SELECT case_id, service, c1, c2, sum(k) OVER (PARTITION BY case_id, service, c1 ORDER BY c2) AS k FROM {p}_scell)""", f"{p}_scell")
+    cte(f"{p}_sends", f"SELECT case_id, service, max(c) + 1 AS last, max(n) AS n FROM {p}_sx GROUP BY 1, 2", f"{p}_sx")
+    cte(f"{p}_scost", f"""
+        SELECT case_id, service, b, list(width - inside / width ORDER BY a) AS costs FROM (
+            SELECT e.case_id, e.service, t.b, f.a, CASE WHEN t.b = e.last THEN e.n ELSE 5 * t.b END - 5 * f.a AS width,
+                   t.p - 2 * coalesce(u.p, 0) + coalesce(v.p, 0) AS inside
+            FROM {p}_sends e JOIN {p}_ssum t ON t.case_id = e.case_id AND t.service = e.service AND t.a = t.b
+            JOIN (SELECT unnest(range(10000)) AS a) f ON f.a < t.b
+            LEFT JOIN {p}_ssum u ON u.case_id = e.case_id AND u.service = e.service AND u.a = f.a AND u.b = t.b
+            LEFT JOIN {p}_ssum v ON v.case_id = e.case_id AND v.service = e.service AND v.a = f.a AND v.b = f.a) GROUP BY 1, 2, 3""",
+        f"{p}_ssum", f"{p}_sends")
+    cte(f"{p}_sway", f"""
+        WITH RECURSIVE way AS (
+            SELECT case_id, service, 0 AS b, [0.0::DOUBLE] AS best, [0::BIGINT] AS origin FROM {p}_sends
+            UNION ALL
+            SELECT case_id, service, b, list_append(best, list_min(t) + {penalty}), list_append(origin, list_position(t, list_min(t)) - 1) FROM (
+                SELECT w.case_id, w.service, c.b, w.best, w.origin, list_transform(list_zip(w.best, c.costs), lambda z: z[1] + z[2]) AS t
+                FROM way w JOIN {p}_scost c ON c.case_id = w.case_id AND c.service = w.service AND c.b = w.b + 1))
+        SELECT w.* FROM way w JOIN {p}_sends e ON e.case_id = w.case_id AND e.service = w.service AND e.last = w.b""", f"{p}_scost", f"{p}_sends")
+    cte(f"{p}_scuts", f"""
+        WITH RECURSIVE back AS (
+            SELECT case_id, service, origin, CAST(b AS BIGINT) AS b FROM {p}_sway
+            UNION ALL SELECT case_id, service, origin, origin[b + 1] FROM back WHERE origin[b + 1] > 0)
+        SELECT case_id, service, 5 * b AS cp FROM back ANTI JOIN {p}_sends e ON e.case_id = back.case_id AND e.service = back.service AND e.last = back.b""",
+        f"{p}_sway", f"{p}_sends")
+    cte(f"{p}_scan", f"""
+        SELECT e.case_id, e.service, CAST(coalesce(cp, -1) AS BIGINT) AS cp, coalesce(mag, 0) AS cp_magnitude, coalesce(abr, 0) AS cp_abruptness
+        FROM {p}_sends e LEFT JOIN (
+            SELECT case_id, service, arg_max(cp, mag * 1e6 - cp * 1e-6) AS cp, max(mag) AS mag, arg_max(abr, mag * 1e6 - cp * 1e-6) AS abr FROM (
+                SELECT d.case_id, d.service, c.cp, abs(avg(x) FILTER (WHERE i < cp) - avg(x) FILTER (WHERE i >= cp)) / (max(s) + 1e-10) AS mag,
+                       abs(max(x) FILTER (WHERE i = cp + 1) - max(x) FILTER (WHERE i = cp - 1)) / 2 / (max(s) + 1e-10) AS abr
+                FROM {p}_sx d JOIN {p}_scuts c ON c.case_id = d.case_id AND c.service = d.service WHERE c.cp BETWEEN 3 AND n - 3 GROUP BY 1, 2, 3)
+            WHERE mag > 0 GROUP BY 1, 2) m ON m.case_id = e.case_id AND m.service = e.service""", f"{p}_sx", f"{p}_scuts", f"{p}_sends")
+
+
+change_scan_ctes("long", "long", 10.0, "long")
+change_scan_ctes("l", "split_long", 10.0, "split_long")
+# A shift of the load at a place of its own in every second series, so that there is something to find.
+cte("stepped_long", """
+    SELECT * REPLACE (cpu_usage + CASE WHEN i >= 200 + 37 * (length(service) % 5) AND length(service) % 2 = 1 THEN 60.0 ELSE 0.0 END AS cpu_usage) FROM long""", "long")
+change_scan_ctes("stepped", "stepped_long", 10.0, "stepped_long")
 change_ctes("d", "split_day", 12, 10.0)
 cte("d_labels", """
     SELECT DISTINCT case_id, CAST(CASE WHEN case_id LIKE '%fault' THEN 0 ELSE 1 END AS INTEGER) AS label FROM split_day""", "split_day")

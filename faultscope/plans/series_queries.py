@@ -22,7 +22,7 @@ from faultscope.plans.feature_sql import change_ctes
 from faultscope.plans.registry import query
 from faultscope.plans.sql import cte, hash_uniform as sql_uniform, r, rr, with_ctes
 from faultscope.sources.panel import EVENT_EDGES, day_cases, panel_day, panel_long
-from faultscope.sources.tables import table
+from faultscope.sources.tables import land, table
 
 
 def q(name: str, *needs: str, body: str):
@@ -119,12 +119,22 @@ def _(spark, sf_dir):
     return rounded(out.drop("role"), "case_id", "service", "cp")
 
 
-@query("change_points_long")
+@q("change_points_long", "l_scan", body=f"SELECT case_id, service, cp, {rr('cp_magnitude', 'cp_abruptness')} FROM l_scan")
 def _(spark, sf_dir):
     m = _case(spark, sf_dir, "long")
     return rounded(change_points(m, fe.series_profile(m)).drop("role"), "case_id", "service", "cp")
 
 
+@q("change_points_stepped", "stepped_scan", body=f"SELECT case_id, service, cp, {rr('cp_magnitude', 'cp_abruptness')} FROM stepped_scan")
+def _(spark, sf_dir):
+    """Long series, those of some services with a step."""
+    m = _long(spark, sf_dir)
+    size = F.length("service")
+    step = F.when((F.col("i") >= 200 + 37 * (size % 5)) & (size % 2 == 1), 60.0).otherwise(0.0)
+    m = land(m.withColumn("cpu_usage", F.col("cpu_usage") + step), "stepped")
+    return rounded(change_points(m, fe.series_profile(m)).drop("role"), "case_id", "service", "cp")
+
+
 # ------------------------------------------------------- context and alignment
 
 @q("positional_alignment", "d_aligned", body=f"SELECT case_id, {r('sum(a)')} AS cpu_case, {r('sum(b)')} AS cpu_reference, count(*) AS ranks FROM d_aligned GROUP BY 1")
@@ -185,7 +195,13 @@ def _(spark, sf_dir):
     return rounded(out.select("case_id", *CONTEXT_COLUMNS["derived"][:4]), "case_id")
 
 
-@query("regime_stability_long")
+@q("regime_stability_long", "l_gini", "l_acf", "l_profile", "l_scan", body=f"""
+    SELECT g.case_id, {rr('anomaly_gini', 'load_uniformity')}, {r('CASE WHEN a.n <= 30 THEN 0.5 WHEN a.var < 1e-10 THEN 0.0 ELSE least(1.0, a.best / a.var) END')} AS periodicity_strength,
+           {r('coherence')} AS correlation_coherence, {r('greatest(0.0, least(1.0, 1 / (1 + m)))')} AS regime_stability
+    FROM l_gini g JOIN l_acf a USING (case_id) JOIN (SELECT case_id, CASE WHEN count(*) FILTER (WHERE cpu_std >= 1e-10 AND req_std >= 1e-10) >= 2
+            THEN greatest(0.0, least(1.0, 1 - stddev_pop(corr_cpu_req) FILTER (WHERE cpu_std >= 1e-10 AND req_std >= 1e-10))) ELSE 0.5 END AS coherence
+        FROM l_profile WHERE role = 'case' GROUP BY 1) USING (case_id)
+    JOIN (SELECT case_id, avg(cp_magnitude) AS m FROM l_scan GROUP BY 1) USING (case_id)""")
 def _(spark, sf_dir):
     m = _case(spark, sf_dir, "long")
     prof = fe.series_correlations(fe.series_profile(m))
