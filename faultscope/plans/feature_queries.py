@@ -152,7 +152,8 @@ for _mode in CONTEXT_COLUMNS:
         return rounded(feature_table(spark, sf_dir, "day", mode), "case_id", "label", "has_reference")
 
 
-@query("feature_table_long")
+@query("feature_table_long", with_ctes("l_features", "l_comparison", body=f"""
+    SELECT f.case_id, f.label, true AS has_reference, {rr(*feature_columns('comparison'))} FROM l_features f JOIN l_comparison c USING (case_id)"""))
 def _(spark, sf_dir):
     return rounded(feature_table(spark, sf_dir, "long"), "case_id", "label", "has_reference")
 

@@ -299,15 +299,21 @@ cte("stepped_long", """
     SELECT * REPLACE (cpu_usage + CASE WHEN i >= 200 + 37 * (length(service) % 5) AND length(service) % 2 = 1 THEN 60.0 ELSE 0.0 END AS cpu_usage) FROM long""", "long")
 change_scan_ctes("stepped", "stepped_long", 10.0, "stepped_long")
 change_ctes("d", "split_day", 12, 10.0)
-cte("d_labels", """
-    SELECT DISTINCT case_id, CAST(CASE WHEN case_id LIKE '%fault' THEN 0 ELSE 1 END AS INTEGER) AS label FROM split_day""", "split_day")
-cte("d_features", """
-    SELECT f.case_id, f.label, b.* EXCLUDE (case_id), p.* EXCLUDE (case_id), coalesce(s.sync, 0.0) AS cross_service_sync,
-           coalesce(r.anomaly_spread, 0.0) AS anomaly_spread, c.change_point_magnitude, c.onset_gradient
-    FROM d_labels f JOIN d_base b USING (case_id) JOIN d_pool p USING (case_id)
-    LEFT JOIN d_sync s ON s.case_id = f.case_id AND s.role = 'case' LEFT JOIN d_spread r ON r.case_id = f.case_id
-    JOIN (SELECT case_id, avg(cp_magnitude) AS change_point_magnitude, avg(cp_abruptness) AS onset_gradient, avg(1 / (1 + cp_magnitude)) AS stable
-          FROM d_change GROUP BY 1) c ON c.case_id = f.case_id""", "d_labels", "d_base", "d_pool", "d_sync", "d_spread", "d_change")
+def feature_table_ctes(p: str, src: str, change: str) -> None:
+    """``<p>_features``: the features of every case without its context."""
+    cte(f"{p}_labels", f"""
+        SELECT DISTINCT case_id, CAST(CASE WHEN case_id LIKE '%fault' THEN 0 ELSE 1 END AS INTEGER) AS label FROM {src}""", src)
+    cte(f"{p}_features", f"""
+        SELECT f.case_id, f.label, b.* EXCLUDE (case_id), p.* EXCLUDE (case_id), coalesce(s.sync, 0.0) AS cross_service_sync,
+               coalesce(r.anomaly_spread, 0.0) AS anomaly_spread, c.change_point_magnitude, c.onset_gradient
+        FROM {p}_labels f JOIN {p}_base b USING (case_id) JOIN {p}_pool p USING (case_id)
+        LEFT JOIN {p}_sync s ON s.case_id = f.case_id AND s.role = 'case' LEFT JOIN {p}_spread r ON r.case_id = f.case_id
+        JOIN (SELECT case_id, avg(cp_magnitude) AS change_point_magnitude, avg(cp_abruptness) AS onset_gradient
+              FROM {change} GROUP BY 1) c ON c.case_id = f.case_id""", f"{p}_labels", f"{p}_base", f"{p}_pool", f"{p}_sync", f"{p}_spread", change)
+
+
+feature_table_ctes("d", "split_day", "d_change")
+feature_table_ctes("l", "split_long", "l_scan")
 cte("d_derived", """
     SELECT g.case_id, anomaly_gini, load_uniformity, 0.5::DOUBLE AS periodicity_strength, coherence AS correlation_coherence,
            greatest(0.0, least(1.0, 1 / (1 + m))) AS regime_stability
