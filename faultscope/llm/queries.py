@@ -50,7 +50,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-@_query("op1_substring_dedup")
+@_query("op1_substring_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, s, md5(array_to_string(w[s : s + 34], ' ')) AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM g WHERE gram IN (SELECT gram FROM g GROUP BY 1 HAVING count(*) > 1)),
+kept AS (SELECT x.r, string_agg(x.word, ' ' ORDER BY x.p) AS t, count(*) AS n FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+         ANTI JOIN gone ON gone.r = x.r AND gone.p = x.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,7 +72,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@_query("op9_warc")
+@_query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda k: right('000' || bin(strpos('0123456789abcdef', hex[k]) - 1), 4)), '') AS bits FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           1 + 16 * CAST(bits[5 * k + 1] AS INTEGER) + 8 * CAST(bits[5 * k + 2] AS INTEGER) + 4 * CAST(bits[5 * k + 3] AS INTEGER)
+             + 2 * CAST(bits[5 * k + 4] AS INTEGER) + CAST(bits[5 * k + 5] AS INTEGER)]), '') AS payload_digest,
+       CASE WHEN page_id = keep OR keep IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM b""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
