@@ -105,7 +105,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-@_query("op12_merkle_manifest")
+def _merkle_sql(levels: int = 7) -> str:
+    """The manifest as SQL: ``levels`` levels of runs of eight above the documents and above the languages."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32 bit by bit: a byte (plus 256) is added, then eight shifts follow.
+    bits = "flatten(list_transform(range(1, length(d) + 1), lambda k: [256 + ascii(d[k]), 0, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN x >= 256 THEN xor(a, x - 256) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda a, x: {step}), 4294967295::BIGINT)"
+    parts = [f"""docs AS (SELECT *, row_number() OVER () AS r, coalesce('=' || lang, '') AS grp, CAST(doc_id AS VARCHAR) AS d FROM documents),
+leaves AS (SELECT r, doc_id, grp, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} END AS changed FROM docs),
+a0 AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS h, count(*) OVER (PARTITION BY grp) AS n, r FROM leaves)"""]
+
+    def tree(p: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{p}{k + 1} AS (SELECT grp, idx // 8 AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h, (n + 7) // 8 AS n FROM {p}{k} WHERE n > 1 GROUP BY grp, idx // 8, n)""")
+            parts.append(f"""{p}w{k} AS (SELECT grp, idx, coalesce(string_agg(h, '') OVER (PARTITION BY grp, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+       coalesce(string_agg(h, '') OVER (PARTITION BY grp, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {p}{k} WHERE n > 1)""")
+        parts.append(f"{p}top AS (" + " UNION ALL ".join(f"SELECT grp, h FROM {p}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+
+    def way(p: str, source: str, grp: str, idx: str) -> str:
+        """Fold ``folded`` and lengthen ``proof`` along the tree, level by level."""
+        for k in range(levels):
+            parts.append(f"""{source}{p}{k} AS (SELECT s.* REPLACE (CASE WHEN w.idx IS NULL THEN folded ELSE sha256(w.l || folded || w.r) END AS folded, proof || coalesce(w.l || w.r, '') AS proof)
+FROM {source if k == 0 else f'{source}{p}{k - 1}'} s LEFT JOIN {p}w{k} w ON w.grp = s.{grp} AND w.idx = s.{idx} // {8**k})""")
+        return f"{source}{p}{levels - 1}"
+
+    tree("a")
+    parts.append("b0 AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS idx, h, count(*) OVER () AS n, grp AS name FROM atop)")
+    tree("b")
+    parts.append("""start AS (SELECT doc_id, leaf, l.grp, '' AS one, a0.idx, b0.idx AS place, b0.h AS subroot, (SELECT h FROM btop) AS root, coalesce(changed, leaf) AS folded, '' AS proof
+FROM leaves l JOIN a0 USING (r) JOIN b0 ON b0.name = l.grp)""")
+    last = way("b", way("a", "start", "grp", "idx"), "one", "place")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}"""
+
+
+@_query("op12_merkle_manifest", _merkle_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
