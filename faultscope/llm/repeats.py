@@ -12,6 +12,11 @@ an anchor has one class, all windows of the class repeat. Otherwise one run per
 class is fetched from its text and its windows are compared exactly, counted
 with the size of the class, so copies never meet one by one.
 
+A unit that doubles has a level between: the anchor of each class is extended to
+twice its length, to the right and to the left, as far as its windows reach. A
+window needs the extensions that lie inside it to repeat with the same anchor;
+classes and windows without that go before any text is fetched.
+
 Anchors and runs are named by 64-bit hashes; windows are counted as equal only
 when anchor and run, or anchor and window, agree: 128 bits.
 """
@@ -36,13 +41,20 @@ _CHUNK = 1_500_000
 
 
 class Runs(NamedTuple):
-    """Runs of windows: row, first window, how many, hash of the anchor, hash of all values with the anchor's place."""
+    """Runs of windows: row, first window, how many, hash of the anchor, hash of all values with the anchor's place.
+
+    ``place`` is the anchor's distance from the first window; ``right`` and ``left`` are hashes of the doubled
+    anchor, meaning something only where a window of the run contains it.
+    """
 
     row: np.ndarray
     first: np.ndarray
     n: np.ndarray
     anchor: np.ndarray
     whole: np.ndarray
+    place: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
 
 
 @cache
@@ -61,13 +73,18 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def doubled(window: int, base: int) -> int:
+    """Length of the level after the base windows."""
+    return min(2 * base, window)
+
+
 def runs(values: np.ndarray, order: np.ndarray, offsets: np.ndarray, window: int, base: int) -> Runs:
     """All runs of rows laid end to end. ``order`` has a key for every position whose base window fits."""
     n = len(values)
     none = np.empty(0, np.int64)
     usable = np.flatnonzero(np.diff(offsets) >= window)
     if not len(usable):
-        return Runs(none, none, none, none, none)
+        return Runs(*[none] * len(Runs._fields))
     if n > 2 * BATCH:
         return _long_rows(values, order, offsets, usable, window, base)
     up, down = _tables()
@@ -85,9 +102,15 @@ def runs(values: np.ndarray, order: np.ndarray, offsets: np.ndarray, window: int
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
     end = last - 1 + window
-    name = mix64((total[anchor + base] - total[anchor]) * down[anchor])
+
+    def named(a, b):
+        a, b = np.maximum(a, 0), np.minimum(b, n)
+        return mix64((total[b] - total[a]) * down[a]).view(np.int64)
+
+    long = doubled(window, base)
+    right, left = named(anchor, anchor + long), named(anchor + base - long, anchor + base)
     whole = mix64((total[end] - total[first]) * down[first] + mix64((count << 32 | (anchor - first)).astype(np.uint64)))
-    return Runs(row, first - offsets[row], count, name.view(np.int64), whole.view(np.int64))
+    return Runs(row, first - offsets[row], count, named(anchor, anchor + base), whole.view(np.int64), anchor - first, right, left)
 
 
 def _long_rows(values, order, offsets, usable, window, base) -> Runs:
@@ -102,11 +125,16 @@ def _long_rows(values, order, offsets, usable, window, base) -> Runs:
 
 
 class Unit(NamedTuple):
-    """What a text is a sequence of: ``read(raw, offsets) -> (values, order keys, offsets of values)``."""
+    """What a text is a sequence of: ``read(raw, offsets) -> (values, order keys, offsets of values)``.
+
+    ``doubles`` asks for the level of doubled anchors before windows are compared; ``window`` has to be at least
+    ``3 * base - 1`` then, so that every window contains one of the two.
+    """
 
     read: Callable
     window: int
     base: int
+    doubles: bool = False
 
 
 def words(raw: np.ndarray, offsets: np.ndarray):
@@ -132,24 +160,30 @@ def _chunks(batch: pa.RecordBatch, column: str, unit: Unit) -> Iterator:
 
 
 OCCURRENCE = "anchor long, whole long, k_id long, k_text long, first int, n int"
+DOUBLED = ", place int, right long, left long"
 
 
-def occurrences(texts: DataFrame, unit: Unit) -> DataFrame:
-    """One row per run of every text ``(k_id, k_text, body)``."""
+def occurrences(texts: DataFrame, unit: Unit, double: bool = False) -> DataFrame:
+    """One row per run of every text ``(k_id, k_text, body)``; with ``double`` also the doubled anchors, null where
+    no window of the run contains them."""
+    long = doubled(unit.window, unit.base)
 
     def scan(batches):
-        schema = None
         for batch in batches:
             for a, (values, order, offsets) in _chunks(batch, "body", unit):
                 found = runs(values, order, offsets, unit.window, unit.base)
                 if len(found.row):
                     rows = pa.array(found.row + a)
                     schema = ["anchor", "whole", "k_id", "k_text", "first", "n"]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.anchor), pa.array(found.whole), batch.column("k_id").take(rows), batch.column("k_text").take(rows),
-                         pa.array(found.first.astype(np.int32)), pa.array(found.n.astype(np.int32))], names=schema)
+                    columns = [pa.array(found.anchor), pa.array(found.whole), batch.column("k_id").take(rows), batch.column("k_text").take(rows),
+                               pa.array(found.first.astype(np.int32)), pa.array(found.n.astype(np.int32))]
+                    if double:
+                        right = pa.array(found.right, mask=found.place - found.n + 1 > unit.window - long)
+                        left = pa.array(found.left, mask=found.place < long - unit.base)
+                        schema, columns = [*schema, "place", "right", "left"], [*columns, pa.array(found.place.astype(np.int32)), right, left]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema)
 
-    return texts.mapInArrow(scan, OCCURRENCE)
+    return texts.mapInArrow(scan, OCCURRENCE + DOUBLED * double)
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -185,16 +219,20 @@ def repeated_windows(texts: DataFrame, packed_texts: DataFrame, unit: Unit, comp
     # Only anchors that occur again are kept; whether their runs are all equal shows in the extremes.
     again = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
     again = land(again.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated-anchors")
-    members = land(occurrences(texts, unit).join(again, "anchor"), "anchor-members")
+    members = land(occurrences(texts, unit, unit.doubles).join(again, "anchor"), "anchor-members")
     place = F.min(F.struct("k_id", "k_text", "first")).alias("at")
     whole_run = [*KEY, F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b")]
     alone, mixed = members.where("not mixed"), members.where("mixed")
     if keep_first:
         alone = alone.join(alone.groupBy("anchor").agg(place), "anchor").where(~F.struct("k_id", "k_text", "first").eqNullSafe(F.col("at")))
     alone = alone.select(*whole_run)
-    classes = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n_class"), F.first("n").alias("n"), place)
+    levels = ["place", "right", "left"] if unit.doubles else []
+    # Runs of one class agree in these columns, as their hash covers all values of the run and the anchor's place.
+    classes = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n_class"), F.first("n").alias("n"), place, *[F.first(c).alias(c) for c in levels])
     per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("n_classes"))
-    classes = land(classes.join(per_anchor, "anchor").select("anchor", "whole", "n_class", "n_classes", "n", "at.*"), "run-classes")
+    classes = land(classes.join(per_anchor, "anchor").select("anchor", "whole", "n_class", "n_classes", "n", "at.*", *levels), "run-classes")
+    if unit.doubles:
+        classes = survivors(classes, unit)
     judged = _judge(classes, packed_texts, unit, compare, keep_first)
     if keep_first:
         judged = judged.withColumnRenamed("first", "earliest").join(classes.select("anchor", "whole", F.struct(*KEY, "first").alias("at")), ["anchor", "whole"])
@@ -205,9 +243,26 @@ def repeated_windows(texts: DataFrame, packed_texts: DataFrame, unit: Unit, comp
     return land(alone.unionByName(spread).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "repeat-spans")
 
 
+def survivors(classes: DataFrame, unit: Unit) -> DataFrame:
+    """Classes with the windows whose doubled anchors repeat: ``skip`` windows go before them, ``n`` are left.
+
+    A window whose anchor starts at its value ``o`` contains the right extension if ``o <= window - long`` and the
+    left one if ``o >= long - base``. What is left of a run is one range, as ``o`` falls by one from window to window.
+    """
+    long = doubled(unit.window, unit.base)
+    for side in ("right", "left"):
+        again = classes.groupBy("anchor", side).agg(F.sum("n_class").alias("c")).where(f"c > 1 and {side} is not null")
+        classes = classes.join(again.select("anchor", side, F.lit(True).alias(f"{side}_again")), ["anchor", side], "left")
+    right, left = (F.coalesce(f"{side}_again", F.lit(False)) for side in ("right", "left"))
+    skip = F.when(left, 0).otherwise(F.greatest(F.lit(0), F.col("place") - (long - unit.base - 1)))
+    end = F.when(right, F.col("n")).otherwise(F.least("n", F.col("place") - (unit.window - long)))
+    kept = classes.where(right | left).withColumn("skip", skip).withColumn("n", end - F.col("skip")).where("n > 0")
+    return kept.drop("place", "right", "left", "right_again", "left_again")
+
+
 def _judge(classes: DataFrame, packed_texts: DataFrame, unit: Unit, compare, keep_first: bool) -> DataFrame:
     """``(anchor, whole, a, b, first)``: ranges of repeated windows in each class."""
-    per_text = classes.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "whole", "n_class", "n_classes", "n", *KEY, "first")).alias("runs"))
+    per_text = classes.groupBy(*KEY).agg(F.collect_list(F.struct(*classes.columns)).alias("runs"))
     with_text = per_text.join(packed_texts, same_key(per_text, packed_texts)).select("runs", packed_texts.body)
     if compare is not None:
         return compare(with_text, classes.agg(F.sum(F.col("n") + unit.window)).first()[0] or 0)
@@ -226,15 +281,17 @@ def window_counts(with_text: DataFrame, unit: Unit, above: int, keep_first: bool
                 raw = unpack(body.as_py())
                 values, _, _ = unit.read(raw, np.array([0, len(raw)]))
                 n = np.array([r["n"] for r in wanted], np.int64)
+                skip = np.array([r.get("skip", 0) for r in wanted], np.int64)
+                begin = np.array([r["first"] for r in wanted], np.int64) + skip
                 which = np.repeat(np.arange(len(wanted)), n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 if len(wanted) * 4 * unit.window > len(values):
-                    grams = gram_hashes(values, unit.window)[np.repeat([r["first"] for r in wanted], n) + at]
+                    grams = gram_hashes(values, unit.window)[begin[which] + at]
                 else:
-                    grams = np.concatenate([gram_hashes(values[r["first"] : r["first"] + r["n"] - 1 + unit.window], unit.window) for r in wanted])
+                    grams = np.concatenate([gram_hashes(values[b : b + k - 1 + unit.window], unit.window) for b, k in zip(begin, n, strict=True)])
                 take = lambda k: pa.array(np.array([r[k] for r in wanted], np.int64)[which])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([take("anchor"), take("whole"), take("n_class"), pa.array(grams.view(np.int64)), pa.array(at.astype(np.int32)),
-                                                  pa.array([r["k_id"] for r in wanted], pa.int64()).take(pa.array(which)), take("k_text"), pa.array((take("first").to_numpy() + at).astype(np.int32))],
+                yield pa.RecordBatch.from_arrays([take("anchor"), take("whole"), take("n_class"), pa.array(grams.view(np.int64)), pa.array((skip[which] + at).astype(np.int32)),
+                                                  pa.array([r["k_id"] for r in wanted], pa.int64()).take(pa.array(which)), take("k_text"), pa.array((begin[which] + at).astype(np.int32))],
                                                  names=["anchor", "whole", "n_class", "gram", "at", "id", "text", "start"])
 
     place = (F.struct("id", "text", "start") if keep_first else F.lit(0)).alias("place")

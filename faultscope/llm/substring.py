@@ -1,9 +1,10 @@
 """Substring dedup over words by level-wise doubling.
 
-Level one looks at base windows of about a quarter of the length; only where
-they repeat are windows named at the doubled lengths, each from its two halves,
-up to the length asked for (`repeats`). Repeats longer than that are covered by
-the windows inside them, so no candidate beyond it is needed for removal;
+Level one looks at base windows of about a quarter of the length, 9 words of 35.
+Those that repeat are extended to 18 words, on either side, and only windows
+whose extensions repeat as well are extended to the length asked for, 35, each
+named by its two halves (`repeats`). Repeats longer than that are covered by the
+windows inside them, so no candidate beyond it is needed for removal;
 `longest_repeats` goes on doubling until none survives.
 
 Defined cases: a null text has no words; texts shorter than the window lose
@@ -28,7 +29,9 @@ WINDOW = 35
 
 
 def unit(window: int) -> Unit:
-    return Unit(words, window, max(1, -(-window // 4)))
+    """Base windows of a quarter of the length, at least two words, as their order looks at two."""
+    base = min(window, max(2, -(-window // 4)))
+    return Unit(words, window, base, doubles=window >= 3 * base - 1)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:

@@ -7,8 +7,9 @@ import pytest
 from helpers_llm import SPACED, covered, documents, multiset, pairs_of, sha
 
 from faultscope.llm import suffix
-from faultscope.llm.repeats import _sliding_min, octets, runs, words
-from faultscope.llm.substring import longest_repeats, substring_dedup
+from faultscope.llm.common import keyed
+from faultscope.llm.repeats import _sliding_min, doubled, occurrences, octets, runs, survivors, words
+from faultscope.llm.substring import longest_repeats, substring_dedup, unit
 
 
 def _words(docs, length):
@@ -23,6 +24,45 @@ def test_substring_dedup_equals_brute_force(spark, window):
     assert got == _words(pairs_of(df), window)
 
 
+@pytest.mark.parametrize("window", [1, 3, 4, 5, 12])
+def test_substring_dedup_of_words_from_a_small_set(spark, window):
+    """Few words, so that most anchors repeat in unlike surroundings, with runs of one word and copies among them."""
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abc" if k % 2 else "abcdefgh") for _ in range(rng.randrange(0, 60))) for k in range(60)]
+    passage = " ".join(rng.choice("abcdefgh") for _ in range(14))
+    texts += [f"{a} {passage} {b}" for a, b in zip(texts[:20], texts[20:40], strict=True)] + ["a " * 50, texts[3], texts[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = multiset(substring_dedup(df, window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == _words(list(enumerate(texts)), window)
+
+
+@pytest.mark.parametrize("window", [5, 9, 35])
+def test_every_window_contains_a_doubled_anchor(window):
+    base = unit(window).base
+    long = doubled(window, base)
+    assert all(o <= window - long or o >= long - base for o in range(window - base + 1))
+
+
+def test_only_repeated_extensions_survive_to_whole_windows(spark):
+    """Texts that share 12 words lose all candidates at 18; of texts that share 20, those around the passage are left."""
+    rng = random.Random(2)
+
+    def some(k):
+        return " ".join(str(rng.random()) for _ in range(k))
+
+    def left(shared):
+        passage = some(shared)
+        df = spark.createDataFrame([(k, f"{some(40)} {passage} {some(40)}") for k in range(3)], "doc_id long, text string")
+        found = occurrences(keyed(df, "doc_id", "text"), unit(35), True)
+        again = found.groupBy("anchor").count().where("count > 1")
+        classes = found.join(again.select("anchor"), "anchor").selectExpr("*", "1L as n_class", "3L as n_classes")
+        return classes.agg({"n": "sum"}).first()[0] or 0, survivors(classes, unit(35)).agg({"n": "sum"}).first()[0] or 0
+
+    assert left(12)[1] == 0
+    before, after = left(60)
+    assert 0 < after <= before and after >= 3 * (60 - 35 + 1)
+
+
 def test_substring_dedup_of_nothing(spark):
     empty = documents(spark).where("false")
     assert substring_dedup(empty).count() == 0
