@@ -78,15 +78,17 @@ def doubled(window: int, base: int) -> int:
     return min(2 * base, window)
 
 
-def runs(values: np.ndarray, order: np.ndarray, offsets: np.ndarray, window: int, base: int) -> Runs:
-    """All runs of rows laid end to end. ``order`` has a key for every position whose base window fits."""
+def runs(values: np.ndarray, order: np.ndarray, offsets: np.ndarray, window: int, base: int, extend: bool = False) -> Runs:
+    """All runs of rows laid end to end. ``order`` has a key for every position whose base window fits.
+
+    Without ``extend`` no doubled anchor is named: ``right`` and ``left`` repeat the anchor."""
     n = len(values)
     none = np.empty(0, np.int64)
     usable = np.flatnonzero(np.diff(offsets) >= window)
     if not len(usable):
         return Runs(*[none] * len(Runs._fields))
     if n > 2 * BATCH:
-        return _long_rows(values, order, offsets, usable, window, base)
+        return _long_rows(values, order, offsets, usable, window, base, extend)
     up, down = _tables()
     keys = (order[: n - base + 1] >> _U(_BITS) << _U(_BITS)) | np.arange(n - base + 1, dtype=np.uint64)
     pick = _sliding_min(keys, window - base + 1)
@@ -107,19 +109,20 @@ def runs(values: np.ndarray, order: np.ndarray, offsets: np.ndarray, window: int
         a, b = np.maximum(a, 0), np.minimum(b, n)
         return mix64((total[b] - total[a]) * down[a]).view(np.int64)
 
-    long = doubled(window, base)
-    right, left = named(anchor, anchor + long), named(anchor + base - long, anchor + base)
+    name, long = named(anchor, anchor + base), doubled(window, base)
+    right = named(anchor, anchor + long) if extend else name
+    left = named(anchor + base - long, anchor + base) if extend else name
     whole = mix64((total[end] - total[first]) * down[first] + mix64((count << 32 | (anchor - first)).astype(np.uint64)))
-    return Runs(row, first - offsets[row], count, named(anchor, anchor + base), whole.view(np.int64), anchor - first, right, left)
+    return Runs(row, first - offsets[row], count, name, whole.view(np.int64), anchor - first, right, left)
 
 
-def _long_rows(values, order, offsets, usable, window, base) -> Runs:
+def _long_rows(values, order, offsets, usable, window, base, extend) -> Runs:
     """Rows longer than a batch, piece by piece; pieces overlap so that each window start lies in exactly one."""
     parts = []
     for r in usable:
         for begin in range(offsets[r], offsets[r + 1] - window + 1, BATCH):
             end = min(begin + BATCH + window - 1, offsets[r + 1])
-            part = runs(values[begin:end], order[begin:end], np.array([0, end - begin]), window, base)
+            part = runs(values[begin:end], order[begin:end], np.array([0, end - begin]), window, base, extend)
             parts.append(part._replace(row=part.row + r, first=part.first + (begin - offsets[r])))
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -171,7 +174,7 @@ def occurrences(texts: DataFrame, unit: Unit, double: bool = False) -> DataFrame
     def scan(batches):
         for batch in batches:
             for a, (values, order, offsets) in _chunks(batch, "body", unit):
-                found = runs(values, order, offsets, unit.window, unit.base)
+                found = runs(values, order, offsets, unit.window, unit.base, double)
                 if len(found.row):
                     rows = pa.array(found.row + a)
                     schema = ["anchor", "whole", "k_id", "k_text", "first", "n"]
