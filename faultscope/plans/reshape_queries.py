@@ -141,23 +141,57 @@ def _(spark, sf_dir):
                        F.col("cells.price").cast("double").alias("price"), F.col("cells.status").alias("status"))
 
 
+_FOLDERS = ["dataset", "system", "prefix", "fault", "instance"]
+
+
+def _case_folders(o: DataFrame) -> list:
+    """Folder columns of orders: dataset, system, prefix, one fault name and an instance per 10,000 keys."""
+    key = F.col("o_orderkey")
+    return [F.when(key % 2 == 0, "RE1").otherwise("RE2").alias("dataset"),
+            F.when(F.col("o_custkey") % 2 == 0, "sock-shop").otherwise("train-ticket").alias("system"),
+            F.when(F.floor(key / 2) % 2 == 0, "P").otherwise("Q").alias("prefix"),
+            F.lit("cart_cpu").alias("fault"), F.floor(key / 10000).alias("instance")]
+
+
+def _write_tree(rows: DataFrame, root: str, kind: str = "csv") -> None:
+    """All folders in one job, each by one task as one file; their number grows with the table."""
+    rows.repartition(*_FOLDERS).write.partitionBy(*_FOLDERS).option("header", True).format(kind).save(root)
+
+
+@query("side_files_stored", """
+    SELECT ['RE1', 'RE2'][1 + o_orderkey % 2] || '/' || ['sock-shop', 'train-ticket'][1 + o_custkey % 2] || '/'
+               || ['P', 'Q'][1 + o_orderkey // 2 % 2] || '/cart_cpu/' || o_orderkey // 10000 AS case_id,
+           CAST(count(*) AS BIGINT) AS log_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(max(length(o_orderstatus)) AS INTEGER) AS longest,
+           CAST(max(o_orderkey) AS BIGINT) AS inject_time, CAST(count(*) AS BIGINT) AS numbered
+    FROM orders GROUP BY 1""")
+def _(spark, sf_dir):
+    """Log files and injection times of a tree on storage, read back by file: a log per case, its largest key as its time."""
+    o = table(spark, sf_dir, "orders")
+    base = f"{shared_folder(spark)}/side-{uuid.uuid4().hex}"
+    _write_tree(o.select(*_case_folders(o), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")), f"{base}/logs")
+    times = o.select(*_case_folders(o), "o_orderkey").groupBy(*_FOLDERS).agg(F.max("o_orderkey").cast("string").alias("value"))
+    _write_tree(times, f"{base}/times", "text")
+    logs = rec.read_side_table(spark, f"{base}/logs", "part-*.csv")
+    per_case = logs.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("log_rows"), F.sum(F.col("key").cast("bigint")).alias("keys"), F.max(F.length("status")).alias("longest"),
+        (F.max("row") + 1).alias("numbered"))
+    return per_case.join(rec.inject_times(rec.scan_texts(spark, f"{base}/times", "part-*.txt"), f"{base}/times"), "case_id", "left")
+
+
 @query("recording_tree_multi", """
-    SELECT ds || '/' || sy || '/' || px || '/cart_cpu/1' AS case_id, ds AS dataset, sy AS system, 'cart' AS service, ts, cpu, clocked FROM (
+    SELECT ds || '/' || sy || '/' || px || '/cart_cpu/' || inst AS case_id, ds AS dataset, sy AS system, 'cart' AS service, ts, cpu, clocked FROM (
         SELECT ['RE1', 'RE2'][1 + o_orderkey % 2] AS ds, ['sock-shop', 'train-ticket'][1 + o_custkey % 2] AS sy,
-               ['P', 'Q'][1 + o_orderkey // 2 % 2] AS px, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS ts,
+               ['P', 'Q'][1 + o_orderkey // 2 % 2] AS px, o_orderkey // 10000 AS inst, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS ts,
                o_totalprice AS cpu, o_orderkey % 11 <> 0 AS clocked FROM orders)""")
 def _(spark, sf_dir):
-    """Real files under the shared folder: two datasets, systems and prefixes with equal folder names; every eleventh clock is no number."""
+    """Real files under the shared folder: two datasets, systems and prefixes with equal folder names, an instance per
+    10,000 order keys; every eleventh clock is no number. One job writes all, a file per folder."""
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     clock = F.when(key % 11 == 0, "nan").otherwise(key.cast("string"))
-    folder = [F.when(key % 2 == 0, "RE1").otherwise("RE2"), F.when(F.col("o_custkey") % 2 == 0, "sock-shop").otherwise("train-ticket"),
-              F.when(F.floor(key / 2) % 2 == 0, "P").otherwise("Q")]
     root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
-    parts = o.select(*(c.alias(n) for c, n in zip(folder, "dsp", strict=True)), clock.alias("time"), F.col("o_totalprice").alias("cart_cpu"))
-    for r in parts.select("d", "s", "p").distinct().collect():  # the eight folders of this layout
-        one = parts.where((F.col("d") == r.d) & (F.col("s") == r.s) & (F.col("p") == r.p)).select("time", "cart_cpu")
-        one.coalesce(1).write.option("header", True).csv(f"{root}/{r.d}/{r.s}/{r.p}/cart_cpu/1")
+    rows = o.select(*_case_folders(o), clock.alias("time"), F.col("o_totalprice").alias("cart_cpu"))
+    _write_tree(rows, root)
     rows, _ = rec.load_recordings(spark, root, glob="part-*.csv")
     located = rows.select("case_id", F.split("case_id", "/").alias("f"), "service", "ts", F.col("cpu_usage").alias("cpu"))
     return located.select("case_id", F.col("f")[0].alias("dataset"), F.col("f")[1].alias("system"), "service", "ts", "cpu", F.col("ts").isNotNull().alias("clocked"))

@@ -3,9 +3,11 @@
     <root>/<dataset>/<system>/<case>/metrics.csv
     <root>/<dataset>/<system>/<prefix>/<service>_<fault>/<instance>/metrics.csv
 
-Files are read as text lines, so a large file splits over tasks. The header of
-each file is turned into a reading plan (service -> column numbers) once; a
-data line then becomes its panel rows on the spot, without a shuffle.
+Files are chosen from their listing, before any is opened. The chosen ones are
+read as text lines, so a large file splits over tasks. The header of each file
+is turned into a reading plan (service -> column numbers) once; a data line then
+becomes its panel rows on the spot, without a shuffle. Folders may be named
+``key=value``, as a partitioned write names them; the key is left out.
 """
 
 from __future__ import annotations
@@ -23,11 +25,29 @@ METRICS_GLOB = "*{[mM][eE][tT][rR][iI][cC],[dD][aA][tT][aA]}*.csv"
 
 # ---------------------------------------------------------------- scanning
 
-def scan_lines(spark: SparkSession, root: str, glob: str = METRICS_GLOB) -> DataFrame:
-    """``(path, block, seq, line)`` of all matching files; ``(block, seq)``
-    orders the lines of a file."""
+def list_files(spark: SparkSession, root: str, glob: str = METRICS_GLOB) -> DataFrame:
+    """``(path)`` of all matching files. Only their listing is used, none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select(F.col("_metadata.file_path").alias("path"))
+
+
+def scan_lines(spark: SparkSession, root: str, glob: str = METRICS_GLOB, chosen: DataFrame | None = None) -> DataFrame:
+    """``(path, block, seq, line)`` of the lines that are not blank, of all matching files or of those whose ``path``
+    is in ``chosen``; ``(block, seq)`` orders the lines of a file, ``seq`` has no gaps inside a block.
+
+    The choice reaches Spark as a list of the chosen or of the other paths, whichever is shorter: at most half of the
+    listing that its file index holds on the driver anyway. Files outside it are not opened.
+    """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
-    return lines.select(
+    if chosen is not None:
+        files = list_files(spark, root, glob)
+        few, all_of_them = chosen.count(), files.count()
+        if few < all_of_them:
+            wanted = 2 * few <= all_of_them
+            named = chosen if wanted else files.join(chosen, "path", "left_anti")
+            within = F.col("_metadata.file_path").isin([r.path for r in named.select("path").toLocalIterator()])
+            lines = lines.where(within if wanted else ~within)
+    return lines.where(F.trim("value") != "").select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
@@ -90,6 +110,7 @@ def locate(paths: DataFrame, root: str) -> DataFrame:
     """
     below = F.regexp_replace(F.col("path"), r"^[a-zA-Z]+:/*/", "/")
     tail = F.filter(F.split(F.substring_index(below, root.rstrip("/") + "/", -1), "/"), lambda p: p != "")
+    tail = F.transform(tail, lambda p: F.regexp_replace(p, r"^[A-Za-z_]\w*=", ""))
     out = paths.withColumn("_seg", tail).withColumn("_depth", F.size("_seg"))
     misplaced = F.concat(F.lit("no <dataset>/<system>/<case>/ folder around "), F.col("path"))
     out = out.withColumn("_depth", F.when(F.col("_depth") >= 4, F.col("_depth")).otherwise(F.raise_error(misplaced).cast("int")))
@@ -119,6 +140,16 @@ def choose_metrics_file(located: DataFrame) -> DataFrame:
     return ranked.filter("_k = 1").drop("_p", "_k")
 
 
+def choose_files(paths: DataFrame, root: str, fault_types: list[str] | None = None,
+                 datasets: list[str] | None = None, systems: list[str] | None = None) -> DataFrame:
+    """The located files to read: one of each case directory, of the wanted faults, datasets and systems."""
+    chosen = choose_metrics_file(locate(paths, root))
+    for wanted, c in ((fault_types, "fault_type"), (datasets, "dataset"), (systems, "system")):
+        if wanted:
+            chosen = chosen.filter(F.col(c).isin(wanted))
+    return chosen
+
+
 # ------------------------------------------------------------ headers, lines
 
 def _fields(line: Column) -> Column:
@@ -193,41 +224,57 @@ def reading_plan(files: DataFrame, prefer_p90: bool = True) -> DataFrame:
     )
 
 
-def read_files(lines: DataFrame) -> DataFrame:
-    """``(path, header, header_block, header_seq)`` of every file."""
-    pos = F.struct("block", "seq")
-    return lines.groupBy("path").agg(
-        F.min_by("line", pos).alias("header"), F.min(pos).alias("first")
-    ).select("path", "header", F.col("first.block").alias("header_block"), F.col("first.seq").alias("header_seq"))
+def file_blocks(lines: DataFrame) -> DataFrame:
+    """``(path, block, first, rows)``: the least ``seq`` and the number of lines of every file block.
 
+    One pass over numbers, no line is touched. The table has a row per block and is landed, as are the
+    others made from it: Spark then knows their sizes and broadcasts them while they are small.
+    """
+    blocks = lines.groupBy("path", "block").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("rows"))
+    return land(blocks, "file-blocks")
 
-def number_rows(lines: DataFrame) -> DataFrame:
-    """0-based data row number per file: ranked inside a file block, shifted by
-    the row counts of the blocks before it."""
-    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("rows"))
+
+def read_files(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """``(path, header, header_block, header_seq)`` of every file: its first line, looked up by its place."""
+    blocks = file_blocks(lines) if blocks is None else blocks
+    first = blocks.groupBy("path").agg(F.min(F.struct("block", "first")).alias("at"))
+    first = land(first.select("path", F.col("at.block").alias("block"), F.col("at.first").alias("seq")), "file-heads")
+    return lines.join(first, ["path", "block", "seq"]).select(
+        "path", F.col("line").alias("header"), F.col("block").alias("header_block"), F.col("seq").alias("header_seq"))
+
+
+def body_rows(lines: DataFrame, plans: DataFrame, blocks: DataFrame, gapless: bool) -> DataFrame:
+    """The data lines of the files of ``plans`` with the plan's columns and their 0-based ``row`` in the file.
+
+    ``gapless`` says that ``seq`` has no gaps inside a block, as in ``scan_lines``: the row is then the distance from
+    the block's first line shifted by the lines before the block, and no line is shuffled. Otherwise lines are ranked.
+    """
+    plans = plans.drop("header")
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("path", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("path", "block").orderBy("seq"))
-    return lines.withColumn("k", local).join(offsets, ["path", "block"]).withColumn(
-        "row", F.col("offset") + F.col("k") - 1
-    ).drop("k", "offset")
+    if not gapless:
+        body = lines.join(land(plans, "reading-plans"), "path").filter(
+            ((F.col("block") != F.col("header_block")) | (F.col("seq") != F.col("header_seq"))) & (F.trim("line") != ""))
+        counts = body.groupBy("path", "block").agg(F.count(F.lit(1)).alias("rows"))
+        offsets = land(counts.select("path", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")), "block-offsets")
+        local = F.row_number().over(Window.partitionBy("path", "block").orderBy("seq"))
+        return body.withColumn("k", local).join(offsets, ["path", "block"]).withColumn(
+            "row", F.col("offset") + F.col("k") - 1).drop("k", "offset")
+    # The header is the line before row 0.
+    shifted = blocks.withColumn("shift", F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first") - 1)
+    per_block = land(shifted.select("path", "block", "shift").join(plans, "path"), "reading-plans")
+    numbered = lines.join(per_block, ["path", "block"]).withColumn("row", F.col("seq") + F.col("shift"))
+    return numbered.where("row >= 0").drop("shift")
 
 
 def panel_rows(lines: DataFrame, root: str, fault_types: list[str] | None = None,
                datasets: list[str] | None = None, systems: list[str] | None = None,
-               prefer_p90: bool = True) -> DataFrame:
+               prefer_p90: bool = True, gapless: bool = False) -> DataFrame:
     """Long panel ``(case_id, service, ts, row, metrics...)`` of the chosen file
     of every case; filters act on the path before any line is parsed."""
-    files = read_files(lines)
-    chosen = choose_metrics_file(locate(files, root))
-    for wanted, c in ((fault_types, "fault_type"), (datasets, "dataset"), (systems, "system")):
-        if wanted:
-            chosen = chosen.filter(F.col(c).isin(wanted))
-    plans = chosen.join(reading_plan(chosen.select("path", "header"), prefer_p90), "path").drop("header")
-    body = lines.join(plans, "path").filter(
-        ((F.col("block") != F.col("header_block")) | (F.col("seq") != F.col("header_seq"))) & (F.trim("line") != "")
-    )
-    numbered = number_rows(body)
+    blocks = file_blocks(lines)
+    chosen = choose_files(read_files(lines, blocks), root, fault_types, datasets, systems)
+    plans = chosen.join(reading_plan(chosen.select("path", "header"), prefer_p90), "path")
+    numbered = body_rows(lines, plans, blocks, gapless)
     cells = numbered.withColumn("cells", _fields(F.col("line"))).withColumn("s", F.explode("services"))
 
     def value(m: str) -> Column:
@@ -259,43 +306,43 @@ def ground_truth(texts: DataFrame, root: str) -> DataFrame:
     )
 
 
-def side_rows(lines: DataFrame, root: str) -> DataFrame:
+def side_rows(lines: DataFrame, root: str, gapless: bool = False) -> DataFrame:
     """``(case_id, dataset, system, row, cells)`` of side-file lines; ``cells`` maps column names to values.
 
     Every file is read by its own header, so files may differ in columns and their order.
     """
-    files = read_files(lines)
+    blocks = file_blocks(lines)
+    files = read_files(lines, blocks)
     names = header_columns(files.select("path", "header")).groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "col"))).alias("plan"))
-    plans = files.select("path", "header_block", "header_seq").join(names, "path")
-    body = lines.join(plans, "path").filter(
-        ((F.col("block") != F.col("header_block")) | (F.col("seq") != F.col("header_seq"))) & (F.trim("line") != ""))
-    numbered = number_rows(body).withColumn("c", _fields(F.col("line")))
+    located = locate(files, root).select("path", "header_block", "header_seq", "case_id", "dataset", "system")
+    numbered = body_rows(lines, located.join(names, "path"), blocks, gapless).withColumn("c", _fields(F.col("line")))
     pairs = F.transform("plan", lambda p: F.struct(p["col"], F.get("c", p["ordinal"])))
-    out = numbered.select("path", "row", F.map_from_entries(pairs).alias("cells"))
-    return locate(out, root).select("case_id", "dataset", "system", "row", "cells")
+    return numbered.select("case_id", "dataset", "system", "row", F.map_from_entries(pairs).alias("cells"))
 
 
 def read_side_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """Optional ``logs.csv`` / ``traces.csv`` of all cases, or ``None`` when no
     case has one. The columns of all files together; a file without one has nulls."""
-    lines = scan_lines(spark, root, name)
+    lines = land(scan_lines(spark, root, name), "side-lines")
     if lines.isEmpty():
         return None
-    rows = land(side_rows(lines, root), "side-rows")
+    rows = land(side_rows(lines, root, gapless=True), "side-rows")
     columns = [r[0] for r in rows.select(F.explode(F.map_keys("cells"))).distinct().orderBy("col").collect()]
     taken = {"case_id", "dataset", "system", "row"}
     values = [F.try_element_at("cells", F.lit(c)).alias(f"{c}_" if c in taken else c) for c in columns]
     return rows.select("case_id", "dataset", "system", "row", *values)
 
 
-def load_recordings(spark: SparkSession, root: str, glob: str = METRICS_GLOB, **filters) -> tuple[DataFrame, DataFrame]:
-    """(panel rows, case table) of a tree on storage. The text is parsed once
-    and landed in columns, which every later step reads. Side files without any
+def load_recordings(spark: SparkSession, root: str, glob: str = METRICS_GLOB, prefer_p90: bool = True,
+                    **filters) -> tuple[DataFrame, DataFrame]:
+    """(panel rows, case table) of a tree on storage. Files are chosen by their paths, then read; the
+    text is parsed once and landed in columns, which every later step reads. Side files without any
     match leave their columns null."""
+    chosen = land(choose_files(list_files(spark, root, glob), root, **filters).select("path"), "chosen-files")
     # Line numbers must agree in every pass over the lines, so the lines are landed first.
-    lines = land(scan_lines(spark, root, glob), "recording-lines")
-    rows = land(panel_rows(lines, root, **filters), "recordings")
+    lines = land(scan_lines(spark, root, glob, chosen), "recording-lines")
+    rows = land(panel_rows(lines, root, prefer_p90=prefer_p90, gapless=True), "recordings")
     times = inject_times(scan_texts(spark, root, "inject_time.txt"), root)
     truth = ground_truth(scan_texts(spark, root, "ground_truth.json"), root)
     cases = rows.select("case_id", "dataset", "system", "fault_service", "fault_type").distinct()

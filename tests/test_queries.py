@@ -15,7 +15,7 @@ CORE = """panel_day panel_long split_at_injection_day features_workload_day feat
     spectral_features_day periodicity_long feature_table recording_reader parse_case_name canonical_pivot split_guard_and_missing_time
     split_case_table weighted_buckets metric_bundle confusion_matrix rank_metrics reliability_table threshold_sweep mcnemar welch_t_test
     bootstrap_rows result_upsert merge_systems series_positions sliding_windows resample_linear ewma change_points_day
-    stratified_split exact_quantiles normalised_tensor nearest_centroid side_tables_mixed_headers recording_tree_multi
+    stratified_split exact_quantiles normalised_tensor nearest_centroid side_tables_mixed_headers recording_tree_multi side_files_stored
     features_with_gaps metric_bundle_with_ranks nested_json_upsert""".split()
 NAMES = list(entry.oracle_sql()) if os.environ.get("FAULTSCOPE_FULL") else CORE
 

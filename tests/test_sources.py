@@ -85,6 +85,42 @@ def test_large_file_is_split_and_numbered(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_only_chosen_files_are_opened(spark, tree):
+    """The listing decides; the scan of the chosen files has no others among its inputs."""
+    listed = rec.list_files(spark, tree)
+    assert {p.path.rsplit("/", 1)[1] for p in listed.collect()} == {"simple_metrics.csv", "data.csv", "my_Metrics.csv", "metrics.csv"}
+    for filters, want in (({}, {"simple_metrics.csv", "my_Metrics.csv", "data.csv", "metrics.csv"}), ({"fault_types": ["mem"]}, {"my_Metrics.csv"})):
+        chosen = rec.choose_files(listed, tree, **filters)
+        lines = rec.scan_lines(spark, tree, chosen=chosen)
+        paths = {r.path for r in lines.select("path").distinct().collect()}
+        assert {p.rsplit("/", 1)[1] for p in paths} == want
+        assert not any("sock-shop_cart_cpu_3/data.csv" in p for p in paths)
+        scan = lines._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        scan.executeColumnar() if scan.supportsColumnar() else scan.execute()
+        assert scan.metrics().get("numFiles").get().value() == len(paths)
+
+
+def test_blank_lines_and_blocks_leave_rows_gapless(spark, tmp_path):
+    path = tmp_path / "D" / "sock-shop" / "cart_cpu" / "metrics.csv"
+    write(path, "\ntime,cart_cpu\n" + "".join(f"{k},{k}.0\n" + "  \n" * (k % 3 == 0) for k in range(9000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = land(rec.scan_lines(spark, str(tmp_path)), "lines")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert lines.select("block").distinct().count() > 3
+    for gapless in (True, False):
+        rows = rec.panel_rows(lines, str(tmp_path), gapless=gapless)
+        assert rows.count() == 9000 and rows.filter("row <> ts or row <> cpu_usage").isEmpty()
+
+
+def test_folders_of_a_partitioned_write(spark):
+    files = spark.createDataFrame([("file:///r/a=D1/b=sock-shop/c=P/d=cart_cpu/e=7/x=y.csv",)], "path string")
+    got = rec.locate(files, "/r").first()
+    assert (got.dataset, got.system, got.fault_service, got.fault_type, got.case_id) == ("D1", "sock-shop", "cart", "cpu", "D1/sock-shop/P/cart_cpu/7")
+
+
 def test_side_tables(spark, tree):
     logs = rec.read_side_table(spark, tree, "logs.csv")
     assert {(r.case_id, r.message) for r in logs.collect()} == {(FLAT, "hello"), (FLAT, "bye"), (NESTED, "turned")}
