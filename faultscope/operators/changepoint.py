@@ -3,19 +3,20 @@
 PELT (Killick, Fearnhead and Eckley, 2012) over the kernel cost described by
 Truong, Oudre and Vayatis (2020). The search is sequential, so it runs in
 Python on bounded blocks of points. A block also sees half a block on either
-side and reports only the changes in its own range, so every point is searched
-well inside some block: a block border is never a candidate, and a change has
-to pay the penalty wherever it lies. Candidates keep to one grid counted from
-the start of the series and are scored against the whole series in Spark. The
-kernel scale is that of the points a block sees; a series of at most
-``max_points`` points is one block.
+side, so every point is searched well inside some block: a block border is never
+a candidate, and a change has to pay the penalty wherever it lies. Neighbouring
+blocks are joined at a seam (`seam`), at best at a change that both found, where
+a cheapest segmentation falls into two independent ones. Candidates keep to one
+grid counted from the start of the series and are scored against the whole
+series in Spark. The kernel scale is that of the points a block sees; a series
+of at most ``max_points`` points is one block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ EDGE = 3
 MIN_SEGMENT = 2
 GRID = 5
 EXPONENT_BOUNDS = (1e-2, 1e2)
+#: Grid steps by which two searches may place one change apart.
+APART = 4
 
 
 def kernel_block_sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -113,12 +116,11 @@ def _search(penalty: float, grid: int, min_segment: int):
     ])
 
     @F.pandas_udf(schema)
-    def search(points: pd.Series, first: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+    def search(points: pd.Series, first: pd.Series, start: pd.Series) -> pd.DataFrame:
         rows = []
-        for x, at, own, stop in zip(points, first, start, end):
+        for x, at, own in zip(points, first, start):
             x = np.asarray(x, dtype=float)
             cuts = np.asarray(segment_ends(x, penalty, grid, min_segment, int(at)), dtype=int)
-            cuts = cuts[(cuts + at >= own) & (cuts + at <= stop)]
             sums = np.concatenate([[0.0], np.cumsum(x)])
             slope = np.abs(np.gradient(x)) if len(x) > 1 else np.zeros(len(x))
             rows.append((at + cuts, sums[cuts] - sums[own - at], slope[cuts]))
@@ -127,6 +129,21 @@ def _search(penalty: float, grid: int, min_segment: int):
     return search
 
 
+def seam(left: Column, right: Column, border: Column, near: int) -> Column:
+    """Up to where the changes of the left block hold; those of the right one hold beyond it.
+
+    ``border`` is the right block's first position. The seam is the change nearest to it that both blocks found. Without
+    one, changes of the left block at most ``near`` points from the border decide, then those of the right block: a
+    change that the two place on opposite sides is neither lost nor told twice.
+    """
+    common = F.array_min(F.transform(F.array_intersect(left, right), lambda c: F.struct(F.abs(c - border).alias("gap"), c.alias("cp"))))
+
+    def close(cuts: Column) -> Column:
+        return F.exists(cuts, lambda c: F.abs(c - border) <= near)
+
+    return F.coalesce(common["cp"], F.when(close(left), border + near).when(close(right), border - near - 1).otherwise(border - 1))
+
+
 def change_candidates(metrics: DataFrame, value: str = "cpu_usage", penalty: float = 10.0,
                       grid: int = GRID, min_segment: int = MIN_SEGMENT, max_points: int = MAX_POINTS) -> DataFrame:
     """Candidates per ``(series, block)``; series under 10 points have none.
@@ -141,14 +158,20 @@ def change_candidates(metrics: DataFrame, value: str = "cpu_usage", penalty: flo
         F.max("n").alias("n"),
         F.min("i").alias("first"),
         F.min(F.when(own, F.col("i"))).alias("start"),
-        F.max(F.when(own, F.col("i"))).alias("end"),
         F.sum(F.when(own, F.col("x"))).alias("block_sum"),
         F.transform(points, lambda p: p["x"]).alias("points"),
     )
-    found = _search(penalty, grid, min_segment)(F.col("points"), F.col("first"), F.col("start"), F.col("end"))
-    return per_block.withColumn("f", found).select(
-        *SERIES_KEY, "n", "block", "block_sum", F.arrays_zip("f.cp", "f.before", "f.slope").alias("candidates")
-    )
+    found = _search(penalty, grid, min_segment)(F.col("points"), F.col("first"), F.col("start"))
+    searched = per_block.withColumn("f", found).select(
+        *SERIES_KEY, "n", "block", "block_sum", "f.cp", F.arrays_zip("f.cp", "f.before", "f.slope").alias("all"))
+    order = Window.partitionBy(*SERIES_KEY).orderBy("block")
+    following = F.lead("cp").over(order)
+    border = (F.col("block") + 1) * max_points
+    joined = searched.withColumn("following", following).withColumn(
+        "to", F.when(F.col("following").isNotNull(), seam(F.col("cp"), F.col("following"), border, min(APART * grid, side))))
+    held = joined.withColumn("past", F.coalesce(F.lag("to").over(order), F.lit(-1)))
+    inside = F.filter("all", lambda c: (c["cp"] > F.col("past")) & (F.col("to").isNull() | (c["cp"] <= F.col("to"))))
+    return held.select(*SERIES_KEY, "n", "block", "block_sum", inside.alias("candidates"))
 
 
 def change_points(metrics: DataFrame, profile: DataFrame, value: str = "cpu_usage", penalty: float = 10.0,

@@ -124,6 +124,33 @@ def test_change_search_takes_medium_series_whole(spark):
     assert best == {k: v[0] for k, v in whole.items()}
 
 
+def test_seams_neither_lose_nor_repeat_a_weak_change(spark):
+    """One shift of 1 to 2 deviations near a block border: as many changes as in the whole series, at most some steps apart."""
+    from faultscope.operators import changepoint as cp
+
+    series_of, whole = {}, {}
+    for seed in range(40):
+        g = np.random.default_rng(seed)
+        x = g.normal(0, 1, 1200)
+        x[500 + seed % 25:] += 1 + seed / 40
+        series_of[f"s{seed}"], whole[f"s{seed}"] = x, cp.segment_ends(x, 10.0)
+    found = {r.service: [c.cp for c in r.all] for r in cp.change_candidates(panel(spark, series_of), max_points=512).groupBy("service")
+             .agg(F.sort_array(F.flatten(F.collect_list("candidates"))).alias("all")).collect()}
+    assert sum(map(len, whole.values())) > 20
+    for name, cuts in whole.items():
+        assert len(found[name]) == len(cuts), name
+        assert all(abs(a - b) <= cp.APART * cp.GRID for a, b in zip(found[name], cuts, strict=True)), name
+
+
+def test_seam_rules(spark):
+    from faultscope.operators import changepoint as cp
+
+    rows = [([90, 105, 140], [70, 105, 160], 105), ([105], [95], 120), ([60], [95, 130], 79), ([60], [140], 99), ([], [], 99), ([80, 130], [80, 130], 80)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, want bigint")
+    got = df.select(cp.seam(F.col("a"), F.col("b"), F.lit(100), 20).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_kernel_sums_in_strips_and_scale_by_counting(monkeypatch):
     from faultscope.operators import changepoint as cp
 
