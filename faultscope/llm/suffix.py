@@ -40,17 +40,18 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
     A rank is the place in suffix order where a suffix's group of equals begins. Groups of one are settled: only larger ones are sorted again at the doubled length.
     """
     n = len(text)
-    padded = np.zeros(n + 7, np.int64)
+    padded = np.zeros(n + 7, np.int16)
     padded[:n] = text
     key = np.zeros(n, np.int64)
     for t in range(7):
         key = key << 9 | padded[t : t + n]
     # Below seven symbols the packed symbols themselves tell equals apart.
-    levels, have = [(k, key >> 9 * (7 - k)) for k in (1, 2, 4)], 7
+    levels, have = [(k, (key >> 9 * (7 - k)).astype(t)) for k, t in ((1, np.int16), (2, np.int32), (4, np.int64))], 7
     order = np.argsort(key).astype(np.int32)
     ranked = key[order]
     new = np.ones(n, bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    del padded, key, ranked
     rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     levels.append((have, rank))
@@ -77,7 +78,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
 def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], least: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``: 0 below ``least``, and at most the levels' lengths together."""
     n = len(order)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     # Two overlapping strings of one level say whether `least` is reached at all.
     length, rank = max((x for x in levels if x[0] <= least), key=lambda x: x[0])
     shift = least - length
@@ -105,12 +106,12 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarr
     prefix on the way. Links jump over what is already known to be larger.
     """
     n = len(order)
-    best = np.zeros(n, np.int64)
+    best = np.zeros(n, np.int32)
     for side in (-1, 1):
         # to[i]: next candidate on this side; cp[i]: common prefix with it.
-        place = np.arange(n)
+        place = np.arange(n, dtype=np.int32)
         cp = lcp.copy() if side < 0 else np.append(lcp[1:], 0)
-        to = np.where(cp >= least, place + side, -1)
+        to = np.where(cp >= least, place + np.int32(side), np.int32(-1))
         cp[to < 0] = 0
         live = np.flatnonzero(to >= 0)
         while len(live):
@@ -126,14 +127,15 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarr
 
 def repeats_in(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text and each start of a string of ``length``: whether it also starts earlier, and whether later, in the list."""
-    joined = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
+    joined = np.zeros(sum(map(len, texts)) + len(texts), np.int16)
     begins, at = [], 0
     for t in texts:
         begins.append(at)
-        joined[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int64) + 1
+        joined[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
         at += len(t) + 1
     order, levels = suffix_ranks(joined, length)
     lcp = common_prefixes(order, levels, length)
+    del levels
     earlier = longest_previous(order, lcp, length) >= length
     back = len(joined) - 1 - order
     later = longest_previous(back, lcp, length)[::-1] >= length
