@@ -8,10 +8,12 @@ from helpers import cases, panel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from faultscope.canonical import METRICS
 from faultscope.operators import chunks, features, series
 from faultscope.operators.changepoint import change_points, kernel_block_sums, segment_ends
 from faultscope.operators.context import periodicity
 from faultscope.operators.spectrum import power_spectrum
+from faultscope.operators.split import split_recordings, tag_halves
 
 rng = np.random.default_rng(5)
 X = np.round(rng.gamma(2.0, 10.0, 100), 3)
@@ -209,6 +211,23 @@ def test_change_search_beyond_several_blocks(spark):
     assert got == {"noise": -1, "shift": 3070}
 
 
+def test_panel_rows_are_never_broadcast(spark):
+    # Long zero-filled series of few short ones: Spark's estimate of the rows is far below their size.
+    wide = spark.range(3).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("case_id"), F.lit("s").alias("service"))
+    rows = wide.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
+    rows = rows.withColumns({"ts": F.col("i"), **{m: F.lit(0.0) for m in METRICS}})
+    events = wide.select("case_id", F.lit(20).cast("long").alias("inject_time"))
+    halves = tag_halves(rows, events)
+    parts = split_recordings(rows, events)
+    windowed = parts.filter("role = 'case'")
+    z = features.series_excursions(windowed, features.series_profile(windowed))
+    for df, joins in ((halves, 1), (parts, 2), (z, 3)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=merge") >= joins, plan
+    assert halves.groupBy("half").count().sort("half").collect() == [("post", 60), ("pre", 60)]
+    assert parts.count() == 3 * (20 + 20 + 2 * 20)
+
+
 def test_features_do_not_depend_on_partitioning_or_chunks(spark, monkeypatch):
     m = panel(spark, {"a": X, "b": Y}).unionByName(panel(spark, {"a": X[:40], "b": Y[:40]}, role="reference"))
     c = cases(spark, [("c1", 0, {})])
