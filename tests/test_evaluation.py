@@ -110,6 +110,15 @@ def test_temperature_is_recovered(spark):
     assert sc.calibrate_temperature(df) == pytest.approx(3.0, rel=0.1)
 
 
+def test_temperature_rounds_broadcast_the_groups_not_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 0, 2.0, 1.0), ("a", 1, 2.0, 1.0), ("a", 0, 1.0, 0.0), (None, 1, 0.0, 3.0), (None, 0, 0.0, 1.0)], "v string, y_true int, l0 double, l1 double")
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or collect(d))
+    fits = sc.calibrate_temperatures(df, ["v"])
+    joins = [p for p in plans if "Join" in p]
+    assert {f["v"] for f in fits} == {"a", None} and joins and all("strategy=broadcast" in p for p in joins)
+
+
 def test_terms_at_zero_confidence(spark):
     df = spark.createDataFrame([("v", 0, 1.0, -1.0, 1.0, 0.0)], "v string, y_true int, l0 double, l1 double, event_active double, context_confidence double")
     t = one(sc.consistency_terms(df, ["v"]))

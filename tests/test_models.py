@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from faultscope.canonical import FEATURE_COLUMNS
 from faultscope.models import classifiers as cl
 from faultscope.models import grid as gr
+from faultscope.models import many
 from faultscope.models.centroids import CentroidClassifier, CentroidModel
 from faultscope.models.detector import WindowDetector
 from faultscope.operators.transform import ColumnScaler, ColumnScalerModel, PiecewiseBins, PiecewiseBinsModel
@@ -55,6 +56,16 @@ def test_cross_validation_and_grid(features):
     assert summary["Naive"].fp_rate_mean == 1.0 and summary["Naive"].fault_recall_mean == 1.0 and summary["Naive"].fp_reduction_mean == 0.0
 
 
+def test_a_scoring_task_reads_one_slice_or_few(features):
+    specs = [many.Spec("m", "random_forest", tuple(range(44)))]
+    rows = features.withColumn("run", F.lit(0))
+    models = many.fit_all(rows, specs, FEATURE_COLUMNS, ["run"], settings={"random_forest": {"trees": 3, "depth": 2}})
+    scored = many.score_all(rows, models, specs, FEATURE_COLUMNS, ["run"], rows_of_slice=2)
+    # As many tasks as slices, whatever the session's number of shuffle partitions.
+    assert scored.rdd.getNumPartitions() == 40
+    assert scored.count() == 80 and scored.select("case_id").distinct().count() == 80
+
+
 def test_masks(features):
     row = mask_groups(features, "context_only").first()
     assert row["cpu_deviation"] != 0.0 and row["mean_latency"] == 0.0 and row["n_services"] == 0.0
