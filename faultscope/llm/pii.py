@@ -4,10 +4,10 @@ Base spans come from four patterns with a check each (email, ip, card, phone).
 Generators with high recall then propose further spans, which may overlap:
 national phone numbers, spelled-out addresses, keys, account numbers, card-like
 numbers. Boosted trees score each candidate by its format and by the text
-around it. They are fitted on candidates of a bounded share of the texts, where
-a candidate that covers a base span, or is named by the words before it, is
-taken as personal; neither of the two is a feature. A threshold per kind is
-calibrated on the part of the sample kept from the fit, so that at least
+around it. They are fitted on the candidates of all texts, where a candidate
+that covers a base span, or is named by the words before it, is taken as
+personal; neither of the two is a feature. A threshold per kind is
+calibrated on the third of them kept from the fit, so that at least
 ``PRECISION`` of what it selects is personal; a kind that never gets there adds nothing.
 
 The trees become one SQL expression, applied to the array of candidates of each
@@ -16,8 +16,8 @@ row: no text is shuffled, and a document is scored where it is read.
 Patterns are possessive, and start where a run starts or the last match ended:
 the same matches as their plain forms, without repeated scans of long runs.
 
-Defined cases: a null text is empty and has no span; without a sample that has
-both classes no candidate is added; rows equal in id and text have equal spans.
+Defined cases: a null text is empty and has no span; without candidates of
+both classes none is added; rows equal in id and text have equal spans.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ MORE = {
 }
 #: Words before a span that name it.
 NAMED = r"(?i)(?:token|secret|password|passwd|api.?key|key|tel|phone|fax|mobile|mail|iban|account|card)\W{0,4}\z"
-#: Texts and candidates of the fit, trees and their depth, least share of personal spans among the selected.
-SAMPLE_TEXTS, SAMPLE_SPANS, TREES, DEPTH, PRECISION = 20_000, 20_000, 12, 3, 0.95
+#: Trees and their depth, least share of personal spans among the selected.
+TREES, DEPTH, PRECISION = 12, 3, 0.95
 AROUND = 24
 FEATURES = ["kind", "size", "digits", "letters", "upper", "breaks", "parts", "distinct", "luhn", "octets", "space_before", "space_after", "plus_before", "quote_before", "equals_before", "letters_around"]
 
@@ -223,32 +223,27 @@ class Scorer:
         return self.score(c) >= least
 
 
-def train(docs: DataFrame, texts: int = SAMPLE_TEXTS, limit: int = SAMPLE_SPANS) -> Scorer | None:
-    """Fit on candidates of about ``texts`` documents, the same share of every part of the table."""
-    total = docs.count()
-    if not total:
-        return None
-    buckets = 1_000_000
-    part = min(buckets, -(-texts * buckets // total))
+def train(docs: DataFrame) -> Scorer | None:
+    """Fit on the candidates of all documents; candidates alike in every feature and in label count as one row with a weight."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    share = docs.select(body.alias("body"), F.pmod(F.xxhash64("doc_id", body), F.lit(buckets)).alias("b")).where(F.col("b") < part)
-    with_base = share.select(F.concat(*base_spans(F.col("body")).values()).alias("base"), candidates(F.col("body")).alias("c"))
+    with_base = docs.select(body.alias("body")).select(F.concat(*base_spans(F.col("body")).values()).alias("base"), candidates(F.col("body")).alias("c"))
     spans_of = with_base.select(F.explode(meeting(F.col("base"), F.col("c"))).alias("m")).select("m.c", "m.meets")
-    rows = spans_of.select(*feature_values(F.col("c")).values(), _personal(F.col("c"), F.col("meets")).cast("double").alias("label"), F.xxhash64("c").alias("h"))
-    rows = land(rows.orderBy("h").limit(limit), "pii-sample")
-    rows = rows.withColumn("held", F.pmod(F.xxhash64("h"), F.lit(3)) == 0)
+    held = F.pmod(F.xxhash64(F.xxhash64("c")), F.lit(3)) == 0
+    alike = [*FEATURES, "label", "held"]
+    rows = spans_of.select(*feature_values(F.col("c")).values(), _personal(F.col("c"), F.col("meets")).cast("double").alias("label"), held.alias("held"))
+    rows = land(rows.groupBy(*alike).agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-candidates")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     fit_rows = assembler.transform(rows.where("NOT held"))
     if {r[0] for r in fit_rows.select("label").distinct().collect()} != {0.0, 1.0}:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.2, maxBins=32).fit(fit_rows)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.2, maxBins=32, weightCol="weight").fit(fit_rows)
     scorer = Scorer([t._call_java("rootNode") for t in model.trees], list(model.treeWeights), {})
     # Calibration: for each kind the lowest score at and above which enough of the held-out spans are personal.
-    held = rows.where("held").select("label", "kind", F.struct(*FEATURES).alias("f"))
+    held = rows.where("held").select("label", "weight", "kind", F.struct(*FEATURES).alias("f"))
     values = [F.col("f")[k] for k in FEATURES]
     margin = reduce(lambda a, b: a + b, [_tree_expression(r, values) * w for r, w in zip(scorer.roots, scorer.weights, strict=True)])
-    scored = held.select(F.col("kind").cast("int").alias("kind"), "label", F.floor(100 / (1 + F.exp(-2 * margin))).cast("int").alias("level"))
-    counts = scored.groupBy("kind", "level").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()  # at most 101 levels a kind
+    scored = held.select(F.col("kind").cast("int").alias("kind"), "label", "weight", F.floor(100 / (1 + F.exp(-2 * margin))).cast("int").alias("level"))
+    counts = scored.groupBy("kind", "level").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()  # at most 101 levels a kind
     for kind in {r["kind"] for r in counts}:
         n = good = 0
         for r in sorted((r for r in counts if r["kind"] == kind), key=lambda r: -r["level"]):

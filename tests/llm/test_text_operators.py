@@ -68,6 +68,20 @@ def test_boosted_trees_add_named_keys_and_leave_prose(spark):
     assert all(r.spans == "" or re.fullmatch(r"[a-z_]+:\d+:\d+(,[a-z_]+:\d+:\d+)*", r.spans) for r in got.values())
 
 
+def test_fit_takes_the_candidates_of_all_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(150)]
+    texts = [" ".join(("token = " if (i + j) % 2 else "word ") + k for j, k in enumerate(keys)) for i in range(150)]
+    df = spark.createDataFrame([*enumerate(texts), (150, None)], "doc_id long, text string")
+    landed, land = [], pii.land
+    monkeypatch.setattr(pii, "land", lambda rows, name: landed.append(land(rows, name)) or landed[-1])
+    assert pii.train(df) is not None
+    fitted = landed[0]
+    every = df.select(F.explode(pii.candidates(F.coalesce("text", F.lit(""))))).count()
+    assert every > 20_000 and fitted.agg(F.sum("weight")).first()[0] == every
+    assert {r[0] for r in fitted.select("label").distinct().collect()} == {0.0, 1.0}
+
+
 # ------------------------------------------------------------------------- pages
 def test_lines_of_awkward_markup():
     page = """<!DOCTYPE html><html><head><title>T</title></head><body><nav>Menu</nav><header><h1>Site</h1></header><!-- <p>no</p> -->
