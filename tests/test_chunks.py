@@ -14,6 +14,7 @@ from faultscope.operators.changepoint import change_points, kernel_block_sums, s
 from faultscope.operators.context import periodicity
 from faultscope.operators.spectrum import power_spectrum
 from faultscope.operators.split import split_recordings, tag_halves
+from faultscope.plans.feature_queries import split_panel
 
 rng = np.random.default_rng(5)
 X = np.round(rng.gamma(2.0, 10.0, 100), 3)
@@ -236,3 +237,14 @@ def test_features_do_not_depend_on_partitioning_or_chunks(spark, monkeypatch):
     second = features.extract_features(m.repartition(7, "i"), c, "comparison").first()
     for name in first.asDict():
         assert first[name] == pytest.approx(second[name], abs=1e-9), name
+
+
+def test_split_reads_a_landed_panel_and_leaves_out_events_without_a_time(spark, tmp_path):
+    rows = [(f"2024-01-0{1 + k % 2} {k % 24:02d}:30:00", k % 60, "click", 1.0 * k) for k in range(200)] + [(None, 3, "view", 9.0), ("2024-01-01 01:00:00", None, "view", 5.0)]
+    events = spark.createDataFrame(rows, "ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for kind, cohorts in (("day", 4), ("long", 2)):
+        got = split_panel(spark, str(tmp_path), kind)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "map_from_entries(collect_list" not in plan
+        assert got.filter("case_id is null").isEmpty() and got.select("case_id").distinct().count() == 2 * cohorts
