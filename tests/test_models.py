@@ -45,6 +45,14 @@ def test_forest(spark, features, tmp_path):
     assert a.select("case_id", "p0").exceptAll(b.select("case_id", "p0")).isEmpty()
 
 
+def test_forest_keeps_node_ids_and_finds_the_same_trees(features):
+    train = cl.prepare(features, FEATURE_COLUMNS, "random_forest")
+    kept, walked = (cl.classifier("random_forest", FEATURE_COLUMNS, **SMALL, **more) for more in ({}, {"cacheNodeIds": False}))
+    assert kept.getStages()[-1].getCacheNodeIds()
+    a, b = (p.fit(train).stages[-1].toDebugString.split("\n", 1)[1] for p in (kept, walked))
+    assert a == b
+
+
 def test_cross_validation_and_grid(features):
     factory = lambda: cl.classifier("random_forest", FEATURE_COLUMNS, **SMALL)
     folds = cl.cross_validate(features, factory, FEATURE_COLUMNS, "random_forest", 3)
