@@ -154,8 +154,11 @@ def _case_folders(o: DataFrame) -> list:
 
 
 def _write_tree(rows: DataFrame, root: str, kind: str = "csv") -> None:
-    """All folders in one job, each by one task as one file; their number grows with the table."""
-    rows.repartition(*_FOLDERS).write.partitionBy(*_FOLDERS).option("header", True).format(kind).save(root)
+    """All folders in one job, each by one task as one file; their number grows with the table.
+
+    The number of tasks is given, since Spark joins tasks by their bytes: many folders of few bytes would be written by one."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, *_FOLDERS).write.partitionBy(*_FOLDERS).option("header", True).format(kind).save(root)
 
 
 @query("side_files_stored", """

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from faultscope.plans.reshape_queries import _write_tree
 from faultscope.sources import recordings as rec
 from faultscope.sources import results as rt
 from faultscope.sources.tables import land, shared_folder
@@ -180,3 +181,17 @@ def test_files_outside_a_case_folder_raise(spark, tmp_path):
     write(tmp_path / "D" / "sock-shop" / "metrics.csv", "time,a_cpu\n1,2\n")
     with pytest.raises(Exception, match="no <dataset>/<system>/<case>/ folder"):
         rec.load_recordings(spark, str(tmp_path))
+
+
+def test_many_small_folders_are_written_and_listed_by_several_tasks(spark, tmp_path):
+    names = [F.lit("D").alias("dataset"), F.lit("S").alias("system"), F.lit("P").alias("prefix"), F.lit("f").alias("fault"), F.col("id").alias("instance")]
+    _write_tree(spark.range(40).select(*names, F.lit("x").alias("value")), str(tmp_path / "t"), "text")
+    files = [r.path for r in rec.list_files(spark, str(tmp_path / "t"), "part-*.txt").collect()]
+    assert len(files) == 40
+    # The file's name tells its task: tiny rows must not be joined into one.
+    assert len({f.rsplit("/", 1)[1][:10] for f in files}) > 1
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with rec._few_listing_tasks(spark):
+        assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
