@@ -229,3 +229,22 @@ def test_blocked_search_over_many_classes(spark):
         assert got[i].distance == pytest.approx(d[i].min(), abs=1e-12)
         assert got[i].prediction == (-1 if d[i].min() > 0.4 else d[i].argmin())
     assert nearest_blocked(rows, "id", "v", centroids.filter("false")).count() == 0
+
+
+def test_sizes_of_the_scaling_grid_are_ranked_once_per_run(spark, features, monkeypatch):
+    """The samples are those of a split per size, but rows are written once per run."""
+    from faultscope.operators.sampling import stratified_split, with_hash_rank
+
+    landed, seen = [], []
+    monkeypatch.setattr(gr, "land", lambda df, name: landed.append(name) or df)
+    monkeypatch.setattr(gr, "predict_grid", lambda parts, *a, **kw: seen.append(parts))
+    gr.scaling_predictions(features, gr.VARIANTS, [7, 20, 100], 2, 42)
+    assert landed == ["grid-ranks"] * 2
+    got = {tuple(r) for r in seen[0].select("size", "run", "case_id", "split").collect()}
+    want = set()
+    for run in range(2):
+        ranked = with_hash_rank(features, ["label"], "case_id", 42 + run).drop("stratum_size")
+        for size in (7, 20, 100):
+            part = stratified_split(ranked.filter(F.col("rank") < size // 2).drop("rank"), "label", "case_id", 0.2, seed=42 + run)
+            want |= {(size, run, r.case_id, r.split) for r in part.collect()}
+    assert got == want and len(got) == 2 * (6 + 20 + 80)
