@@ -231,6 +231,56 @@ def test_blocked_search_over_many_classes(spark):
     assert nearest_blocked(rows, "id", "v", centroids.filter("false")).count() == 0
 
 
+def _labelled(spark, n=6000, tasks=6):
+    x, y = _plain_data(n)
+    return spark.createDataFrame([(int(label), *map(float, r)) for r, label in zip(x, y, strict=True)], "label int, " + ", ".join(f"x{j} double" for j in range(6))).repartition(tasks)
+
+
+def test_boosting_agrees_with_sparks_whatever_the_dealing(spark):
+    """Blocks of binned rows give the trees of ``GBTClassifier``, the same ones to the bit in any order of the rows."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+    from faultscope.models.boosting import BoostedTrees
+
+    columns = [f"x{j}" for j in range(6)]
+    rows = _labelled(spark).persist()
+    ours = cl.classifier("gradient_boosting", columns, maxIter=6, maxDepth=4)
+    assert isinstance(ours.getStages()[-1], BoostedTrees)
+    sparks = cl.classifier("gradient_boosting", columns, maxIter=6, maxDepth=4, cacheNodeIds=False)
+    assert isinstance(sparks.getStages()[-1], GBTClassifier)
+    a, b, c = ours.fit(rows), sparks.fit(rows), ours.fit(rows.orderBy("x3").coalesce(1))
+    assert a.stages[-1]._numbers() == c.stages[-1]._numbers()
+    assert np.allclose(a.stages[-1].featureImportances.toArray(), b.stages[-1].featureImportances.toArray(), atol=1e-6)
+    p = [np.array([r.p1 for r in m.transform(rows.orderBy(*columns)).select(vector_to_array("probability")[1].alias("p1")).collect()]) for m in (a, b)]
+    assert np.abs(p[0] - p[1]).max() < 1e-6
+
+
+def test_boosted_model_survives_storage_and_odd_rows(spark, tmp_path):
+    columns = [f"x{j}" for j in range(6)]
+    rows = _labelled(spark, 300, 2)
+    model = cl.classifier("boosted_trees", columns, maxIter=3, maxDepth=2).fit(rows)
+    model.write().overwrite().save(str(tmp_path / "b"))
+    again = PipelineModel.load(str(tmp_path / "b"))
+    a, b = (cl.predict(m, rows).select("x0", "y_pred", "p0", "p1") for m in (model, again))
+    assert a.exceptAll(b).isEmpty() and a.count() == 300
+    one_class = cl.classifier("boosted_trees", columns, maxIter=3).fit(rows.withColumn("label", F.lit(1)))
+    assert cl.predict(one_class, rows).filter("y_pred <> 1").isEmpty()
+    for odd in (None, 2):
+        with pytest.raises(ValueError):
+            cl.classifier("boosted_trees", columns, maxIter=1).fit(rows.withColumn("label", F.lit(odd).cast("int")))
+
+
+def test_boosting_makes_margins_anew(spark, monkeypatch):
+    from faultscope.models import boosting as bo
+
+    columns = [f"x{j}" for j in range(6)]
+    rows, numbers = _labelled(spark, 400, 2).persist(), []
+    for fresh in (2, 50):
+        monkeypatch.setattr(bo, "FRESH", fresh)
+        numbers.append(cl.classifier("boosted_trees", columns, maxIter=5, maxDepth=3).fit(rows).stages[-1]._numbers())
+    assert numbers[0] == numbers[1]
+
+
 def test_sizes_of_the_scaling_grid_are_ranked_once_per_run(spark, features, monkeypatch):
     """The samples are those of a split per size, but rows are written once per run."""
     from faultscope.operators.sampling import stratified_split, with_hash_rank
