@@ -281,6 +281,34 @@ def test_boosting_makes_margins_anew(spark, monkeypatch):
     assert numbers[0] == numbers[1]
 
 
+def test_perceptron_slope_and_agreement_with_sparks(spark):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from faultscope.models import perceptron as pe
+
+    (x, y), layers = _plain_data(50), [6, 4, 2]
+    w = np.random.default_rng(2).normal(size=6 * 4 + 4 + 4 * 2 + 2)
+    loss, slope = pe.loss_and_slope(w, layers, x.astype(np.float32), y)
+    for j in (0, 11, 25, 30, 37):
+        e = np.eye(len(w))[j] * 1e-2
+        near = [pe.loss_and_slope(w + s * e, layers, x.astype(np.float32), y)[0] for s in (1, -1)]
+        assert (near[0] - near[1]) / 2e-2 == pytest.approx(slope[j], rel=2e-2, abs=2e-2)
+    rows, columns = _labelled(spark).persist(), [f"x{j}" for j in range(6)]
+    ours = cl.classifier("mlp", columns, layers=[6, 8, 2], maxIter=60)
+    assert isinstance(ours.getStages()[-1], pe.Perceptron)
+    sparks = cl.classifier("mlp", columns, layers=[6, 8, 2], maxIter=60, blockSize=128)
+    assert isinstance(sparks.getStages()[-1], MultilayerPerceptronClassifier)
+    share = [cl.predict(p.fit(rows), rows).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int"))).first()[0] for p in (ours, sparks)]
+    assert share[0] > 0.9 and share[0] > share[1] - 0.03
+
+
+def test_minimise_finds_the_least():
+    from faultscope.models.perceptron import minimise
+
+    a = np.diag([1.0, 10.0, 100.0])
+    x = minimise(lambda v: (float(v @ a @ v) + 1.0, 2 * a @ v), np.array([3.0, -2.0, 1.0]), 200, 1e-12)
+    assert np.abs(x).max() < 1e-4
+
+
 def test_sizes_of_the_scaling_grid_are_ranked_once_per_run(spark, features, monkeypatch):
     """The samples are those of a split per size, but rows are written once per run."""
     from faultscope.operators.sampling import stratified_split, with_hash_rank
