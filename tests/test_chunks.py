@@ -8,13 +8,16 @@ from helpers import cases, panel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from faultscope.canonical import METRICS
 from faultscope.operators import chunks, features, series
 from faultscope.operators.changepoint import change_points, kernel_block_sums, segment_ends
 from faultscope.operators.context import periodicity
 from faultscope.operators.spectrum import power_spectrum
 from faultscope.operators.split import split_recordings, tag_halves
+from faultscope.plans import feature_queries
 from faultscope.plans.feature_queries import split_panel
+from faultscope.sources.tables import land
 
 rng = np.random.default_rng(5)
 X = np.round(rng.gamma(2.0, 10.0, 100), 3)
@@ -229,6 +232,42 @@ def test_panel_rows_are_never_broadcast(spark):
     assert parts.count() == 3 * (20 + 20 + 2 * 20)
 
 
+#: Joins of panel rows that each long-panel query plans itself, beside the two of the split.
+ROW_JOINS = {
+    "context_comparison_long": 2, "cross_service_sync_long": 2, "detector_flagged_rows": 0, "detector_flags": 0,
+    "detector_windows": 0, "feature_table_long": 5, "features_behavioral_long": 1, "features_extended_long": 1,
+    "features_service_level_long": 0, "features_workload_long": 0, "flagged_case_filter": 0, "load_shift_gini_long": 0,
+    "neighbour_correlations": 3, "neighbour_spread_long": 3, "periodicity_long": 1, "power_spectrum": 0,
+    "regime_stability_long": 1, "series_excursions_long": 1, "spectral_features_long": 0,
+}
+
+
+def test_long_panel_queries_merge_their_rows(spark, tmp_path, monkeypatch):
+    # 60 users in two cohorts, a few events of every type on each of six days.
+    at = F.timestamp_seconds(F.col("id") * 1700)
+    kinds = F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])
+    events = spark.range(300).select(
+        F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") * 7 % 60).alias("user_id"),
+        kinds[(F.col("id") % 5).cast("int")].alias("event_type"), (F.col("id") * 37 % 150).cast("double").alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    landed, split = {}, []
+
+    def spy(df, name):
+        """Lands a table once for all queries and keeps the plan of the split."""
+        if name not in landed:
+            if name == "panel-long":
+                split.append(df._jdf.queryExecution().optimizedPlan().toString())
+            landed[name] = land(df, name)
+        return landed[name]
+
+    monkeypatch.setattr(feature_queries, "land", spy)
+    queries = entry.queries()
+    merged = {q: queries[q](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge")
+              for q in ROW_JOINS}
+    assert len(split) == 1 and split[0].count("strategy=merge") >= 2, split
+    assert {q: n for q, n in merged.items() if n < ROW_JOINS[q]} == {}
+
+
 def test_features_do_not_depend_on_partitioning_or_chunks(spark, monkeypatch):
     m = panel(spark, {"a": X, "b": Y}).unionByName(panel(spark, {"a": X[:40], "b": Y[:40]}, role="reference"))
     c = cases(spark, [("c1", 0, {})])
