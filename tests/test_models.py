@@ -326,3 +326,59 @@ def test_sizes_of_the_scaling_grid_are_ranked_once_per_run(spark, features, monk
             part = stratified_split(ranked.filter(F.col("rank") < size // 2).drop("rank"), "label", "case_id", 0.2, seed=42 + run)
             want |= {(size, run, r.case_id, r.split) for r in part.collect()}
     assert got == want and len(got) == 2 * (6 + 20 + 80)
+
+
+def test_large_groups_are_fitted_on_all_rows(spark):
+    """Beyond ``fit_rows`` nothing is thinned: cuts and class shares are those of all rows, for every group size."""
+    import pickle
+
+    (x, y), (xt, yt) = _plain_data(3000), _plain_data(600, 4)
+    columns = [f"x{j}" for j in range(6)]
+    data = [(0, f"c{i}", int(label), *map(float, r)) for i, (r, label) in enumerate(zip(x, y, strict=True))]
+    rows = spark.createDataFrame(data + [(1, *r[1:]) for r in data[:200]], "run int, case_id string, label int, " + ", ".join(f"{c} double" for c in columns)).repartition(5).persist()
+    specs = [many.Spec("forest", "random_forest", (0, 1, 2, 4)), many.Spec("boosted", "boosted_trees", tuple(range(6)), (3,)), many.Spec("mlp", "mlp", tuple(range(6)), (5,))]
+    settings = {"random_forest": {"trees": 30, "depth": 6}, "boosted_trees": {"rounds": 25, "depth": 4}, "mlp": {"epochs": 40, "batch": 50}}
+    fitted = {(r.run, r.model): pickle.loads(r.content) for r in many.fit_all(rows, specs, columns, ["run"], settings=settings, fit_rows=500).collect()}
+    assert set(fitted) == {(run, s.name) for run in range(2) for s in specs}
+    for run, n in ((0, 3000), (1, 200)):
+        for s, kept in ((specs[0], []), (specs[1], [3])):
+            want = x[:n].copy()
+            want[:, kept] = 0.0
+            assert all(np.array_equal(a, b) for a, b in zip(fitted[run, s.name]["cuts"], many.binned(want[:, list(s.used)])[0], strict=True))
+        assert fitted[run, "boosted"]["start"] == pytest.approx(np.log((y[:n].sum() + 0.5) / (n - y[:n].sum() + 0.5)))
+        assert np.allclose(fitted[run, "mlp"]["mean"][:5], x[:n, :5].mean(0)) and np.allclose(fitted[run, "mlp"]["scale"][:5], x[:n, :5].std(0))
+    for s, least in zip(specs, (0.85, 0.87, 0.87), strict=True):
+        p = many.probability(s.kind, fitted[0, s.name], s.view(xt))
+        assert ((p > 0.5) == yt).mean() > least and p.min() >= 0.0 and p.max() <= 1.0
+    # A boosted tree over all tasks is the one of a single task.
+    alone = many.fit_boosted(specs[1].view(x), y, np.random.default_rng(0), **{**many.DEFAULTS["boosted_trees"], **settings["boosted_trees"]})
+    a, b = (many.probability("boosted_trees", m, specs[1].view(xt)) for m in (alone, fitted[0, "boosted"]))
+    assert np.abs(a - b).max() < 1e-5
+
+
+def test_cuts_of_all_rows_are_exact(spark):
+    from faultscope.models import spread
+
+    g = np.random.default_rng(5)
+    x = np.stack([g.normal(size=997), -np.exp(g.normal(size=997) * 40), np.round(g.normal(size=997)), np.where(g.random(997) < 0.9, 0.0, -0.0), np.full(997, 1e300)], 1)
+    blocks = spark.sparkContext.parallelize([(part,) for part in np.array_split(x, 7)], 3)
+    assert all(np.array_equal(a, b) for a, b in zip(spread.exact_cuts(blocks, 5, 997, 32), many.binned(x)[0], strict=True))
+
+
+def test_grid_splits_without_copies_of_the_features(spark, monkeypatch):
+    """Rows that come twice or have no key are split as exactly as others, those without class are left out, and nothing wide is written."""
+    from faultscope.operators.sampling import stratified_split
+
+    plain = spark.createDataFrame([(f"c{i}", i % 3 == 0 and 1 or 0, float(i)) for i in range(500)], "case_id string, label int, v double")
+    odd = plain.unionByName(plain.filter("v < 301")).unionByName(spark.createDataFrame([(None, 1, float(i)) for i in range(37)] + [(f"n{i}", None, 0.0) for i in range(21)], plain.schema)).persist()
+    seen, landed = [], []
+    monkeypatch.setattr(gr, "land", lambda df, name: landed.append(name) or df)
+    monkeypatch.setattr(gr, "predict_grid", lambda parts, *a, **kw: seen.append(parts))
+    gr.run_grid(plain, gr.VARIANTS, 2, 42)
+    assert landed == []
+    want = {(run, r.case_id, r.split) for run in range(2) for r in stratified_split(plain, "label", "case_id", 0.2, seed=42 + run).collect()}
+    assert {(r.run, r.case_id, r.split) for r in seen[0].collect()} == want
+    gr.run_grid(odd, gr.VARIANTS, 1, 42)
+    counts = {tuple(r) for r in seen[1].groupBy("label", "split").count().collect()}
+    assert counts == {tuple(r) for r in stratified_split(odd, "label", "case_id", 0.2, seed=42).groupBy("label", "split").count().collect()}
+    assert seen[1].count() == odd.count() - 21
