@@ -382,3 +382,51 @@ def test_grid_splits_without_copies_of_the_features(spark, monkeypatch):
     counts = {tuple(r) for r in seen[1].groupBy("label", "split").count().collect()}
     assert counts == {tuple(r) for r in stratified_split(odd, "label", "case_id", 0.2, seed=42).groupBy("label", "split").count().collect()}
     assert seen[1].count() == odd.count() - 21
+
+
+def test_forest_on_blocks_agrees_with_sparks_whatever_the_dealing(spark, tmp_path):
+    """The model is Spark's own, its trees are the same in any order of the rows and as good as those of Spark's learner."""
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+    from faultscope.models.forest import Forest
+
+    columns = [f"x{j}" for j in range(6)]
+    rows = cl.prepare(_labelled(spark, 4000).withColumn("id", F.monotonically_increasing_id()).persist(), columns, "random_forest").persist()
+    settings = {"numTrees": 25, "maxDepth": 7}
+    ours, sparks = cl.classifier("random_forest", columns, **settings), cl.classifier("random_forest", columns, **settings, subsamplingRate=1.0)
+    assert isinstance(ours.getStages()[-1], Forest) and isinstance(sparks.getStages()[-1], RandomForestClassifier)
+    a, b, c = ours.fit(rows), sparks.fit(rows), ours.fit(rows.orderBy("x3").coalesce(1))
+    assert isinstance(a.stages[-1], RandomForestClassificationModel) and a.stages[-1].getNumTrees == 25
+    text = [m.stages[-1].toDebugString.split("\n", 1)[1] for m in (a, c)]
+    assert text[0] == text[1] and max(t.depth for t in a.stages[-1].trees) <= 7
+    importance = [m.stages[-1].featureImportances.toArray() for m in (a, b)]
+    assert importance[0].sum() == pytest.approx(1.0) and np.abs(importance[0] - importance[1]).max() < 0.08
+    x, y = _plain_data(800, 4)
+    unseen = spark.createDataFrame([(int(label), *map(float, r)) for r, label in zip(x, y, strict=True)], rows.drop("id", "weight").schema)
+    share = [cl.predict(m, unseen).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int"))).first()[0] for m in (a, b)]
+    assert share[0] > 0.85 and share[0] > share[1] - 0.03
+    assert cl.predict(a, unseen).filter("abs(p0 + p1 - 1) > 1e-9 or p0 < 0 or p1 < 0").isEmpty()
+
+
+def test_forest_counts_draws_as_a_plain_count(spark):
+    """The root of every tree holds the draws of all rows; its best split is the best of the columns it may choose."""
+    from faultscope.models import forest as fo
+
+    x, y = _plain_data(500)
+    cuts, codes = many.binned(x)
+    key = np.random.default_rng(6).integers(1 << 63, size=500).astype(np.uint64)
+    blocks = spark.sparkContext.parallelize([(codes[a : a + 100].T.copy(), y[a : a + 100].astype(np.int8), key[a : a + 100]) for a in range(0, 500, 100)], 3)
+    grown = fo.grow_forest(blocks, list(range(6)), 32, 4, 3, 6, (1.0, 1.0), 7)
+    salts = np.random.default_rng(7).integers(1 << 62, size=4)
+    for tree, salt in zip(grown, salts, strict=True):
+        w = fo.drawn(key, int(salt)).astype(float)
+        assert tree.counts[0] == (w[y == 0].sum(), w[y == 1].sum()) and 350 < w.sum() < 650
+        alone = many.grow(codes, w * y, w, 3, 6, np.random.default_rng(0))
+        assert len(alone) == len(tree.feature) and (alone[0, 0], alone[0, 1]) == (tree.feature[0], tree.cut[0])
+        assert sorted(np.round([b / (a + b) for (a, b), f in zip(tree.counts, tree.feature, strict=True) if f < 0], 9)) == sorted(np.round(alone[alone[:, 0] < 0, 3], 9))
+
+
+@pytest.mark.parametrize("label", [0, 2])
+def test_forest_leaves_other_classes_to_spark(spark, label):
+    rows = _labelled(spark, 60, 2).withColumn("label", F.lit(label) + (F.col("x0") > 0).cast("int") * int(label > 0))
+    model = cl.classifier("random_forest", [f"x{j}" for j in range(6)], weighted=False, **SMALL).fit(rows)
+    assert model.stages[-1].numClasses == rows.agg(F.max("label")).first()[0] + 1
